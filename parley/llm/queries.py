@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import shared, token_store
+from . import chat, packing, shared, token_store
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +16,48 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest, digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_token_store": op7_token_store}
-SQL: dict[str, str] = {}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(1).selectExpr("-7L as conv_id", f"transform(array('user', 'assistant'), r -> named_struct('role', r, 'content', '{PROBE}')) as messages")
+    turns = chat.canonical_turns(shared.table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(probe))
+    back = chat.read_chats(chat.format_chats(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(text: str) -> str:
+    for control, name in [("&", "&amp;"), *chat.CONTROL.items()]:
+        text = f"replace({text}, '{control}', '{name}')"
+    return text
+
+
+OP8_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, i, r, '{PROBE}' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
+w as (
+  select *, '{chat.START}' || replace({_escaped_sql("role")}, chr(10), '&nl;') || chr(10) || {_escaped_sql("text")} || '{chat.END}' || chr(10) as written from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(written))::bigint as formatted_chars
+from w group by conv_id
+"""
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
+SQL: dict[str, str] = {"op8_chat": OP8_SQL}
