@@ -8,7 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, shared, token_store
+from . import chat, packing, shared, token_store, warc
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(shared.table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
+    back = warc.read_warc(manifest, with_payload=False)
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP2_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as hex, min(page_id) over (partition by sha1(payload)) as first from p),
+b as (select *, list_reduce(list_transform(range(40), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i + 1]) - 1), 4, '0')), lambda x, y: x || y) as bits from d)
+select page_id, payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j: (bits[i * 5 + j + 1] = '1')::int * (16 >> j::int)))::int]), lambda x, y: x || y) as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first = page_id then null else first end as refers_to
+from b
+"""
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +77,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
-SQL: dict[str, str] = {"op8_chat": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL}

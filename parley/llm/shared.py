@@ -59,7 +59,7 @@ def write_atomic(uri: str, chunks) -> int:
     store, path = filesystem(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

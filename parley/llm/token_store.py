@@ -54,7 +54,7 @@ def _narrow(ids: bytes, width: int) -> bytes:
 @lru_cache(maxsize=4)
 def _dictionary(folder: str) -> tuple[bytes, zstandard.ZstdCompressionDict | None]:
     store, path = shared.filesystem(f"{folder}/dictionary.zdict")
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         raw = f.read()
     return hashlib.sha256(raw).digest(), zstandard.ZstdCompressionDict(raw) if raw else None
 
