@@ -1,29 +1,23 @@
 """Byte-level BPE ids of whole texts, through the tokenizers library, with a memo of the chunks between words.
 
-A byte-level BPE tokenizer first cuts a text into pre-tokens and merges inside each alone. Between two characters
-that are not white space, a single space always starts a new pre-token, so a text may be cut before each such space
-and the chunks encoded apart. Each distinct chunk goes through the library once while it is in the memo, whose size
-is bounded; the ids are those of the whole text.
+A byte-level BPE tokenizer first cuts a text into pre-tokens and merges inside each alone. Where every white space of
+a text is one space or one line feed between two other characters, each of them starts a new pre-token, so the text
+may be cut before them and the chunks encoded apart. Each distinct chunk goes through the library once while it is in
+the memo, whose size is bounded; the ids are those of the whole text. Other texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-END_OF_CHUNK = re.compile(r"(?<=\S) (?=\S)")
-SPACES = [chr(c) for c in range(0x3001) if re.match(r"\s", chr(c))]
-IRREGULAR = [x for s in SPACES for x in (s + " ", " " + s)]
-
-
 class ChunkEncoder:
     """encode(texts): for each text, its ids as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer_path: str, memo_entries: int = 400_000):
+    def __init__(self, tokenizer_path: str, memo_entries: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,37 +30,45 @@ class ChunkEncoder:
             self.n_bytes[i] = len(piece)  # byte-level pieces are spelt with one character a byte
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode many chunks as one text, since a call costs more than a chunk, and part its ids at their places."""
-        groups = [chunks[i : i + 200] for i in range(0, len(chunks), 200)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        """Encode many chunks as one text, since a call costs more than a chunk, and part its ids at their places.
+
+        A chunk is a word after a space, unless it begins with its line feed.
+        """
+        groups = [[x if x[0] == "\n" else " " + x for x in chunks[i : i + 200]] for i in range(0, len(chunks), 200)]
+        memo, n_bytes = self.memo, self.n_bytes
+        for k, (group, found) in enumerate(zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True)):
             ids = array("I", found.ids)
-            ends = np.cumsum(self.n_bytes[ids])
-            cuts = (np.searchsorted(ends, np.cumsum([len(x.encode()) + 1 for x in group])) * 4 + 4).tolist()
+            cuts = (np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])) * 4 + 4).tolist()
             raw, a = ids.tobytes(), 0
-            for chunk, b in zip(group, cuts, strict=True):
-                self.memo[chunk] = raw[a:b]
+            for chunk, b in zip(chunks[k * 200 : k * 200 + 200], cuts, strict=True):
+                memo[chunk] = raw[a:b]
                 a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        cut, whole = [], []
         for text in texts:
-            odd = text[:1] == " " or text[-1:] == " " or any(x in text for x in IRREGULAR)
-            cut.append(END_OF_CHUNK.split(text) if odd else text.split(" "))
-        heads = self.tokenizer.encode_batch_fast([x[0] for x in cut], add_special_tokens=False)
+            parts = text.replace("\n", " \n").split(" ")
+            regular = text.split() == text.replace("\n", " ").split(" ")
+            cut.append(parts if regular else None)
+            whole.append(parts[0] if regular else text)
+        begun = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
         memo = self.memo
         if len(memo) > self.memo_entries:
             memo.clear()
         get, bodies, new = memo.__getitem__, [], set()
         for parts in cut:
-            del parts[0]
-            try:
-                bodies.append(b"".join(map(get, parts)))
-            except KeyError:
-                bodies.append(None)
-                new.update(x for x in parts if x not in memo)
+            body = b""
+            if parts:
+                del parts[0]
+                try:
+                    body = b"".join(map(get, parts))
+                except KeyError:
+                    body = None
+                    new |= set(parts).difference(memo)
+            bodies.append(body)
         if new:
             self._learn(list(new))
-        return [array("I", head.ids).tobytes() + (b"".join(map(get, parts)) if body is None else body) for head, body, parts in zip(heads, bodies, cut, strict=True)]
+        return [array("I", x.ids).tobytes() + (b"".join(map(get, parts)) if body is None else body) for x, body, parts in zip(begun, bodies, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
