@@ -35,11 +35,13 @@ MANIFEST = "partition long, shard long, path string, n_docs long, n_tokens long"
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, width: int, sample_docs: int = 1000, sample_chars: int = 8192, dict_bytes: int = 65536) -> bytes:
-    """A dictionary from a bounded sample: the sample_docs rows of least id hash, sample_chars of each.
+    """A dictionary from a bounded sample: rows whose id hash is in a range that holds about sample_docs, sample_chars of each.
 
     With too few rows to train on, the sample itself is the dictionary (possibly empty).
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_docs).collect()
+    share = max(1, docs.count() // sample_docs)
+    picked = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0))
+    rows = picked.select(F.substring(text_col, 1, sample_chars).alias("t")).limit(2 * sample_docs).collect()
     samples = [_narrow(x, width) for x in encoder(tokenizer_path).encode([r.t for r in rows])]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
