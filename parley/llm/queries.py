@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, shared, token_store, warc
+from . import chat, packing, quality, shared, token_store, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ from b
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = shared.stage(quality.measure(docs, drop_text=True), "measured")
+    told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judge(measured).select("doc_id", *(F.col(f"__stats.{c}") for c in told), "__verdict.base_failed", "__verdict.kept", "__verdict.distance2")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_store(shared.table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_store(manifest, digest=True)
@@ -77,5 +84,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL}
