@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, shared, token_store, warc
+from . import chat, ngram_join, packing, quality, shared, token_store, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured).select("doc_id", *(F.col(f"__stats.{c}") for c in told), "__verdict.base_failed", "__verdict.kept", "__verdict.distance2")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes_of(shared.table(spark, sf_dir, "documents"), n=3, percent=90).drop("row")
+
+
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+g as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(len(words) - 2), lambda i: words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) end as grams from w),
+x as (select doc_id, len(grams) as n, unnest(grams) as gram from g),
+p as (
+  select a.doc_id as a, b.doc_id as b from x a join x b on a.gram = b.gram and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a)
+select g.doc_id, len(grams)::bigint as n_shingles, least(g.doc_id, m.least) as component_id
+from g join (select a, min(b) as least from r group by a) m on m.a = g.doc_id
+"""
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_store(shared.table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_store(manifest, digest=True)
@@ -84,5 +105,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_chat": OP8_SQL}
