@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
+from .pairs import by_pivot, verify
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLOT_BITS, CHUNKS = 20, 64
@@ -179,6 +180,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _grams(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """A row for each document: its own number, id, set size, digest of the set and prefix."""
 
@@ -199,7 +204,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, classes: np.ndarray) -> DataFrame:
-    """(row, grams) of the wanted (row, doc_id, digest), from the texts again: sets are kept for these alone."""
+    """(row, data) of the wanted (row, doc_id, digest), from the texts again: sets are kept for these alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,53 +214,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
                     found = ordered_set(text, n, classes)
                     if xxhash.xxh3_128_digest(found.tobytes()) == digest:
                         rows.append((row, found.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "data"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(shared.maybe_broadcast(wanted, 64), texts.doc_id.eqNullSafe(wanted.doc_id)).select("text", "row", "digest").mapInArrow(run, "row long, grams binary")
+    found = texts.join(shared.maybe_broadcast(wanted, 64), texts.doc_id.eqNullSafe(wanted.doc_id)).select("text", "row", "digest").mapInArrow(run, "row long, data binary")
     return found.dropDuplicates(["row"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 500) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked. The members of a b with many partners go to several tasks."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-    salts = shared.stage(salts, "salts")
-    members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
-    members = members.join(sets.withColumnRenamed("row", "a"), "a").select("b", "salt", "a", "grams")
-    pivots = salts.join(sets.withColumnRenamed("row", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "grams")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivot = None, None
-        for batch in batches:
-            found = []
-            for b, _, a, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(grams, np.uint64)
-                if a is None:
-                    at, pivot = b, x
-                elif b == at and linked(x, pivot, percent):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return members.unionByName(pivots).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
-
-
-def _fits(n: str, m: str, percent: int):
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
-
-
-def by_pivot(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each member with the best pivot of its buckets that is of another component.
-
-    members: token, row, n, weight, comp. A bucket offers its best member and its best of any other component.
-    """
-    best = F.max(F.struct("weight", (-F.col("row")).alias("minus"), "n", "comp"))
-    first = members.groupBy("token").agg(best.alias("p"))
-    second = members.join(first, "token").where("comp <> p.comp").groupBy("token").agg(best.alias("q"))
-    offers = first.join(second, "token", "left")
-    picked = members.join(offers, "token").select("row", "n", F.expr("case when comp <> p.comp then p else q end").alias("p")).where(F.col("p").isNotNull() & _fits("n", "p.n", percent))
-    return picked.groupBy("row").agg(F.max("p").alias("p")).select(F.col("row").alias("a"), (-F.col("p.minus")).alias("b"))
-
-
 def by_tree(members: DataFrame, prefixes: DataFrame, percent: int, block: int = 1000) -> DataFrame:
     """Pairs (a, b) of different components that the prefix trees of their buckets cannot rule out."""
     sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -298,7 +263,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for step in (by_pivot, by_pivot, by_tree):
         prefixes = (same.select("row", "prefix"),) if step is by_tree else ()
         pairs = shared.stage(step(now, *prefixes, percent), "pairs")
-        new = shared.stage(verify(pairs, sets, percent), "links")
+        new = shared.stage(verify(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
         links = links.unionByName(new) if links is not None else new
         comps = shared.stage(components(links), "components")
         if step is not by_tree:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ngram_join, packing, quality, shared, token_store, warc
+from . import chat, lines, ngram_join, packing, quality, shared, token_store, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +105,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", F.col("__lines.lines").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_chat": OP8_SQL}
