@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, ngram_join, packing, quality, shared, token_store, warc
+from . import ann, chat, lines, ngram_join, packing, quality, shared, site_tree, token_store, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,16 @@ from g join (select a, min(b) as least from r group by a) m on m.a = g.doc_id
 """
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(shared.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_tree.extract(shared.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_store(shared.table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_store(manifest, digest=True)
@@ -110,5 +120,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", F.col("__lines.lines").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_chat": OP8_SQL}
