@@ -1,13 +1,14 @@
 """Similarity join of documents on word n-grams by prefix trees, exact, with the components of its links.
 
-A document's set is its distinct word n-grams, ordered by one global order: n-grams of rare slots of a counting sketch
-over the whole corpus first (the sketch has a fixed size, so the order costs one pass and 1 MB for each task). Two
-sets of Jaccard similarity t or more share an n-gram among the first |x| - ceil(t |x|) + 1 of each.
+A document's set is its distinct word n-grams, ordered by one global order: by the rarest word in each, as a counting
+sketch of the words of the whole corpus has it (an n-gram is no more frequent than its rarest word; the sketch has a
+fixed size, so the order costs one pass and at most a few MB for each task). Two sets of Jaccard similarity t or more share an n-gram among the first |x| - ceil(t |x|) + 1 of each.
 
 1. Equal sets are put together; one document stands for each.
 2. Prefix n-grams that two or more documents share make buckets. Every document is first compared with one pivot of
    its buckets, the member that shares most of its prefix with others; two rounds of this find nearly all components,
-   at a cost in proportion to the documents and not to the pairs of a group.
+   at a cost in proportion to the documents and not to the pairs of a group. Prefixes alone rule most pairs out;
+   whole sets are made for the rest.
 3. In buckets that still hold several components, all remaining pairs are covered: prefixes are stored in a trie,
    traversed with shared partial overlaps, and subtrees are pruned by the bound on the overlap that the remaining
    lengths allow. What survives is verified on the whole sets. Large buckets are dealt out as pairs of blocks.
@@ -39,7 +40,7 @@ from .pairs import by_pivot, verify
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLOT_BITS, CHUNKS = 20, 64
-LOW = np.uint64((1 << 56) - 1)
+LOW, SHIFT = np.uint64((1 << 56) - 1), np.uint64(64 - SLOT_BITS)
 
 
 class WordHashes(dict):
@@ -63,29 +64,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Hashes of the word n-grams of a text, in its order, with repeats."""
+def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = _mix(out + h[i : len(h) - k + 1 + i])
-    return out
+    return np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
 
 
-def sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """For each slot of hashes, the class of its count over all texts (four classes for each doubling)."""
+def sketch(docs: DataFrame, text_col: str) -> np.ndarray:
+    """For each slot of word hashes, the class of its count of documents' words (four classes for each doubling)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                parts = [np.unique(shingles(t, n)) for t in batch.column(0).slice(i, 256).to_pylist()]
-                slots = (np.concatenate(parts) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                np.add.at(total, slots, 1) if len(slots) < 1000 else np.add(total, np.bincount(slots, minlength=len(total)), out=total)
+                parts = [np.unique(word_hashes(t)) for t in batch.column(0).slice(i, 256).to_pylist()]
+                total += np.bincount((np.concatenate(parts) >> SHIFT).astype(np.int64), minlength=len(total))
         if total.any():
             each = np.split(total, CHUNKS)
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in each], pa.binary())], ["chunk", "counts"])
@@ -103,8 +95,17 @@ def sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
 def ordered_set(text: str | None, n: int, classes: np.ndarray) -> np.ndarray:
     """The distinct n-grams as numbers whose order is the global one."""
-    h = shingles(text, n)
-    return np.unique((classes[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & LOW))
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    rare = classes[(w >> SHIFT).astype(np.int64)]
+    k = min(n, len(w))
+    size = len(w) - k + 1
+    h, rarest = np.zeros(size, np.uint64), np.full(size, 255, np.uint8)
+    for i in range(k):
+        h = _mix(h + w[i : size + i])
+        rarest = np.minimum(rarest, rare[i : size + i])
+    return np.unique((rarest.astype(np.uint64) << np.uint64(56)) | (h & LOW))
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -172,53 +173,63 @@ class PrefixTree:
                     stack.append((child, passed, i, c))
 
 
-PROFILE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     """Unsigned numbers as signed ones of the same order."""
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _grams(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
-
-
-def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """A row for each document: its own number, id, set size, digest of the set and prefix."""
+def profiles(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """docs has row, doc_id, text, th (hash of the text). A row for each: with its set's size, its digest and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                part, rows = batch.slice(i, 1000), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = ordered_set(text, n, classes)
-                    rows.append((row, doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), _signed(found[: prefix_length(len(found), percent)])))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PROFILE, strict=True)], schema=PROFILE)
+                part = batch.slice(i, 1000)
+                sets = [ordered_set(text, n, classes) for text in part.column(2).to_pylist()]
+                prefixes = [_signed(x[: prefix_length(len(x), percent)]) for x in sets]
+                columns = [part.column(0), part.column(1), part.column(3), *map(pa.array, ([len(x) for x in sets], [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], prefixes), (pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "n_shingles", "digest", "prefix"])
+
+    return docs.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, digest binary, prefix array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, prefix array<long>")
 
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
+    """(row, data) of the wanted (row, doc_id, th, digest), from the texts again: sets are kept for these alone.
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, classes: np.ndarray) -> DataFrame:
-    """(row, data) of the wanted (row, doc_id, digest), from the texts again: sets are kept for these alone."""
+    Rows that repeat id and text give their set each, which does no harm where sets are joined to pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                part, rows = batch.slice(i, 1000), []
-                for text, row, digest in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                rows = []
+                for text, row, digest in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns), strict=True):
                     found = ordered_set(text, n, classes)
                     if xxhash.xxh3_128_digest(found.tobytes()) == digest:
                         rows.append((row, found.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "data"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(shared.maybe_broadcast(wanted, 64), texts.doc_id.eqNullSafe(wanted.doc_id)).select("text", "row", "digest").mapInArrow(run, "row long, data binary")
-    return found.dropDuplicates(["row"])
+    texts = docs.select("doc_id", "th", "text")
+    return texts.join(shared.maybe_broadcast(wanted, 64), texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.th == wanted.th)).select("text", "row", "digest").mapInArrow(run, "row long, data binary")
+
+
+def _grams(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _prefix(data: dict) -> tuple[int, np.ndarray]:
+    return data["n"], np.array(data["prefix"])
+
+
+def could_link(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], percent: int) -> bool:
+    """Whether the prefixes of two sets, with their sizes, leave the similarity possible."""
+    (nx, px), (ny, py) = x, y
+    if 100 * min(nx, ny) < percent * max(nx, ny):
+        return False
+    both = len(np.intersect1d(px, py, assume_unique=True))
+    last = min(px[-1], py[-1])
+    rest = min(nx - int(np.searchsorted(px, last, "right")), ny - int(np.searchsorted(py, last, "right")))
+    return both + rest >= needed(nx, ny, percent)
 
 
 def by_tree(members: DataFrame, prefixes: DataFrame, percent: int, block: int = 1000) -> DataFrame:
@@ -245,33 +256,54 @@ def by_tree(members: DataFrame, prefixes: DataFrame, percent: int, block: int =
     return tasks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long").distinct()
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """row, doc_id, n_shingles, component_id for each document: the least id that links reach."""
-    order = sketch(docs, text_col, n)
-    each = shared.stage(profiles(docs, id_col, text_col, n, percent, order), "profiles")
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id (the least id that links reach) and comp (of rows) for each document.
+
+    row_col names a column that numbers the rows; without it they are numbered here.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    order = sketch(docs, "text")
+    each = shared.stage(profiles(docs, n, percent, order), "profiles")
     full = each.where("n_shingles > 0")
-    same = full.groupBy("digest").agg(F.min_by(F.struct("row", "doc_id", F.col("n_shingles").alias("n"), "prefix"), "row").alias("r"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    same = full.groupBy("digest").agg(F.min_by(F.struct("row", "doc_id", "th", F.col("n_shingles").alias("n"), "prefix"), "row").alias("r"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     same = shared.stage(same.select("digest", "r.*", "copies", "least"), "sets")
     tokens = same.select("row", "n", F.explode("prefix").alias("token"))
-    shared_tokens = shared.stage(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    members = shared.stage(tokens.join(shared.maybe_broadcast(shared_tokens, 16), "token"), "members")
+    several = shared.stage(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
+    members = shared.stage(tokens.join(shared.maybe_broadcast(several, 16), "token"), "members")
     weights = members.groupBy("row").agg(F.count("*").alias("weight"))
     members = shared.stage(members.join(weights, "row"), "members")
-    wanted = shared.stage(same.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "digest"), "wanted")
-    sets = shared.stage(whole_sets(docs, wanted, id_col, text_col, n, order), "grams")
-    links, now = None, members.withColumn("comp", F.col("row"))
+    prefixes = same.select("row", F.struct("n", "prefix").alias("data"))
+    links, sets, now = None, None, members.withColumn("comp", F.col("row"))
     for step in (by_pivot, by_pivot, by_tree):
-        prefixes = (same.select("row", "prefix"),) if step is by_tree else ()
-        pairs = shared.stage(step(now, *prefixes, percent), "pairs")
-        new = shared.stage(verify(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
-        links = links.unionByName(new) if links is not None else new
+        pairs = by_tree(now, same.select("row", "prefix"), percent) if step is by_tree else verify(shared.stage(by_pivot(now, percent), "pairs"), prefixes, _prefix, lambda x, y: could_link(x, y, percent))
+        pairs = shared.stage(pairs, "pairs")
+        named = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        new = named if sets is None else named.join(sets.select("row"), "row", "left_anti")
+        wanted = shared.stage(same.join(new, "row", "left_semi").select("row", "doc_id", "th", "digest"), "wanted")
+        found = shared.stage(whole_sets(docs, wanted, n, order), "grams")
+        sets = found if sets is None else sets.unionByName(found)
+        verified = shared.stage(verify(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
+        links = verified if links is None else links.unionByName(verified)
         comps = shared.stage(components(links), "components")
         if step is not by_tree:
             known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
-            several = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            now = shared.stage(known.join(several, "token"), "members")
+            open_ = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+            now = shared.stage(known.join(open_, "token"), "members")
     classed = same.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
     least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    many = classed.where(F.col("root").isNotNull() | (F.col("copies") > 1)).join(least, "comp").select("digest", "component_id")
+    many = classed.where(F.col("root").isNotNull() | (F.col("copies") > 1)).join(least, "comp").select("digest", "component_id", "comp")
     many = shared.maybe_broadcast(shared.stage(many, "classes"), 64)
-    return each.join(many, "digest", "left").select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = each.join(many, "digest", "left")
+    return joined.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "row").alias("comp"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without all but one of each class: that of the least id (nulls last), then of the first row."""
+    numbered = shared.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = shared.stage(classes_of(numbered, id_col, text_col, n, percent, "__row"), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = classes.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
+    first = shared.maybe_broadcast(shared.stage(first, "first"), 64)
+    later = shared.stage(classes.join(first, "comp").where("row <> first.row").select(F.col("row").alias("__row")), "later")
+    return numbered.join(shared.maybe_broadcast(later, 16), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

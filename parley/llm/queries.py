@@ -37,7 +37,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes_of(shared.table(spark, sf_dir, "documents"), n=3, percent=90).drop("row")
+    return ngram_join.classes_of(shared.table(spark, sf_dir, "documents"), n=3, percent=90).drop("row", "comp")
 
 
 OP4_SQL = r"""
