@@ -8,7 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, ngram_join, packing, quality, shared, site_tree, token_store, warc
+from . import ann, chat, lines, ngram_join, packing, pieces, quality, shared, site_tree, token_store, warc
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (unsigned, ids as little-endian 32-bit integers) and whether decoding gives the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +126,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", F.col("__lines.lines").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_chat": OP8_SQL}
