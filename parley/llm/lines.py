@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .components import components
@@ -37,7 +38,7 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def signatures(lines: list[str], shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """Band keys of each line, an array of len(lines) by bands: from the least of each of rows * bands hashes."""
+    """The MinHash signature of each line: len(lines) by rows * bands least hashes."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     text = np.frombuffer(("".join(lines) + "\0" * shingle).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     ends = np.cumsum(sizes)
@@ -66,11 +67,16 @@ def signatures(lines: list[str], shingle: int = SHINGLE, rows: int = ROWS, bands
         least[k] = np.minimum.reduceat(hashed, cuts)[::2]
         if last:
             least[k, -1] = hashed[starts[-1] :].min()
-    keys = np.empty((len(lines), bands), np.uint64)
+    return least.T.astype(np.uint32)
+
+
+def band_keys(least: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """Band keys of signatures: len(least) by bands."""
+    keys = np.empty((len(least), bands), np.uint64)
     for b in range(bands):
-        x = np.full(len(lines), b + 1, np.uint64)
+        x = np.full(len(least), b + 1, np.uint64)
         for r in range(rows):
-            x = (x ^ least[b * rows + r]) * np.uint64(BASE)
+            x = (x ^ least[:, b * rows + r]) * np.uint64(BASE)
             x ^= x >> np.uint64(31)
         keys[:, b] = x
     return keys
@@ -103,7 +109,7 @@ def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
                 if not lines:
                     continue
                 nodes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
-                keys = signatures(lines)
+                keys = band_keys(signatures(lines))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 where = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(number, pa.int32()), pa.array(nodes.view(np.int64)), bands], ["__row", "__id", "line", "node", "bands"])
@@ -111,14 +117,61 @@ def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
     return numbered.mapInArrow(run, "__row long, __id long, line int, node long, bands array<long>")
 
 
-def by_blocks(members: DataFrame, block: int = 1000) -> DataFrame:
-    """All pairs (a, b) of different components in a bucket; large buckets are dealt out as pairs of blocks."""
+def with_signatures(texts: DataFrame) -> DataFrame:
+    """texts (row, text) as row, data (the text in bytes) and signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                lines = part.column(1).to_pylist()
+                signed = pa.array([x.tobytes() for x in signatures(lines)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.binary()), signed], ["row", "data", "signature"])
+
+    return texts.mapInArrow(run, "row long, data binary, signature binary")
+
+
+def by_blocks(members: DataFrame, signed: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """The pairs (a, b) of different components in a bucket whose signatures leave the similarity likely.
+
+    Large buckets are dealt out as pairs of blocks. A pair passes if its signatures agree in a share of 60 percent of
+    the similarity; one that has the similarity fails that with a probability of under 0.001.
+    """
+    least = int(ROWS * BANDS * percent * 0.6 / 100)
     sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    tasks = dealt.select("token", "row", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("token", "row", "comp", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
-    left = tasks.where("k = i").select("token", "i", "j", F.col("row").alias("a"), F.col("comp").alias("ca"))
-    right = tasks.where("k = j").select("token", "i", "j", F.col("row").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, ["token", "i", "j"]).where("ca <> cb and (i < j or a < b)").select("a", "b").distinct()
+    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).join(signed.select("row", "signature"), "row")
+    tasks = dealt.select("token", "row", "comp", "signature", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp", "signature")
+
+    def pairs(held: list[tuple], i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block, row, comp = (np.array([h[c] for h in held], np.int64) for c in range(3))
+        signs = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in left:
+            others = right[right > a] if i == j else right
+            others = others[comp[others] != comp[a]]
+            others = others[(signs[others] == signs[a]).sum(1) >= least]
+            yield np.full(len(others), row[a]), row[others]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            found = list(pairs(held, at[1], at[2])) if len(held) > 1 else []
+            a, b = (np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, i, j) != at:
+                    if held:
+                        yield done()
+                    at, held = (token, i, j), []
+                held.append(rest)
+        if held:
+            yield done()
+
+    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percent: int) -> DataFrame:
@@ -130,11 +183,11 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
     members = shared.stage(members.join(weights, "row").withColumn("n", F.lit(1)), "members")
     wanted = shared.maybe_broadcast(shared.stage(members.select("row").distinct(), "wanted"), 16)
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
-    texts = shared.stage(texts.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", F.col("text").cast("binary").alias("data")), "texts")
+    texts = shared.stage(with_signatures(texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])), "texts")
     links, now = None, members.withColumn("comp", F.col("row"))
     for last in (False, False, True):
-        pairs = shared.stage(by_blocks(now) if last else by_pivot(now, percent), "pairs")
-        new = shared.stage(verify(pairs, texts, shingle_set, lambda x, y: alike(x, y, percent)), "links")
+        pairs = shared.stage(by_blocks(now, texts, percent) if last else by_pivot(now, percent), "pairs")
+        new = shared.stage(verify(pairs, texts.select("row", "data"), shingle_set, lambda x, y: alike(x, y, percent)), "links")
         links = links.unionByName(new) if links is not None else new
         comps = shared.stage(components(links), "components")
         if not last:
@@ -154,11 +207,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = alone.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     later = alone.join(shared.maybe_broadcast(shared.stage(first, "first"), 48), "comp").where("place <> first")
     gone = shared.stage(later.groupBy("__row").agg(F.collect_set("line").alias("__gone")), "gone")
-    kept = whole.join(shared.maybe_broadcast(gone, 64), "__row", "left")
-    parts = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    count = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    removed = F.coalesce(F.size("__gone"), F.lit(0))
-    counts = F.struct(F.coalesce(count, F.lit(0)).cast("long").alias("lines"), removed.cast("long").alias("removed"))
-    return kept.withColumn(out, counts).withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in docs.columns), out)
+    kept = whole.join(shared.maybe_broadcast(gone, 64), "__row", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone")
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, out]
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                texts, total, removed = [], [], []
+                for text, drop in zip(part.column(at).to_pylist(), part.column(len(names) - 1).to_pylist(), strict=True):
+                    parts, drop = (text or "").split("\n"), set(drop or ())
+                    total.append(sum(1 for x in parts if x.strip(SPACE)))
+                    removed.append(len(drop))
+                    texts.append("\n".join(x for n, x in enumerate(parts) if n not in drop) if drop else text)
+                counts = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["lines", "removed"])
+                columns = [*part.columns[: at], pa.array(texts, pa.string()), *part.columns[at + 1 : len(names) - 1], counts]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema] + [T.StructField(out, T.StructType([T.StructField(c, T.LongType()) for c in ("lines", "removed")]))])
+    return kept.mapInArrow(rewrite, schema)
