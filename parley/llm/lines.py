@@ -3,8 +3,8 @@
 1. Every line with a word gets its hash (its node: equal lines are one node) and the MinHash signature of its
    character shingles, cut into bands. A line shorter than a shingle is its own only shingle.
 2. Bands that lines of two or more nodes share are buckets; buckets of equal lines alone count as none. Each node is
-   first compared with the best pivots of its buckets, in two rounds; what is still apart in a bucket is compared pair
-   by pair, buckets being dealt out in blocks. Similarity is verified on the shingle sets of whole lines.
+   first compared with the best pivot of its buckets; what is still apart in a bucket is compared within blocks of it,
+   and what is apart then between blocks. Similarity is verified on the shingle sets of whole lines.
 3. Verified links give components by distributed union-find. Of a component's lines the first in order of doc_id,
    row and line number stays. Least positions are aggregated before the shuffle, so a line that makes up a third of
    the corpus is no heavier a task than others.
@@ -131,35 +131,60 @@ def with_signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, data binary, signature binary")
 
 
-def by_blocks(members: DataFrame, signed: DataFrame, percent: int, block: int = 1000) -> DataFrame:
-    """The pairs (a, b) of different components in a bucket whose signatures leave the similarity likely.
+def link_blocks(members: DataFrame, signed: DataFrame, percent: int, crossing: bool, block: int = 1000) -> DataFrame:
+    """Verified links (a, b) between components that meet in a bucket: enough of them to join all that are linked.
 
-    Large buckets are dealt out as pairs of blocks. A pair passes if its signatures agree in a share of 60 percent of
-    the similarity; one that has the similarity fails that with a probability of under 0.001.
+    A bucket's members are dealt out in blocks; a task takes one block, or with crossing a pair of them. It compares
+    pairs of different components whose signatures agree in a share of 60 percent of the similarity (one that has the
+    similarity fails that with a probability of under 0.001), likeliest first, each pair
+    in the first bucket that it shares, and joins components as it goes, so a
+    dense group of copies costs about a comparison for each member and not one for each pair.
     """
     least = int(ROWS * BANDS * percent * 0.6 / 100)
     sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).join(signed.select("row", "signature"), "row")
-    tasks = dealt.select("token", "row", "comp", "signature", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp", "signature")
+    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tasks = dealt.select("token", "row", "comp", "k", F.explode(F.array_except(others, F.array("k")) if crossing else F.array("k")).alias("o"))
+    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(signed, "row").select("token", "i", "j", "k", "row", "comp", "signature", "data")
 
-    def pairs(held: list[tuple], i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        block, row, comp = (np.array([h[c] for h in held], np.int64) for c in range(3))
+    def links(token: int, held: list[tuple]) -> list[tuple[int, int]]:
+        row, comp = [h[1] for h in held], [h[2] for h in held]
         signs = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left = [n for n, h in enumerate(held) if h[0] == held[0][0]] if crossing else range(len(held))
+        right = np.array([n for n, h in enumerate(held) if h[0] != held[0][0]] if crossing else range(len(held)))
+        root, sets, found = {c: c for c in comp}, {}, []
+        here = (band_keys(signs[:1]).view(np.int64)[0] == token).argmax()
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def grams(n: int) -> set[str]:
+            if n not in sets:
+                sets[n] = shingle_set(held[n][4])
+            return sets[n]
+
         for a in left:
-            others = right[right > a] if i == j else right
-            others = others[comp[others] != comp[a]]
-            others = others[(signs[others] == signs[a]).sum(1) >= least]
-            yield np.full(len(others), row[a]), row[others]
+            near = right if crossing else right[a + 1 :]
+            same = signs[near] == signs[a]
+            agree, first = same.sum(1), same.reshape(len(near), BANDS, ROWS).all(2).argmax(1)
+            pick = np.flatnonzero((agree >= least) & (first == here))
+            for n in pick[np.argsort(-agree[pick], kind="stable")]:
+                b = int(near[n])
+                x, y = find(comp[a]), find(comp[b])
+                if x != y and alike(grams(a), grams(b), percent):
+                    root[x] = y
+                    found.append((row[a], row[b]))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def done() -> pa.RecordBatch:
-            found = list(pairs(held, at[1], at[2])) if len(held) > 1 else []
-            a, b = (np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = links(at[0], held) if len({h[2] for h in held}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -171,7 +196,7 @@ def by_blocks(members: DataFrame, signed: DataFrame, percent: int, block: int =
         if held:
             yield done()
 
-    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long")
 
 
 def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percent: int) -> DataFrame:
@@ -184,16 +209,19 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
     wanted = shared.maybe_broadcast(shared.stage(members.select("row").distinct(), "wanted"), 16)
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
     texts = shared.stage(with_signatures(texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])), "texts")
-    links, now = None, members.withColumn("comp", F.col("row"))
-    for last in (False, False, True):
-        pairs = shared.stage(by_blocks(now, texts, percent) if last else by_pivot(now, percent), "pairs")
-        new = shared.stage(verify(pairs, texts.select("row", "data"), shingle_set, lambda x, y: alike(x, y, percent)), "links")
+    links, now, comps = None, members.withColumn("comp", F.col("row")), None
+    for step in ("pivots", "blocks", "crossing"):
+        if step == "pivots":
+            pairs = shared.stage(by_pivot(now, percent), "pairs")
+            new = verify(pairs, texts.select("row", "data"), shingle_set, lambda x, y: alike(x, y, percent))
+        else:
+            new = link_blocks(now, texts, percent, step == "crossing")
+        new = shared.stage(new, "links")
         links = links.unionByName(new) if links is not None else new
         comps = shared.stage(components(links), "components")
-        if not last:
-            known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
-            several = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            now = shared.stage(known.join(several, "token"), "members")
+        known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
+        several = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        now = shared.stage(known.join(several, "token"), "members") if step != "crossing" else now
     return comps
 
 
