@@ -31,10 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .block_pairs import verify_blocks
 from .components import components
 from .pairs import by_pivot, verify
 
@@ -256,6 +257,14 @@ def by_tree(members: DataFrame, prefixes: DataFrame, percent: int, block: int =
     return tasks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_partners(members: DataFrame, percent: int) -> DataFrame:
+    """The members of a bucket that have another one of a size that allows the similarity: the next by size will tell."""
+    by = Window.partitionBy("token").orderBy("n", "row")
+    near = members.withColumn("__less", F.lag("n").over(by)).withColumn("__more", F.lead("n").over(by))
+    fits = (100 * F.col("__less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("__more"))
+    return near.where(fits).drop("__less", "__more")
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id (the least id that links reach) and comp (of rows) for each document.
 
@@ -270,7 +279,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = shared.stage(same.select("digest", "r.*", "copies", "least"), "sets")
     tokens = same.select("row", "n", F.explode("prefix").alias("token"))
     several = shared.stage(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    members = shared.stage(tokens.join(shared.maybe_broadcast(several, 16), "token"), "members")
+    members = shared.stage(with_partners(tokens.join(shared.maybe_broadcast(several, 16), "token"), percent), "members")
     weights = members.groupBy("row").agg(F.count("*").alias("weight"))
     members = shared.stage(members.join(weights, "row"), "members")
     prefixes = same.select("row", F.struct("n", "prefix").alias("data"))
@@ -283,7 +292,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = shared.stage(same.join(new, "row", "left_semi").select("row", "doc_id", "th", "digest"), "wanted")
         found = shared.stage(whole_sets(docs, wanted, n, order), "grams")
         sets = found if sets is None else sets.unionByName(found)
-        verified = shared.stage(verify(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
+        verified = shared.stage((verify_blocks if step is by_tree else verify)(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
         links = verified if links is None else links.unionByName(verified)
         comps = shared.stage(components(links), "components")
         if step is not by_tree:
