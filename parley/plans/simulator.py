@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vocabulary as V
@@ -31,7 +32,7 @@ def intent_card(title: Column, features: Column, details: Column, description: C
     return F.struct(name.alias("target_category"), F.slice(clean, 1, 2).alias("hard_constraints"), F.when(F.size(soft) > 0, soft).otherwise(F.slice(clean, 1, 1)).alias("soft_preferences"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def override_turn(sample_id: pd.Series, scenario: pd.Series) -> pd.Series:
     """3 or 4, as the Mersenne Twister seeded by the sample draws it; no expression has that generator."""
     return pd.Series([random.Random(f"{a or ''}\0{b or ''}").choice([3, 4]) for a, b in zip(sample_id, scenario, strict=True)])

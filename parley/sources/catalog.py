@@ -13,15 +13,18 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 
-CATALOG = T.StructType.fromDDL(
-    "parent_asin string, title string, features array<string>, details map<string,string>, description array<string>, categories array<string>, store string, average_rating double, rating_number bigint, price string"
-)
-PROFILE = "struct<purchase_frequency:string,average_prior_rating:double,rating_style:string,preference_tags:array<string>,summary:string>"
-CARD = "struct<target_category:string,hard_constraints:array<string>,soft_preferences:array<string>>"
-BEHAVIOR = "struct<scenario_type:string,override:struct<turn:int,old_value:string,new_value:string,message:string>>"
-SAMPLES = T.StructType.fromDDL(
-    f"sample_id string, scenario_type string, category_bucket string, difficulty_bucket string, ground_truth struct<parent_asin:string>, user_profile {PROFILE}, intent_card {CARD}, behavior {BEHAVIOR}"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+TEXT, TEXTS, NUMBER = T.StringType(), T.ArrayType(T.StringType()), T.DoubleType()
+CATALOG = _struct(
+    parent_asin=TEXT, title=TEXT, features=TEXTS, details=T.MapType(TEXT, TEXT), description=TEXTS, categories=TEXTS, store=TEXT, average_rating=NUMBER, rating_number=T.LongType(), price=TEXT
 )
+PROFILE = _struct(purchase_frequency=TEXT, average_prior_rating=NUMBER, rating_style=TEXT, preference_tags=TEXTS, summary=TEXT)
+CARD = _struct(target_category=TEXT, hard_constraints=TEXTS, soft_preferences=TEXTS)
+BEHAVIOR = _struct(scenario_type=TEXT, override=_struct(turn=T.IntegerType(), old_value=TEXT, new_value=TEXT, message=TEXT))
+SAMPLES = _struct(sample_id=TEXT, scenario_type=TEXT, category_bucket=TEXT, difficulty_bucket=TEXT, ground_truth=_struct(parent_asin=TEXT), user_profile=PROFILE, intent_card=CARD, behavior=BEHAVIOR)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
