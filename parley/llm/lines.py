@@ -19,7 +19,9 @@ further columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +89,50 @@ def shingle_set(data: bytes, shingle: int = SHINGLE) -> set[str]:
     return {line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1))}
 
 
+class Signed:
+    """A line with its signature; its shingles are made when they are asked for."""
+
+    def __init__(self, payload: dict):
+        self.signature, self.data, self._set = np.frombuffer(payload["signature"], np.uint32), payload["data"], None
+
+    def likely(self, other: Signed, percent: int) -> bool:
+        return int((self.signature == other.signature).sum()) >= least_agreement(percent)
+
+    @property
+    def shingles(self) -> set[str]:
+        if self._set is None:
+            self._set = shingle_set(self.data)
+        return self._set
+
+
+def least_agreement(percent: int) -> int:
+    """Hashes of two signatures that must agree: 60 percent of those expected at the similarity.
+
+    Lines that have the similarity fail that with a probability of under 0.001.
+    """
+    return int(ROWS * BANDS * percent * 0.6 / 100)
+
+
 def alike(x: set[str], y: set[str], percent: int) -> bool:
     both = len(x & y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def alike_pairs(sets: list[set[str]], percent: int, width: int = 4096) -> np.ndarray:
+    """For all pairs of sets, whether they are alike: intersections by products of 0-1 matrices, width columns at a time."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    times = Counter(chain.from_iterable(sets))
+    column = {x: k for k, x in enumerate(x for x, c in times.items() if c > 1)}
+    at = [np.sort(np.fromiter((column[x] for x in s if x in column), np.int64)) for s in sets]
+    both = np.zeros((n, n))
+    for low in range(0, len(column), width):
+        part = np.zeros((n, min(width, len(column) - low)), np.float32)
+        for k, cols in enumerate(at):
+            part[k, cols[np.searchsorted(cols, low) : np.searchsorted(cols, low + width)] - low] = 1
+        both += part @ part.T
+    return 100 * both >= percent * (size[:, None] + size - both)
+
+
 def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
     """__row, __id, line (its number), node, bands of each line with a word."""
 
@@ -131,29 +172,27 @@ def with_signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, data binary, signature binary")
 
 
-def link_blocks(members: DataFrame, signed: DataFrame, percent: int, crossing: bool, block: int = 1000) -> DataFrame:
+def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bool, block: int = 1000) -> DataFrame:
     """Verified links (a, b) between components that meet in a bucket: enough of them to join all that are linked.
 
     A bucket's members are dealt out in blocks; a task takes one block, or with crossing a pair of them. It compares
-    pairs of different components whose signatures agree in a share of 60 percent of the similarity (one that has the
-    similarity fails that with a probability of under 0.001), likeliest first, each pair
-    in the first bucket that it shares, and joins components as it goes, so a
+    pairs of different components whose signatures agree enough, likeliest first, each pair in the first bucket that
+    it shares, and joins components as it goes, so a
     dense group of copies costs about a comparison for each member and not one for each pair.
     """
-    least = int(ROWS * BANDS * percent * 0.6 / 100)
     sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     tasks = dealt.select("token", "row", "comp", "k", F.explode(F.array_except(others, F.array("k")) if crossing else F.array("k")).alias("o"))
-    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(signed, "row").select("token", "i", "j", "k", "row", "comp", "signature", "data")
+    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(texts, "row").select("token", "i", "j", "k", "row", "comp", "data")
 
-    def links(token: int, held: list[tuple]) -> list[tuple[int, int]]:
-        row, comp = [h[1] for h in held], [h[2] for h in held]
-        signs = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
-        left = [n for n, h in enumerate(held) if h[0] == held[0][0]] if crossing else range(len(held))
-        right = np.array([n for n, h in enumerate(held) if h[0] != held[0][0]] if crossing else range(len(held)))
-        root, sets, found = {c: c for c in comp}, {}, []
-        here = (band_keys(signs[:1]).view(np.int64)[0] == token).argmax()
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        row, comp = [h[1] for h in held], np.array([h[2] for h in held])
+        near = alike_pairs([shingle_set(h[3]) for h in held], percent) & (comp[:, None] != comp)
+        if crossing:
+            block_of = np.array([h[0] for h in held])
+            near &= block_of[:, None] != block_of
+        root, found = {c: c for c in comp.tolist()}, []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -161,29 +200,18 @@ def link_blocks(members: DataFrame, signed: DataFrame, percent: int, crossing: b
                 x = root[x]
             return x
 
-        def grams(n: int) -> set[str]:
-            if n not in sets:
-                sets[n] = shingle_set(held[n][4])
-            return sets[n]
-
-        for a in left:
-            near = right if crossing else right[a + 1 :]
-            same = signs[near] == signs[a]
-            agree, first = same.sum(1), same.reshape(len(near), BANDS, ROWS).all(2).argmax(1)
-            pick = np.flatnonzero((agree >= least) & (first == here))
-            for n in pick[np.argsort(-agree[pick], kind="stable")]:
-                b = int(near[n])
-                x, y = find(comp[a]), find(comp[b])
-                if x != y and alike(grams(a), grams(b), percent):
-                    root[x] = y
-                    found.append((row[a], row[b]))
+        for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True):
+            x, y = find(int(comp[a])), find(int(comp[b]))
+            if x != y:
+                root[x] = y
+                found.append((row[a], row[b]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def done() -> pa.RecordBatch:
-            found = links(at[0], held) if len({h[2] for h in held}) > 1 else []
+            found = links(held) if len({h[2] for h in held}) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -213,9 +241,10 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
     for step in ("pivots", "blocks", "crossing"):
         if step == "pivots":
             pairs = shared.stage(by_pivot(now, percent), "pairs")
-            new = verify(pairs, texts.select("row", "data"), shingle_set, lambda x, y: alike(x, y, percent))
+            payloads = texts.select("row", F.struct("signature", "data").alias("data"))
+            new = verify(pairs, payloads, Signed, lambda x, y: x.likely(y, percent) and alike(x.shingles, y.shingles, percent))
         else:
-            new = link_blocks(now, texts, percent, step == "crossing")
+            new = link_blocks(now, texts.select("row", "data"), percent, step == "crossing")
         new = shared.stage(new, "links")
         links = links.unionByName(new) if links is not None else new
         comps = shared.stage(components(links), "components")
