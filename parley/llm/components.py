@@ -2,7 +2,7 @@
 
 Every step is an aggregation of the least neighbour by node and a join back, so no node's neighbours are gathered,
 however many they are; each round is written down in the shared folder. The rounds grow with the logarithm of the
-number of nodes; a graph of stars needs one or two. Rounds go on while there are more than `small` edges; what is
+number of nodes; a graph of stars needs one or two. Rounds go on while there are more than `limit` edges; what is
 left, counted first and of bounded size, is ended by one union-find on an executor.
 """
 
@@ -37,13 +37,13 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", small: int = 1 << 20) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 20) -> DataFrame:
     """(node, root) for each node that a link names: root is the least node of its component."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, mark = shared.stage(edges, "edges"), None
     while True:
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found[0] <= small:
+        if found[0] <= limit:
             return edges.coalesce(1).mapInArrow(union_find, "node long, root long")
         if found == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -256,15 +256,16 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, out: str = "__lines") -> DataFrame:
     """docs with later near-alike lines gone from text_col, and a struct column out: lines (with a word) and removed (of these)."""
-    whole = shared.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    numbered = whole.select("__row", F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
+    number, drop = shared.free_name(docs, "__row"), shared.free_name(docs, "__gone")
+    whole = shared.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = whole.select(F.col(number).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lines = shared.stage(signed_lines(numbered, text_col), "lines")
     comps = line_components(numbered, lines, text_col, percent)
     alone = lines.select("__row", "__id", "line", "node").join(shared.maybe_broadcast(comps, 16), "node", "left").select("__row", "line", F.coalesce("root", "node").alias("comp"), F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "line").alias("place"))
     first = alone.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     later = alone.join(shared.maybe_broadcast(shared.stage(first, "first"), 48), "comp").where("place <> first")
-    gone = shared.stage(later.groupBy("__row").agg(F.collect_set("line").alias("__gone")), "gone")
-    kept = whole.join(shared.maybe_broadcast(gone, 64), "__row", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone")
+    gone = shared.stage(later.groupBy(F.col("__row").alias(number)).agg(F.collect_set("line").alias(drop)), "gone")
+    kept = whole.join(shared.maybe_broadcast(gone, 64), number, "left").select(*(F.col(f"`{c}`") for c in docs.columns), drop)
     at = docs.columns.index(text_col)
     names = [*docs.columns, out]
 
@@ -283,4 +284,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema] + [T.StructField(out, T.StructType([T.StructField(c, T.LongType()) for c in ("lines", "removed")]))])
-    return kept.mapInArrow(rewrite, schema)
+    return shared.map_rows(kept, rewrite, schema)

@@ -271,7 +271,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row_col names a column that numbers the rows; without it they are numbered here.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    docs = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     order = sketch(docs, "text")
     each = shared.stage(profiles(docs, n, percent, order), "profiles")
     full = each.where("n_shingles > 0")
@@ -309,10 +309,11 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without all but one of each class: that of the least id (nulls last), then of the first row."""
-    numbered = shared.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    classes = shared.stage(classes_of(numbered, id_col, text_col, n, percent, "__row"), "classes")
+    number = shared.free_name(docs, "__row")
+    numbered = shared.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = shared.stage(classes_of(numbered, id_col, text_col, n, percent, number), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = classes.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     first = shared.maybe_broadcast(shared.stage(first, "first"), 64)
-    later = shared.stage(classes.join(first, "comp").where("row <> first.row").select(F.col("row").alias("__row")), "later")
-    return numbered.join(shared.maybe_broadcast(later, 16), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    later = shared.stage(classes.join(first, "comp").where("row <> first.row").select(F.col("row").alias(number)), "later")
+    return numbered.join(shared.maybe_broadcast(later, 16), number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

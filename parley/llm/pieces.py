@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -227,7 +229,7 @@ def _mapped(docs: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.
                 values = [convert(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(p) for p in places), pa.array(values, arrow)], [*names, out])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names] + [T.StructField(out, kind)]))
+    return shared.map_rows(docs, run, T.StructType([docs.schema[c] for c in names] + [T.StructField(out, kind)]))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

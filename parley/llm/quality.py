@@ -74,7 +74,7 @@ def measure(docs: DataFrame, text_col: str = "text", drop_text: bool = False, na
                 stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in found], list(FIELDS))
                 yield pa.RecordBatch.from_arrays([*(part.column(p) for p in places), stats], [*keep, name])
 
-    return docs.mapInArrow(run, schema)
+    return shared.map_rows(docs, run, schema)
 
 
 def base_failed(s: Column) -> Column:
@@ -166,13 +166,15 @@ def judge(measured: DataFrame, group_cols: Sequence[str] = ("lang", "source"), n
     fits = groups.join(best, "grp").where((F.col("n") >= min_group) | (F.col("level") == len(parts)))
     chosen = fits.groupBy(F.col("grps")[0].alias("__grp")).agg(F.min_by(F.struct("center", "precision"), "level").alias("__fit"))
     known = shared.maybe_broadcast(shared.stage(chosen, "mcd-chosen"), 300)
-    d2 = squared_distance(x, F.col("__fit.center"), F.col("__fit.precision"))
-    joined = measured.withColumn("__grp", levels[0]).join(known, "__grp", "left")
+    group, best_fit = shared.free_name(measured, "__grp"), shared.free_name(measured, "__fit")
+    joined = measured.withColumn(group, levels[0]).join(known.select(F.col("__grp").alias(group), F.col("__fit").alias(best_fit)), group, "left")
+    d2 = squared_distance(x, F.col(f"{best_fit}.center"), F.col(f"{best_fit}.precision"))
     verdict = F.struct(failed.alias("base_failed"), F.when(~failed, d2).alias("distance2"), (~failed & (d2 <= cutoff)).alias("kept"))
-    return joined.withColumn(out, verdict).drop("__grp", "__fit")
+    return joined.withColumn(out, verdict).drop(group, best_fit)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", group_cols: Sequence[str] = ("lang", "source")) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    measured = shared.stage(measure(docs, text_col), "measured")
-    return judge(measured, group_cols).where("__verdict.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stats, verdict = shared.free_name(docs, "__stats"), shared.free_name(docs, "__verdict")
+    measured = shared.stage(measure(docs, text_col, name=stats), "measured")
+    return judge(measured, group_cols, stats, out=verdict).where(F.col(f"{verdict}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

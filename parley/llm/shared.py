@@ -34,6 +34,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or a longer name, that no column of df has in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def map_rows(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for a run that takes columns by position, whatever their names (a dot in one is no path)."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def maybe_broadcast(staged: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
     """Hint a broadcast only if the staged table's counted rows fit limit_bytes; otherwise leave a shuffle join."""
     return F.broadcast(staged) if staged.count() * row_bytes <= limit_bytes else staged

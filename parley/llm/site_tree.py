@@ -249,4 +249,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(places)), pa.array(found, pa.string())], [*keep, "text"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(run, f"{schema}, text string")
+    return shared.map_rows(joined, run, f"{schema}, text string")
