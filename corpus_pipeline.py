@@ -23,8 +23,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars is that of the new text. A document without any line with a word stays as it is.
     """
-    done = lines.dedup_lines(docs)
-    left = done.where("__lines.removed < __lines.lines or __lines.lines = 0").drop("__lines")
+    told = shared.free_name(docs, "__lines")
+    done = lines.dedup_lines(docs, out=told)
+    left = done.where(f"{told}.removed < {told}.lines or {told}.lines = 0").drop(told)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
