@@ -96,7 +96,7 @@ class Signed:
         self.signature, self.data, self._set = np.frombuffer(payload["signature"], np.uint32), payload["data"], None
 
     def likely(self, other: Signed, percent: int) -> bool:
-        return int((self.signature == other.signature).sum()) >= least_agreement(percent)
+        return np.count_nonzero(self.signature == other.signature) >= least_agreement(percent)
 
     @property
     def shingles(self) -> set[str]:
@@ -186,9 +186,20 @@ def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bo
     tasks = dealt.select("token", "row", "comp", "k", F.explode(F.array_except(others, F.array("k")) if crossing else F.array("k")).alias("o"))
     tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(texts, "row").select("token", "i", "j", "k", "row", "comp", "data")
 
+    def few_links(held: list[tuple]) -> list[tuple[int, int]]:
+        """Of a small bucket pair by pair, signatures first; matrices would cost more than they save."""
+        found, some = [], [(h[0], h[1], h[2], Signed(h[3])) for h in held]
+        for k, (block_a, a, comp_a, x) in enumerate(some):
+            for block_b, b, comp_b, y in some[k + 1 :]:
+                if comp_a != comp_b and not (crossing and block_a == block_b) and x.likely(y, percent) and alike(x.shingles, y.shingles, percent):
+                    found.append((a, b))
+        return found
+
     def links(held: list[tuple]) -> list[tuple[int, int]]:
+        if len(held) <= 8:
+            return few_links(held)
         row, comp = [h[1] for h in held], np.array([h[2] for h in held])
-        near = alike_pairs([shingle_set(h[3]) for h in held], percent) & (comp[:, None] != comp)
+        near = alike_pairs([shingle_set(h[3]["data"]) for h in held], percent) & (comp[:, None] != comp)
         if crossing:
             block_of = np.array([h[0] for h in held])
             near &= block_of[:, None] != block_of
@@ -237,14 +248,14 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
     wanted = shared.maybe_broadcast(shared.stage(members.select("row").distinct(), "wanted"), 16)
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
     texts = shared.stage(with_signatures(texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])), "texts")
+    payloads = texts.select("row", F.struct("signature", "data").alias("data"))
     links, now, comps = None, members.withColumn("comp", F.col("row")), None
     for step in ("pivots", "blocks", "crossing"):
         if step == "pivots":
             pairs = shared.stage(by_pivot(now, percent), "pairs")
-            payloads = texts.select("row", F.struct("signature", "data").alias("data"))
             new = verify(pairs, payloads, Signed, lambda x, y: x.likely(y, percent) and alike(x.shingles, y.shingles, percent))
         else:
-            new = link_blocks(now, texts.select("row", "data"), percent, step == "crossing")
+            new = link_blocks(now, payloads, percent, step == "crossing")
         new = shared.stage(new, "links")
         links = links.unionByName(new) if links is not None else new
         comps = shared.stage(components(links), "components")
