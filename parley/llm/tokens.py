@@ -14,6 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACES = [c for c in OTHER_SPACES if c.isascii()]
+
+
 class ChunkEncoder:
     """encode(texts): for each text, its ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -48,7 +52,7 @@ class ChunkEncoder:
         cut, whole = [], []
         for text in texts:
             parts = text.replace("\n", " \n").split(" ")
-            regular = text.split() == text.replace("\n", " ").split(" ")
+            regular = "" not in parts and "\n" not in parts and not any(x in text for x in (ASCII_SPACES if text.isascii() else OTHER_SPACES))
             cut.append(parts if regular else None)
             whole.append(parts[0] if regular else text)
         begun = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
