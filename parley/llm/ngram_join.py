@@ -24,6 +24,7 @@ no component's least id; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,22 +129,43 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= needed(len(x), len(y), percent)
 
 
-class PrefixTree:
-    """A trie of ordered prefixes. Each node knows the least and greatest set size below it.
+class Node:
+    """A run of tokens of a path, what follows it, the entries that end with it, and the set sizes below it."""
+
+    __slots__ = ("run", "tokens", "children", "entries", "least", "most")
+
+    def __init__(self, run: list[int], least: int = 1 << 62, most: int = 0):
+        self.run, self.tokens, self.children, self.entries, self.least, self.most = run, frozenset(run), {}, [], least, most
 
-    A node is [token, children by token, entries that end here, least size, greatest size].
-    """
+
+class PrefixTree:
+    """A trie of ordered prefixes in which runs without a branch are one node."""
 
     def __init__(self, percent: int):
-        self.percent, self.root = percent, [None, {}, [], 1 << 62, 0]
+        self.percent, self.root = percent, Node([])
 
     def add(self, prefix: list[int], size: int, entry) -> None:
-        node = self.root
-        for token in [None, *prefix]:
-            if token is not None:
-                node = node[1].setdefault(token, [token, {}, [], 1 << 62, 0])
-            node[3], node[4] = min(node[3], size), max(node[4], size)
-        node[2].append((entry, size))
+        node, at = self.root, 0
+        while True:
+            node.least, node.most = min(node.least, size), max(node.most, size)
+            if at == len(prefix):
+                node.entries.append((entry, size))
+                return
+            child = node.children.get(prefix[at])
+            if child is None:
+                child = node.children[prefix[at]] = Node(prefix[at:])
+                at = len(prefix)
+            else:
+                same, run = 0, child.run
+                while same < len(run) and at + same < len(prefix) and run[same] == prefix[at + same]:
+                    same += 1
+                if same < len(run):  # the run parts here
+                    head, tail = Node(run[:same], child.least, child.most), Node(run[same:], child.least, child.most)
+                    tail.children, tail.entries = child.children, child.entries
+                    head.children[run[same]] = tail
+                    child = node.children[run[0]] = head
+                at += same
+            node = child
 
     def search(self, prefix: list[int], size: int, bucket: int) -> Iterator:
         """Entries whose overlap with the prefix can still reach the similarity, with bucket the first common token.
@@ -153,24 +175,22 @@ class PrefixTree:
         the remaining ones. A subtree goes once overlap + min(remaining lengths) is under what its least size needs, or once
         a common token comes before bucket, for another bucket has those pairs.
         """
-        stack, last = [(self.root, 0, 0, 0)], len(prefix)
+        own, end, smallest = frozenset(prefix), prefix[-1], -(-self.percent * size // 100)
+        stack = [(self.root, 0, 0, 0)]
         while stack:
             node, depth, at, overlap = stack.pop()
-            for entry, other in node[2]:
-                if overlap and overlap + min(size - at, other - depth) >= needed(size, other, self.percent):
-                    yield entry
-            for token, child in node[1].items():
-                i, c = at, overlap
-                while i < last and prefix[i] < token:
-                    i += 1
-                if i < last and prefix[i] == token:
-                    if token < bucket:
-                        continue
-                    i, c = i + 1, c + 1
-                elif not c and token >= bucket:
+            if overlap:
+                for entry, other in node.entries:
+                    if overlap + min(size - at, other - depth) >= needed(size, other, self.percent):
+                        yield entry
+            for child in node.children.values():
+                if 100 * child.most < self.percent * size or 100 * size < self.percent * child.least:
+                    continue
+                common, last = own & child.tokens, child.run[-1]
+                if not overlap and (min(common) != bucket if common else last >= bucket):
                     continue
-                passed = depth + (token <= prefix[-1])
-                if c + min(size - i, child[4] - passed) >= needed(size, max(child[3], -(-self.percent * size // 100)), self.percent):
+                c, i, passed = overlap + len(common), bisect_right(prefix, last), depth + (len(child.run) if last <= end else bisect_right(child.run, end))
+                if c + min(size - i, child.most - passed) >= needed(size, max(child.least, smallest), self.percent):
                     stack.append((child, passed, i, c))
 
 
