@@ -37,10 +37,28 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+class Memo(dict):
+    """What make gave for a key, in two generations: the older goes when the younger is full, but for what was used."""
+
+    def __init__(self, make: Callable[[str], bytes], entries: int):
+        super().__init__()
+        self.make, self.entries, self.older = make, entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
 class PieceModel:
     """Pieces and scores of a model file; encode, decode and a streaming form of encode."""
 
-    def __init__(self, path: str, memo_entries: int = 600_000):
+    def __init__(self, path: str, memo_entries: int = 700_000):
         import sentencepiece.sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -63,8 +81,7 @@ class PieceModel:
         #: Every suffix of a piece; with its id if it is a piece itself. A search backwards ends where there is none.
         self.suffixes: dict[str, int | None] = {x[k:]: None for x in self.good for k in range(len(x))} | self.good
         self.worst = min(self.scores, default=0.0) - 10
-        self.memo: dict[str, bytes] = {}
-        self.memo_entries = memo_entries
+        self.memo = Memo(self._word_ids, memo_entries)
         self._pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -173,29 +190,21 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
+    def _word_ids(self, word: str) -> bytes:
+        found = self.word(MARK + word) if len(word) < 4 * self.longest else self.stream(MARK + word)
+        return self._ids(found).tobytes()
+
     def encode(self, text: str | None) -> array:
         if not text:
             return array("i")
         text = (" " + text if self.dummy_prefix else text).replace(" ", MARK)
         if not self.by_word:
             return self._ids(self.stream(text))
-        memo, out = self.memo, []
-        if len(memo) > self.memo_entries:
-            memo.clear()
         words = text.split(MARK)
         if "" not in words[1:]:  # single marks only: a word is a mark and what follows
-            if words[0]:
-                out.append(self._ids(self.stream(words[0])).tobytes())
-            try:
-                out.extend(map(memo.__getitem__, words[1:]))
-            except KeyError:
-                for w in words[1:]:
-                    if w not in memo:
-                        memo[w] = self._ids(self.word(MARK + w) if len(w) < 4 * self.longest else self.stream(MARK + w)).tobytes()
-                out[len(out[:1]) if words[0] else 0 :] = map(memo.__getitem__, words[1:])
-            found = array("i")
-            found.frombytes(b"".join(out))
-            return found
+            first = self._ids(self.stream(words[0])) if words[0] else array("i")
+            first.frombytes(b"".join(map(self.memo.__getitem__, words[1:])))
+            return first
         return self._ids(self.stream(text))
 
     def decode(self, ids: Iterable[int]) -> str:
