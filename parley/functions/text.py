@@ -76,7 +76,7 @@ def size(text: Column, strict: bool = False) -> Column:
 
 
 def budget(text: Column) -> Column:
-    return F.expr("cast(null as double)") if text is None else _filled(F.regexp_extract(text, V.BUDGET_AMOUNT, 1)).cast("double")
+    return _filled(F.regexp_extract(text, V.BUDGET_AMOUNT, 1)).cast("double")
 
 
 def feature_values(title: Column, features: Column, price: Column) -> Column:

@@ -68,7 +68,6 @@ def cover(pool: Column, counts: Column, weight: Column, k: int) -> Column:
     share, where place counts what remains before it. Equal scores go to the earlier place.
     """
     most = F.greatest(F.coalesce(F.array_max(F.map_values(counts)), F.lit(0)), F.lit(1)).cast("double")
-    most = F.when(F.coalesce(F.array_max(F.map_values(counts)), F.lit(0)) == 0, F.lit(1.0)).otherwise(most)
     first = F.get(pool, F.lit(0))
 
     def penalty(values: Column) -> Column:

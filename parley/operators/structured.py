@@ -50,7 +50,6 @@ def search(products: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     best = None
     for i in range(n):
         part = sets.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
-        c = F.struct("materials", "colors", "budget")
         hits = F.size(F.filter(F.concat("materials", "colors"), lambda t: F.contains(F.col("match_text"), t))).cast("double")
         value = hits + budget_score(F.col("price"), F.col("budget")) + F.when(F.array_contains("stores", F.col("store_text")), 1.0).otherwise(0.0)
         met = products.select("id", "ord", "match_text", "store_text", "price").join(F.broadcast(part)).select("key", "id", "ord", value.alias("score")).where("score > 0")

@@ -292,14 +292,11 @@ def portfolio_rerank(spark, d):
     return picked.select("query_id", F.posexplode("ids").alias("pos", "id"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then greatest(0.1, least(0.6, 0.65 - 0.05 * (p_size % 12)))::double else 0.35::double end as weight from part")
+@query("select p_partkey, round(w, 9) as weight from (select p_partkey, case when p_size % 2 = 0 then greatest(0.1, least(0.6, 0.65 - 0.05 * (p_size % 12)))::double else 0.35::double end as w from part)")
 def diversity_weight(spark, d):
     return testbed.table(spark, d, "part").select("p_partkey", F.round(fusion.diversity_weight(c("p_size") % 12, c("p_size") % 2 == 0), 9).alias("weight"))
 
 
-SQL["diversity_weight"] = "select p_partkey, round(w, 9) as weight from (select p_partkey, case when p_size % 2 = 0 then greatest(0.1, least(0.6, 0.65 - 0.05 * (p_size % 12)))::double else 0.35::double end as w from part)"
-
-
 @query("select l_orderkey, array_to_string(list_concat(list_filter(['9', l_partkey::varchar, '7', l_suppkey::varchar], lambda x: list_contains(ids, x)), list_filter(ids, lambda x: not list_contains(['9', l_partkey::varchar, '7', l_suppkey::varchar], x))), ',') as ranked, l_linenumber from (select *, [l_suppkey::varchar, 'x', l_partkey::varchar, 'y'] as ids from lineitem)")
 def rerank_repair(spark, d):
     lines = testbed.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "array('9', cast(l_partkey as string), '7', cast(l_suppkey as string)) as raw", "array(cast(l_suppkey as string), 'x', cast(l_partkey as string), 'y') as ids")
