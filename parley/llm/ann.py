@@ -93,10 +93,6 @@ def fit(vectors: DataFrame, lists: int = 64, parts: int = 16, codes: int = 256,
     return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1)[:] if len(column) else np.empty((0, 0))
-
-
 def index(vectors: DataFrame, model: Model) -> DataFrame:
     """id, v, list, codes for every vector."""
 
