@@ -16,6 +16,9 @@ fixed size, so the order costs one pass and at most a few MB for each task). Two
 So every pair of linked documents is verified or already connected; the classes are exact. n-grams are compared by
 hashes of 56 bits and more.
 
+4. The number of links of each document, where asked for: linked sets are of one class, so all pairs of distinct sets
+within each class are compared, by matrix products of blocks, and copies are counted as often as they occur.
+
 Defined cases: documents without words (or with a null text) have an empty set and stand alone; with fewer than n
 words the whole sequence is the one n-gram; repeated rows and repeated ids are rows of their own; a null id counts for
 no component's least id; an empty table gives an empty table; other columns are ignored.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .block_pairs import verify_blocks
+from .block_pairs import count_links, verify_blocks
 from .components import components
 from .pairs import by_pivot, verify
 
@@ -285,10 +288,11 @@ def with_partners(members: DataFrame, percent: int) -> DataFrame:
     return near.where(fits).drop("__less", "__more")
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None, links_col: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id (the least id that links reach) and comp (of rows) for each document.
 
-    row_col names a column that numbers the rows; without it they are numbered here.
+    row_col names a column that numbers the rows; without it they are numbered here. links_col names a further column
+    for the number of other documents, copies among them, that the document is linked to.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -321,10 +325,16 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             now = shared.stage(known.join(open_, "token"), "members")
     classed = same.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
     least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    many = classed.where(F.col("root").isNotNull() | (F.col("copies") > 1)).join(least, "comp").select("digest", "component_id", "comp")
-    many = shared.maybe_broadcast(shared.stage(many, "classes"), 64)
+    many = classed.where(F.col("root").isNotNull() | (F.col("copies") > 1)).join(least, "comp").select("row", "digest", "component_id", "comp", "copies")
+    if links_col:
+        linked_rows = shared.stage(classed.where(F.col("root").isNotNull()).select("row", "comp", "n", "copies"), "linked")
+        counted = shared.stage(count_links(linked_rows, sets, _grams, percent), "counts")
+        many = many.join(counted, "row", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    many = many.drop("row", "copies")
+    many = shared.maybe_broadcast(shared.stage(many, "classes"), 72)
     joined = each.join(many, "digest", "left")
-    return joined.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "row").alias("comp"))
+    told = [F.coalesce("links", F.lit(0)).cast("long").alias(links_col)] if links_col else []
+    return joined.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "row").alias("comp"), *told)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -63,6 +63,14 @@ from g join (select a, min(b) as least from r group by a) m on m.a = g.doc_id
 """
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_ngram_join with n_links, the number of documents that each is linked to."""
+    return ngram_join.classes_of(shared.table(spark, sf_dir, "documents"), n=3, percent=90, links_col="n_links").drop("row", "comp")
+
+
+OP4_LINKS_SQL = OP4_SQL.replace(" as component_id\n", " as component_id, (select count(*) from e where e.a = g.doc_id) as n_links\n")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(shared.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -126,5 +134,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", F.col("__lines.lines").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_chat": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op4_ngram_links": op4_ngram_links, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_ngram_join": OP4_SQL, "op4_ngram_links": OP4_LINKS_SQL, "op8_chat": OP8_SQL}

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with their edge cases, and the pipeline."""
 
+import functools
 import itertools
 import random
 import zlib
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import components, lines, ngram_join, packing, pieces, quality, shared, token_store, tokens
+from parley.llm import block_pairs, components, lines, ngram_join, packing, pieces, quality, shared, token_store, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, __row string, comp string, __stats string, __lines int, bands int, `a.b` string"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,6 +133,33 @@ def test_ngram_classes_against_all_pairs(spark, odd, none, n, percent):
     assert ngram_join.classes_of(none).count() == 0 and ngram_join.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 500])
+def test_ngram_links_are_all_counted(spark, odd, none, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "count_links", functools.partial(block_pairs.count_links, block=block))
+    rng, rows = random.Random(13), []
+    for g, (size, times) in enumerate([(60, 14), (40, 6), (5, 4), (80, 3)]):
+        base = prose(rng, size).split()
+        for k in range(times):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                own[rng.randrange(len(own))] = prose(rng, 1)
+            rows.append((g * 100 + k, " ".join(own), "en", "a"))
+    docs = table(spark, rows).unionByName(odd.where("doc_id is null or doc_id <> 203"))
+    plain = [(r.doc_id, gram_set(r.text, 3)) for r in docs.collect()]
+    want = sorted((str(d), sum(1 for j, (_, y) in enumerate(plain) if i != j and x and y and 100 * len(x & y) >= 80 * len(x | y))) for i, (d, x) in enumerate(plain))
+    assert max(n for _, n in want) > 4 and any(n not in (0, 13) for _, n in want[:14])
+    got = ngram_join.classes_of(docs, n=3, percent=80, links_col="n_links").collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == want
+    assert ngram_join.classes_of(none, links_col="n_links").count() == 0
+
+
+def test_intersections_by_slices():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[10:]] for x in sets[:10]]
+    assert block_pairs.intersections(sets[:10], sets[10:], width=16).tolist() == want
+
+
 def test_prefix_tree_loses_no_link():
     rng = np.random.default_rng(7)
     for percent in (60, 80, 90) * 20:
