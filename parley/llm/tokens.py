@@ -3,7 +3,8 @@
 A byte-level BPE tokenizer first cuts a text into pre-tokens and merges inside each alone. Where every white space of
 a text is one space or one line feed between two other characters, each of them starts a new pre-token, so the text
 may be cut before them and the chunks encoded apart. Each distinct chunk goes through the library once while it is in
-the memo, whose size is bounded; the ids are those of the whole text. Other texts are encoded whole.
+the memo, whose size is bounded; the ids are those of the whole text. Other texts are encoded whole, and so are those
+that hold an added token (such as <|endoftext|>), which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [""] if any(c.isspace() for x in added for c in x) else added  # one across chunks: no text is cut
         self.memo_entries, self.memo = memo_entries, {}
         pieces = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(pieces.values()) + 1, np.int64)
@@ -52,7 +54,7 @@ class ChunkEncoder:
         cut, whole = [], []
         for text in texts:
             parts = text.replace("\n", " \n").split(" ")
-            regular = "" not in parts and "\n" not in parts and not any(x in text for x in (ASCII_SPACES if text.isascii() else OTHER_SPACES))
+            regular = "" not in parts and "\n" not in parts and not any(x in text for x in (ASCII_SPACES if text.isascii() else OTHER_SPACES)) and not any(x in text for x in self.added)
             cut.append(parts if regular else None)
             whole.append(parts[0] if regular else text)
         begun = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)

@@ -216,6 +216,18 @@ def test_chunks_give_the_ids_of_the_whole_text():
         assert encoder.encode(texts) == [array("I", encoder.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
+def test_added_tokens_are_those_of_the_library(tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "a b<|endoftext|>\nc", "a <|endoftext| > b", "new york city", "york new x"] * 2
+    spaced = Tokenizer.from_file(BPE)
+    spaced.add_tokens(["new york"])
+    spaced.save(str(tmp_path / "spaced.json"))
+    for path in (BPE, str(tmp_path / "spaced.json")):
+        fresh = Tokenizer.from_file(path)
+        assert tokens.ChunkEncoder(path).encode(texts) == [array("I", fresh.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
 def test_token_store(spark, odd, none):
     manifest = token_store.write_store(odd, shared.new_folder(spark, "t"), BPE, shard_bytes=4000)
     rows = token_store.read_store(manifest).collect()
