@@ -9,7 +9,8 @@ where the index is a zstandard frame of columns: doc_id (i8), null flag (u1), of
 All integers are little-endian. A document is read by its index entry alone, without its neighbours.
 
 Defined cases: a null text has the end id alone; a null doc_id sorts first and is kept; repeated rows are stored
-each; an empty table gives a store without shards; other columns are ignored.
+each; an empty table gives a store without shards; other columns are ignored. An id has 2 bytes where the vocabulary
+and the end id fit them, else 4; ids that do not fit a width asked for raise an error.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ MANIFEST = "partition long, shard long, path string, n_docs long, n_tokens long"
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, width: int, sample_docs: int = 1000, sample_chars: int = 8192, dict_bytes: int = 65536) -> bytes:
-    """A dictionary from a bounded sample: rows whose id hash is in a range that holds about sample_docs, sample_chars of each.
+    """A dictionary from a bounded sample: rows whose id hash is in a range that holds about sample_docs, at most twice
+    as many, and of each a span of sample_chars at a place that its hash gives.
 
     With too few rows to train on, the sample itself is the dictionary (possibly empty).
     """
     share = max(1, docs.count() // sample_docs)
     picked = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0))
-    rows = picked.select(F.substring(text_col, 1, sample_chars).alias("t")).limit(2 * sample_docs).collect()
+    start = F.pmod(F.xxhash64(text_col), F.greatest(F.length(text_col) - sample_chars + 1, F.lit(1))).cast("int") + 1
+    rows = picked.select(F.col(text_col).substr(start, F.lit(sample_chars)).alias("t")).limit(2 * sample_docs).collect()
     samples = [_narrow(x, width) for x in encoder(tokenizer_path).encode([r.t for r in rows])]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
@@ -50,7 +53,12 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+    if width != 2:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() >= 1 << 16:
+        raise ValueError(f"id {wide.max()} does not fit 2 bytes")
+    return wide.astype("<u2").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -124,13 +132,14 @@ class ShardReader:
         return self.ids(int(hits[0])) if len(hits) else None
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20, width: int = 2) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20, width: int | None = None) -> DataFrame:
     """Write docs in ascending id_col order; returns the manifest, one row for each shard, already written down.
 
     Ranges of ids go to tasks of like size; each task writes its shards under temporary names and moves them into
     place, and only the shards of the manifest count, so repeated tasks do no harm.
     """
     spark = docs.sparkSession
+    width = width or (2 if max(len(encoder(tokenizer_path).n_bytes) - 1, end_id) < 1 << 16 else 4)
     shared.write_atomic(f"{folder}/dictionary.zdict", [train_dictionary(docs, id_col, text_col, tokenizer_path, width)])
     end = array("I", [end_id]).tobytes()
 

@@ -251,6 +251,25 @@ def test_token_store(spark, odd, none):
         token_store.ShardReader(shard_path)
 
 
+def test_token_store_of_a_large_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    large, path = Tokenizer.from_file(BPE), str(tmp_path / "large.json")
+    large.add_tokens([f"<x{i}>" for i in range(16_000)])
+    large.save(path)
+    docs = spark.createDataFrame([(1, "a <x15999> b"), (2, "plain text")], "doc_id long, text string")
+    want = {i: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for i, t in docs.collect()}
+    assert max(want[1]) >= 1 << 16
+    assert {r.doc_id: r.ids for r in token_store.read_store(token_store.write_store(docs, shared.new_folder(spark, "t"), path)).collect()} == want
+    with pytest.raises(ValueError, match="does not fit"):
+        token_store._narrow(array("I", [1 << 16]).tobytes(), 2)
+
+
+def test_dictionary_is_of_spans_from_anywhere(spark):
+    docs = spark.createDataFrame([(i, "a " * 5000 + f"rare{i} " * 5000) for i in range(20)], "doc_id long, text string")
+    assert np.isin(tokens.ChunkEncoder(BPE).tokenizer.encode(" rare").ids, np.frombuffer(token_store.train_dictionary(docs, "doc_id", "text", BPE, 4, dict_bytes=1 << 26)[-(1 << 10):], "<u4")).any()
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack(odd, BPE, capacity=64).collect()
     by = {}
