@@ -8,8 +8,9 @@ blocks, each a task of its own, so a list that holds a third of all vectors (cop
 
 Ties, in codes as in cosines, go to the smaller id: copies have equal codes, so the smallest ids among them survive.
 
-Defined cases: vectors that are null, zero, of another dimension than the first, or hold null or non-finite components
-take no part, neither as queries nor as candidates; repeated rows are candidates each, except those with the query's
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor
+as candidates; a query meets the vectors of its own dimension, each dimension being searched apart (a model that is
+given has one dimension, and only that takes part); repeated rows are candidates each, except those with the query's
 own id; fewer candidates than k give fewer rows; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +130,8 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", nprobe: int = 48, rerank: int = 200, block: int = 4000, model: Model | None = None) -> DataFrame:
-    """query_id, rank, id, score. is_query is over the column id."""
-    spark = vectors.sparkSession
-    sound = shared.stage(usable(vectors, id_col, vector_col), "vectors")
-    model = model or fit(sound)
-    if model is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    sound = sound.where(F.size("v") == model.coarse.shape[1])
+def best_of_blocks(sound: DataFrame, is_query: Column, k: int, nprobe: int, rerank: int, block: int, model: Model) -> DataFrame:
+    """query_id, id, score: the best k of each list block that a query searches, all vectors being of the model's dimension."""
     stored = shared.stage(index(sound, model), "index")
     sizes = stored.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row for each list
     dealt = stored.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -175,6 +171,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                     found.append((i, int(ids[best[j]]), float(score[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
 
-    found = both.repartition("list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(run, "query_id long, id long, score double")
+    return both.repartition("list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(run, "query_id long, id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", nprobe: int = 48, rerank: int = 200, block: int = 4000, model: Model | None = None) -> DataFrame:
+    """query_id, rank, id, score. is_query is over the column id."""
+    spark = vectors.sparkSession
+    sound = shared.stage(usable(vectors, id_col, vector_col), "vectors")
+    if model:
+        parts = [(sound.where(F.size("v") == model.coarse.shape[1]), model)]
+    else:
+        asked = F.max(F.coalesce(is_query, F.lit(False)).cast("int")).alias("asked")
+        dims = sound.groupBy(F.size("v").alias("dim")).agg(asked).where("asked = 1").orderBy("dim").collect()
+        parts = [(x, fit(x)) for x in (sound.where(F.size("v") == r.dim) for r in dims)]
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    found = reduce(DataFrame.unionByName, [best_of_blocks(x, is_query, k, nprobe, rerank, block, m) for x, m in parts])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

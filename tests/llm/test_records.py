@@ -138,3 +138,19 @@ def test_neighbours(spark):
     assert sorted(r.id for r in few) == [1, 2]
 
 
+def test_each_dimension_is_searched(spark):
+    rng = np.random.default_rng(21)
+    x = {d: rng.normal(size=(n, d)).astype("f4") for d, n in ((3, 1), (5, 9), (8, 40))}
+    rows = [(100 * d + i, v.tolist()) for d in x for i, v in enumerate(x[d])]
+    want = {}
+    for d, i in ((5, 0), (8, 0), (8, 1)):
+        unit = x[d].astype(float) / np.linalg.norm(x[d].astype(float), axis=1, keepdims=True)
+        score = unit @ unit[i]
+        score[i] = -9
+        want[100 * d + i] = [100 * d + int(j) for j in np.argsort(-score)[:5]]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), F.col("id").isin(300, 500, 800, 801)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want
+
+
