@@ -35,7 +35,7 @@ from .components import components
 from .pairs import by_pivot, verify
 
 SPACE = " \t\n\v\f\r"
-SHINGLE, ROWS, BANDS = 9, 3, 7
+SHINGLE, ROWS, BANDS = 5, 3, 7
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -89,30 +89,6 @@ def shingle_set(data: bytes, shingle: int = SHINGLE) -> set[str]:
     return {line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1))}
 
 
-class Signed:
-    """A line with its signature; its shingles are made when they are asked for."""
-
-    def __init__(self, payload: dict):
-        self.signature, self.data, self._set = np.frombuffer(payload["signature"], np.uint32), payload["data"], None
-
-    def likely(self, other: Signed, percent: int) -> bool:
-        return np.count_nonzero(self.signature == other.signature) >= least_agreement(percent)
-
-    @property
-    def shingles(self) -> set[str]:
-        if self._set is None:
-            self._set = shingle_set(self.data)
-        return self._set
-
-
-def least_agreement(percent: int) -> int:
-    """Hashes of two signatures that must agree: 60 percent of those expected at the similarity.
-
-    Lines that have the similarity fail that with a probability of under 0.001.
-    """
-    return int(ROWS * BANDS * percent * 0.6 / 100)
-
-
 def alike(x: set[str], y: set[str], percent: int) -> bool:
     both = len(x & y)
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -158,27 +134,12 @@ def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
     return numbered.mapInArrow(run, "__row long, __id long, line int, node long, bands array<long>")
 
 
-def with_signatures(texts: DataFrame) -> DataFrame:
-    """texts (row, text) as row, data (the text in bytes) and signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                lines = part.column(1).to_pylist()
-                signed = pa.array([x.tobytes() for x in signatures(lines)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.binary()), signed], ["row", "data", "signature"])
-
-    return texts.mapInArrow(run, "row long, data binary, signature binary")
-
-
 def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bool, block: int = 1000) -> DataFrame:
     """Verified links (a, b) between components that meet in a bucket: enough of them to join all that are linked.
 
     A bucket's members are dealt out in blocks; a task takes one block, or with crossing a pair of them. It compares
-    pairs of different components whose signatures agree enough, likeliest first, each pair in the first bucket that
-    it shares, and joins components as it goes, so a
-    dense group of copies costs about a comparison for each member and not one for each pair.
+    the shingle sets of all pairs of different components, in buckets of any size, and gives a link only where it joins
+    two components that are still apart.
     """
     sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
@@ -187,11 +148,11 @@ def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bo
     tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(texts, "row").select("token", "i", "j", "k", "row", "comp", "data")
 
     def few_links(held: list[tuple]) -> list[tuple[int, int]]:
-        """Of a small bucket pair by pair, signatures first; matrices would cost more than they save."""
-        found, some = [], [(h[0], h[1], h[2], Signed(h[3])) for h in held]
+        """Of a small bucket pair by pair; matrices would cost more than they save."""
+        found, some = [], [(h[0], h[1], h[2], shingle_set(h[3])) for h in held]
         for k, (block_a, a, comp_a, x) in enumerate(some):
             for block_b, b, comp_b, y in some[k + 1 :]:
-                if comp_a != comp_b and not (crossing and block_a == block_b) and x.likely(y, percent) and alike(x.shingles, y.shingles, percent):
+                if comp_a != comp_b and not (crossing and block_a == block_b) and alike(x, y, percent):
                     found.append((a, b))
         return found
 
@@ -199,7 +160,7 @@ def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bo
         if len(held) <= 8:
             return few_links(held)
         row, comp = [h[1] for h in held], np.array([h[2] for h in held])
-        near = alike_pairs([shingle_set(h[3]["data"]) for h in held], percent) & (comp[:, None] != comp)
+        near = alike_pairs([shingle_set(h[3]) for h in held], percent) & (comp[:, None] != comp)
         if crossing:
             block_of = np.array([h[0] for h in held])
             near &= block_of[:, None] != block_of
@@ -247,13 +208,13 @@ def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percen
     members = shared.stage(members.join(weights, "row").withColumn("n", F.lit(1)), "members")
     wanted = shared.maybe_broadcast(shared.stage(members.select("row").distinct(), "wanted"), 16)
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
-    texts = shared.stage(with_signatures(texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])), "texts")
-    payloads = texts.select("row", F.struct("signature", "data").alias("data"))
+    texts = texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    payloads = shared.stage(texts.select("row", F.encode("text", "utf-8").alias("data")), "texts")
     links, now, comps = None, members.withColumn("comp", F.col("row")), None
     for step in ("pivots", "blocks", "crossing"):
         if step == "pivots":
             pairs = shared.stage(by_pivot(now, percent), "pairs")
-            new = verify(pairs, payloads, Signed, lambda x, y: x.likely(y, percent) and alike(x.shingles, y.shingles, percent))
+            new = verify(pairs, payloads, shingle_set, lambda x, y: alike(x, y, percent))
         else:
             new = link_blocks(now, payloads, percent, step == "crossing")
         new = shared.stage(new, "links")

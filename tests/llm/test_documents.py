@@ -201,6 +201,16 @@ def test_line_dedup_against_all_pairs(spark, odd, none):
     assert lines.dedup_lines(none, out="told").count() == 0
 
 
+def test_short_lines_with_one_change_are_alike(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(20):
+        line = prose(rng, 20)[:60].strip() + "x"
+        rows += [(i, line, "en", "a"), (100 + i, line[:30] + "#" + line[31:], "en", "a")]
+    told = {r.doc_id: r.told.removed for r in lines.dedup_lines(table(spark, rows), out="told").collect()}
+    assert all(told[i] == 0 for i in range(20)) and sum(told.values()) >= 19
+
+
 def test_signatures_do_not_depend_on_neighbours():
     some = ["abc", "hello world this is", "x", "日本語のテキストです。テスト", "a" * 9, "a" * 8, "longer line number one two three"]
     assert (lines.signatures(some) == np.concatenate([lines.signatures([x]) for x in some])).all()
