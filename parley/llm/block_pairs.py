@@ -1,4 +1,4 @@
-"""Verifying many pairs among few rows: payloads meet in pairs of blocks, each shipped once for a block that it meets."""
+"""Counting links among the members of groups: payloads meet in pairs of blocks, each shipped once for a block that it meets."""
 
 from __future__ import annotations
 
@@ -6,47 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def verify_blocks(pairs: DataFrame, payloads: DataFrame, prepare: Callable[[bytes], object], linked: Callable[[object, object], bool], block: int = 500) -> DataFrame:
-    """The pairs (a, b) whose payloads (row, data) are linked.
-
-    Rows are dealt into blocks by hash. A task has the pairs between two blocks and those rows' payloads, so a dense
-    group of k rows ships k * k / block payloads and not k * k.
-    """
-    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct().count()
-    blocks = max(1, -(-rows // block))
-
-    def of(name: str) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
-
-    keyed = pairs.select(F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"), "a", "b")
-    needed = keyed.select("i", "j", F.col("a").alias("row")).unionByName(keyed.select("i", "j", F.col("b").alias("row"))).distinct()
-    data = needed.join(payloads, "row").select("i", "j", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "data")
-    both = data.unionByName(keyed.withColumn("data", F.lit(None).cast(payloads.schema["data"].dataType)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, ready = None, {}, {}
-        for batch in batches:
-            found = []
-            for i, j, a, b, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (i, j) != at:
-                    at, held, ready = (i, j), {}, {}
-                if b is None:
-                    held[a] = payload
-                    continue
-                for x in (a, b):
-                    if x not in ready:
-                        ready[x] = prepare(held[x])
-                if linked(ready[a], ready[b]):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-    return both.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
-
-
 def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """The sizes of the intersections of each of xs with each of ys, by products of slices of their 0/1 matrices."""
 

@@ -37,16 +37,17 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 20) -> DataFrame:
-    """(node, root) for each node that a link names: root is the least node of its component."""
+def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 16) -> DataFrame:
+    """(node, root), written down, for each node that a link names: root is the least node of its component."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, mark = shared.stage(edges, "edges"), None
     while True:
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found[0] <= limit:
-            return edges.coalesce(1).mapInArrow(union_find, "node long, root long")
-        if found == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if found[0] <= limit or found == mark:
+            stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = shared.stage(stars if found[0] > limit else edges.coalesce(1).mapInArrow(union_find, "node long, root long"), "components")
+            shared.release(edges)
+            return out
         mark = found
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -55,4 +56,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 2
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = shared.stage(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, shared.stage(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        shared.release(last, large)

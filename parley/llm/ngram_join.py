@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .block_pairs import count_links, verify_blocks
+from .block_pairs import count_links
 from .components import components
 from .pairs import by_pivot, verify
 
@@ -132,69 +132,127 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= needed(len(x), len(y), percent)
 
 
+def allowed(nx: int, ny: int, percent: int) -> int:
+    """Most elements that are in one set alone if the two are linked."""
+    return nx + ny - 2 * needed(nx, ny, percent)
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """For each slot of hashes whether it holds an odd number of the set, as bits; about as many slots as n-grams."""
+    slots = min(max(64, 1 << (len(grams) - 1).bit_length()), 1 << 13) if len(grams) else 64
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(x: tuple[int, int], y: tuple[int, int]) -> int:
+    """A lower bound of the elements that are in one set alone, from two parities (number of slots, bits).
+
+    An element of both sets changes both parities alike. Parities of more slots fold to those of fewer by xor.
+    """
+    (sx, bx), (sy, by) = x, y
+    while sx > sy:
+        sx >>= 1
+        bx = (bx ^ (bx >> sx)) & ((1 << sx) - 1)
+    while sy > sx:
+        sy >>= 1
+        by = (by ^ (by >> sy)) & ((1 << sy) - 1)
+    return (bx ^ by).bit_count()
+
+
+class Member:
+    """A set in a bucket: the bucket's token and those after it that others share, their places in the whole set, and
+    what its bounds need. Its tokens up to end are complete; before are tokens before the bucket's, as far as held."""
+
+    __slots__ = ("row", "size", "comp", "before", "tokens", "after", "places", "end", "bits", "data")
+
+    def __init__(self, row: int, size: int, comp: int, before: list[int], tokens: list[int], places: list[int], end: int, bits: bytes, data: bytes | None = None):
+        self.row, self.size, self.comp, self.tokens, self.places, self.end, self.data = row, size, comp, tokens, places, end, data
+        self.bits = 8 * len(bits), int.from_bytes(bits, "little")
+        self.before, self.after = frozenset(before), frozenset(tokens[1:])
+
+
 class Node:
-    """A run of tokens of a path, what follows it, the entries that end with it, and the set sizes below it."""
+    """A run of tokens of a path, what follows it, the members that end with it, and bounds over the members below.
+
+    least, most: set sizes. rest: how many elements of a set may follow the run. comp: their component if it is one.
+    """
 
-    __slots__ = ("run", "tokens", "children", "entries", "least", "most")
+    __slots__ = ("run", "tokens", "children", "entries", "least", "most", "rest", "comp")
 
-    def __init__(self, run: list[int], least: int = 1 << 62, most: int = 0):
-        self.run, self.tokens, self.children, self.entries, self.least, self.most = run, frozenset(run), {}, [], least, most
+    def __init__(self, run: list[int], least: int, most: int, rest: int, comp: int | None):
+        self.run, self.tokens, self.children, self.entries, self.least, self.most, self.rest, self.comp = run, frozenset(run), {}, [], least, most, rest, comp
+
+    def take(self, m: Member, rest: int) -> None:
+        self.least, self.most, self.rest = min(self.least, m.size), max(self.most, m.size), max(self.rest, rest)
+        if self.comp != m.comp:
+            self.comp = None
 
 
 class PrefixTree:
-    """A trie of ordered prefixes in which runs without a branch are one node."""
+    """The members of one bucket as a trie of what follows the bucket's token in their ordered prefixes.
+
+    Runs without a branch are one node. The bucket's token is the root, so every path begins with an overlap of one.
+    """
 
     def __init__(self, percent: int):
-        self.percent, self.root = percent, Node([])
+        self.percent, self.root = percent, None
 
-    def add(self, prefix: list[int], size: int, entry) -> None:
-        node, at = self.root, 0
+    def add(self, m: Member) -> None:
+        at, end, rest = 1, len(m.tokens), m.size - m.places[0] - 1
+        if self.root is None:
+            self.root = Node([], m.size, m.size, rest, m.comp)
+        node = self.root
         while True:
-            node.least, node.most = min(node.least, size), max(node.most, size)
-            if at == len(prefix):
-                node.entries.append((entry, size))
+            node.take(m, rest)
+            if at == end:
+                node.entries.append(m)
                 return
-            child = node.children.get(prefix[at])
+            child = node.children.get(m.tokens[at])
             if child is None:
-                child = node.children[prefix[at]] = Node(prefix[at:])
-                at = len(prefix)
+                rest = m.size - m.places[-1] - 1
+                child = node.children[m.tokens[at]] = Node(m.tokens[at:], m.size, m.size, rest, m.comp)
+                at = end
             else:
                 same, run = 0, child.run
-                while same < len(run) and at + same < len(prefix) and run[same] == prefix[at + same]:
+                while same < len(run) and at + same < end and run[same] == m.tokens[at + same]:
                     same += 1
                 if same < len(run):  # the run parts here
-                    head, tail = Node(run[:same], child.least, child.most), Node(run[same:], child.least, child.most)
+                    tail = Node(run[same:], child.least, child.most, child.rest, child.comp)
                     tail.children, tail.entries = child.children, child.entries
-                    head.children[run[same]] = tail
-                    child = node.children[run[0]] = head
+                    child = node.children[run[0]] = Node(run[:same], child.least, child.most, node.rest - same, child.comp)
+                    child.children[run[same]] = tail
                 at += same
+                rest = m.size - m.places[at - 1] - 1
             node = child
 
-    def search(self, prefix: list[int], size: int, bucket: int) -> Iterator:
-        """Entries whose overlap with the prefix can still reach the similarity, with bucket the first common token.
+    def search(self, m: Member) -> Iterator[Member]:
+        """Members of other components that may be linked to m and share no token with it before the bucket's.
 
-        The walk keeps (node, its depth, place in prefix, overlap so far); partial overlaps are shared by all entries
-        below a node. A token of an entry past the end of prefix may lie in the rest of the set, so it counts among
-        the remaining ones. A subtree goes once overlap + min(remaining lengths) is under what its least size needs, or once
-        a common token comes before bucket, for another bucket has those pairs.
+        The walk keeps (node, overlap so far), which all members below the node share. An element past the end of the
+        other's prefix may lie in the rest of that set, so it counts among the remaining ones. A subtree goes once
+        the overlap and the lesser of the remaining lengths are under what its least size needs. Pairs with a common
+        token before the bucket's belong to that token's bucket. What the tree leaves is held against the parities.
         """
-        own, end, smallest = frozenset(prefix), prefix[-1], -(-self.percent * size // 100)
-        stack = [(self.root, 0, 0, 0)]
+        percent, size, tokens, places, end = self.percent, m.size, m.tokens, m.places, m.end
+        smallest = -(-percent * size // 100)
+        stack = [(self.root, 1)] if self.root else []
         while stack:
-            node, depth, at, overlap = stack.pop()
-            if overlap:
-                for entry, other in node.entries:
-                    if overlap + min(size - at, other - depth) >= needed(size, other, self.percent):
-                        yield entry
-            for child in node.children.values():
-                if 100 * child.most < self.percent * size or 100 * size < self.percent * child.least:
+            node, overlap = stack.pop()
+            for e in node.entries:
+                if e.comp == m.comp or 100 * min(size, e.size) < percent * max(size, e.size) or not m.before.isdisjoint(e.before):
                     continue
-                common, last = own & child.tokens, child.run[-1]
-                if not overlap and (min(common) != bucket if common else last >= bucket):
+                i = bisect_right(tokens, min(e.end, end))
+                if overlap + min(size - places[i - 1] - 1, node.rest) >= needed(size, e.size, percent) and differ(m.bits, e.bits) <= allowed(size, e.size, percent):
+                    yield e
+            for child in node.children.values():
+                if child.comp == m.comp or 100 * child.most < percent * size or 100 * size < percent * child.least:
                     continue
-                c, i, passed = overlap + len(common), bisect_right(prefix, last), depth + (len(child.run) if last <= end else bisect_right(child.run, end))
-                if c + min(size - i, child.most - passed) >= needed(size, max(child.least, smallest), self.percent):
-                    stack.append((child, passed, i, c))
+                last = child.run[-1]
+                c = overlap + len(m.after & child.tokens)
+                passed = places[bisect_right(tokens, min(last, end)) - 1] + 1
+                rest = child.rest if last <= end else node.rest - bisect_right(child.run, end)
+                if c + min(size - passed, rest) >= needed(size, max(child.least, smallest), percent):
+                    stack.append((child, c))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -203,7 +261,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """docs has row, doc_id, text, th (hash of the text). A row for each: with its set's size, its digest and its prefix."""
+    """docs has row, doc_id, text, th (hash of the text). A row for each: its set's size, digest, prefix and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +269,12 @@ def profiles(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
                 part = batch.slice(i, 1000)
                 sets = [ordered_set(text, n, classes) for text in part.column(2).to_pylist()]
                 prefixes = [_signed(x[: prefix_length(len(x), percent)]) for x in sets]
-                columns = [part.column(0), part.column(1), part.column(3), *map(pa.array, ([len(x) for x in sets], [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], prefixes), (pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "n_shingles", "digest", "prefix"])
+                values = [len(x) for x in sets], [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], prefixes, map(parity, sets)
+                kinds = pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()
+                columns = [part.column(0), part.column(1), part.column(3), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "n_shingles", "digest", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, digest binary, prefix array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, digest binary, prefix array<long>, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
@@ -241,51 +301,128 @@ def _grams(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def _prefix(data: dict) -> tuple[int, np.ndarray]:
-    return data["n"], np.array(data["prefix"])
+def bucket_members(sets: DataFrame, percent: int) -> DataFrame:
+    """row, n, token, at (its place in the set), visit: the prefix tokens that other sets' prefixes have too.
 
+    visit says whether a linked pair can meet there for the first time. Of two linked sets of sizes m <= n the first
+    common token is among the first m - ceil(2tm / (1 + t)) + 1 of the smaller one, and sizes of a pair are in one or
+    neighbouring classes of a ratio of 1 / t; so counts by token and size class tell, which are summed up before they
+    are shuffled, however frequent a token is.
+    """
+    early = F.col("at") < F.expr(f"n - cast((2 * {percent} * n + {100 + percent} - 1) div {100 + percent} as int) + 1")
+    size_class = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent) * 1.000001) if percent < 100 else 1e-6)).cast("int")
+    tokens = sets.select("row", "n", size_class.alias("cls"), F.posexplode("prefix").alias("at", "token")).withColumn("early", early)
+    counts = tokens.groupBy("token", "cls").agg(F.count("*").alias("c"), F.count_if("early").alias("e"))
+    classes = counts.groupBy("token").agg(F.collect_list(F.struct("cls", "c", "e")).alias("k"), F.sum("c").alias("total")).where("total > 1")
+    near = "aggregate(filter(k, y -> y.cls between x.cls {}), 0L, (s, y) -> s + y.{})"
+    told = F.expr(f"explode(transform(k, x -> struct(x.cls as cls, {near.format('- 1 and x.cls', 'e')} as smaller, {near.format('and x.cls + 1', 'c')} as larger)))")
+    several = shared.stage(classes.select("token", told.alias("t")).select("token", "t.*"), "tokens")
+    own = F.col("early").cast("int")
+    visit = (F.col("smaller") - own >= 1) | (F.col("early") & (F.col("larger") >= 2))
+    return tokens.join(shared.maybe_broadcast(several, 32), ["token", "cls"]).select("row", "n", "token", "at", visit.alias("visit"))
+
+
+KEYS = ["token", "i", "j", "k", "row", "n", "comp", "before", "tokens", "places", "last", "bits"]
+#: Of a set's shared tokens a bucket gets so many before its own and after it. A cut prefix has looser bounds only.
+HELD = 16
+
+
+def in_blocks(members: DataFrame, keys: DataFrame, percent: int, block: int = 1000, block_sum: int = 2_000_000) -> DataFrame:
+    """The members (token, row, comp) of each bucket with their keys, dealt out as pairs (i, j) of blocks."""
+    sized = members.join(keys.select("row", "n"), "row")
+    blocks = sized.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_sum)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    tasks = dealt.select("token", "row", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    met = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(keys, "row").withColumn("place", F.array_position("tokens", F.col("token")).cast("int"))
+    own = {c: F.slice(c, F.col("place"), F.lit(HELD + 1)) for c in ("tokens", "places")}
+    last = F.when(F.size("tokens") > F.col("place") + HELD, F.element_at("tokens", F.col("place") + HELD)).otherwise(F.col("last"))
+    before = F.slice("tokens", F.lit(1), F.least(F.col("place") - 1, F.lit(HELD)))
+    return met.withColumns({"before": before, "last": last, **own}).drop("place")
+
+
+def met(rows: Iterator[tuple], percent: int) -> Iterator[tuple[Member, Member] | None]:
+    """The candidate pairs that the trees of sorted rows (KEYS and data) give; None where another task's rows begin."""
+    at, tree = None, None
+    for token, i, j, k, *rest in rows:
+        if (token, i, j) != at:
+            at, tree = (token, i, j), PrefixTree(percent)
+            yield None
+        member = Member(*rest)
+        if i == j or k == j:
+            for other in tree.search(member):
+                yield member, other
+        if k == i:
+            tree.add(member)
+
+
+def active(members: DataFrame, keys: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """(token, row): the members of a bucket of which the tree there cannot rule out every pair of two components."""
 
-def could_link(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], percent: int) -> bool:
-    """Whether the prefixes of two sets, with their sizes, leave the similarity possible."""
-    (nx, px), (ny, py) = x, y
-    if 100 * min(nx, ny) < percent * max(nx, ny):
-        return False
-    both = len(np.intersect1d(px, py, assume_unique=True))
-    last = min(px[-1], py[-1])
-    rest = min(nx - int(np.searchsorted(px, last, "right")), ny - int(np.searchsorted(py, last, "right")))
-    return both + rest >= needed(nx, ny, percent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        token = None
 
+        def rows() -> Iterator[tuple]:
+            nonlocal token
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    token = row[0]
+                    yield row
 
-def by_tree(members: DataFrame, prefixes: DataFrame, percent: int, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of different components that the prefix trees of their buckets cannot rule out."""
-    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    tasks = dealt.select("token", "row", "n", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "row", "n", "comp", "k").join(prefixes, "row")
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["token", "row"])
+            found.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, None
-        for batch in batches:
-            found = []
-            for token, i, j, row, n, comp, k, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (token, i, j) != at:
-                    at, tree = (token, i, j), PrefixTree(percent)
-                if i == j or k == j:
-                    found += [(row, b) for b, c in tree.search(prefix, n, token) if c != comp]
-                if k == i:
-                    tree.add(prefix, n, (row, comp))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+        for pair in met(rows(), percent):
+            if pair:
+                found |= {(token, pair[0].row), (token, pair[1].row)}
+            elif len(found) > 10_000:
+                yield told()
+        yield told()
+
+    tasks = in_blocks(members, keys, percent, block).select(*KEYS)
+    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "token long, row long").distinct()
 
-    columns = ["token", "i", "j", "row", "n", "comp", "k", "prefix"]
-    return tasks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long").distinct()
 
+def tree_links(members: DataFrame, keys: DataFrame, sets: DataFrame, percent: int, block: int = 500) -> DataFrame:
+    """Links (a, b) that join the components (comp) which linked members of a bucket belong to.
 
-def with_partners(members: DataFrame, percent: int) -> DataFrame:
-    """The members of a bucket that have another one of a size that allows the similarity: the next by size will tell."""
-    by = Window.partitionBy("token").orderBy("n", "row")
-    near = members.withColumn("__less", F.lag("n").over(by)).withColumn("__more", F.lead("n").over(by))
-    fits = (100 * F.col("__less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("__more"))
-    return near.where(fits).drop("__less", "__more")
+    Candidates of the trees are verified on whole sets where they are found. A task gives a link only where it joins two
+    components that are apart there, so a bucket gives no more links than it has members, whatever its pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+
+        def find(x: int) -> int:
+            root.setdefault(x, x)
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+            found.clear()
+            return out
+
+        for pair in met((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), percent):
+            if pair is None:
+                root.clear()
+                if len(found) > 10_000:
+                    yield told()
+                continue
+            x, y = pair
+            a, b = find(x.comp), find(y.comp)
+            if a != b and linked(_grams(x.data), _grams(y.data), percent):
+                root[a] = b
+                found.append((x.row, y.row))
+        yield told()
+
+    tasks = in_blocks(members, keys, percent, block).join(sets, "row").select(*KEYS, "data")
+    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long")
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None, links_col: str | None = None) -> DataFrame:
@@ -297,32 +434,37 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     order = sketch(docs, "text")
-    each = shared.stage(profiles(docs, n, percent, order), "profiles")
-    full = each.where("n_shingles > 0")
-    same = full.groupBy("digest").agg(F.min_by(F.struct("row", "doc_id", "th", F.col("n_shingles").alias("n"), "prefix"), "row").alias("r"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    same = shared.stage(same.select("digest", "r.*", "copies", "least"), "sets")
-    tokens = same.select("row", "n", F.explode("prefix").alias("token"))
-    several = shared.stage(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    members = shared.stage(with_partners(tokens.join(shared.maybe_broadcast(several, 16), "token"), percent), "members")
-    weights = members.groupBy("row").agg(F.count("*").alias("weight"))
-    members = shared.stage(members.join(weights, "row"), "members")
-    prefixes = same.select("row", F.struct("n", "prefix").alias("data"))
-    links, sets, now = None, None, members.withColumn("comp", F.col("row"))
-    for step in (by_pivot, by_pivot, by_tree):
-        pairs = by_tree(now, same.select("row", "prefix"), percent) if step is by_tree else verify(shared.stage(by_pivot(now, percent), "pairs"), prefixes, _prefix, lambda x, y: could_link(x, y, percent))
-        pairs = shared.stage(pairs, "pairs")
-        named = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        new = named if sets is None else named.join(sets.select("row"), "row", "left_anti")
-        wanted = shared.stage(same.join(new, "row", "left_semi").select("row", "doc_id", "th", "digest"), "wanted")
-        found = shared.stage(whole_sets(docs, wanted, n, order), "grams")
-        sets = found if sets is None else sets.unionByName(found)
-        verified = shared.stage((verify_blocks if step is by_tree else verify)(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
-        links = verified if links is None else links.unionByName(verified)
-        comps = shared.stage(components(links), "components")
-        if step is not by_tree:
-            known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
-            open_ = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            now = shared.stage(known.join(open_, "token"), "members")
+    profiled = shared.stage(profiles(docs, n, percent, order), "profiles")
+    same = profiled.where("n_shingles > 0").groupBy("digest").agg(F.min_by(F.struct("row", "doc_id", "th", F.col("n_shingles").alias("n"), "prefix", "bits"), "row").alias("r"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    each = shared.stage(profiled.select("row", "doc_id", "n_shingles", "digest"), "documents")
+    full = shared.stage(same.select("digest", "r.*", "copies", "least"), "sets")
+    shared.release(profiled)
+    found = shared.stage(bucket_members(full, percent), "members")
+    keys = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("token", "at"))).alias("t"), F.bool_or("visit").alias("visit"), F.count_if("visit").alias("weight")).where("visit")
+    last = full.select("row", "n", "bits", F.element_at("prefix", -1).alias("last"))
+    keys = shared.stage(keys.join(last, "row").select("row", "n", F.col("t.token").alias("tokens"), F.col("t.at").alias("places"), "last", "bits", "weight"), "keys")
+    members = shared.stage(found.where("visit").join(keys.select("row", "weight"), "row").select("token", "row", "n", "weight"), "members")
+    same = shared.stage(full.drop("prefix", "bits"), "sets")
+    shared.release(full, found)
+    pairs = shared.stage(by_pivot(members.withColumn("comp", F.col("row")), percent), "pairs")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        wanted = shared.stage(same.join(shared.maybe_broadcast(shared.stage(rows.distinct(), "rows"), 16), "row", "left_semi").select("row", "doc_id", "th", "digest"), "wanted")
+        return shared.stage(whole_sets(docs, wanted, n, order), "grams")
+
+    sets = sets_of(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))))
+    links = shared.stage(verify(pairs, sets, _grams, lambda x, y: linked(x, y, percent)), "links")
+    comps = components(links)
+    known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").select("token", "row", F.coalesce("root", "row").alias("comp"))
+    open_ = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    now = shared.stage(known.join(open_, "token"), "members")
+    keys_only = keys.drop("weight")
+    left = shared.stage(active(now, keys_only, percent), "active")
+    more = sets_of(left.join(sets.select("row"), "row", "left_anti").select("row"))
+    sets = sets.unionByName(more)
+    rest = shared.stage(tree_links(now.join(shared.maybe_broadcast(left, 24), ["token", "row"], "left_semi"), keys_only, sets, percent), "links")
+    comps = components(links.unionByName(rest))
+    shared.release(members, now, keys, left)
     classed = same.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
     least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
     many = classed.where(F.col("root").isNotNull() | (F.col("copies") > 1)).join(least, "comp").select("row", "digest", "component_id", "comp", "copies")
@@ -331,8 +473,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counted = shared.stage(count_links(linked_rows, sets, _grams, percent), "counts")
         many = many.join(counted, "row", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     many = many.drop("row", "copies")
-    many = shared.maybe_broadcast(shared.stage(many, "classes"), 72)
-    joined = each.join(many, "digest", "left")
+    many = shared.stage(many, "classes")
+    joined = each.join(shared.maybe_broadcast(many, 72), "digest", "left")
     told = [F.coalesce("links", F.lit(0)).cast("long").alias(links_col)] if links_col else []
     return joined.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "row").alias("comp"), *told)
 

@@ -31,7 +31,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark's cleaner drop the shuffle files behind them.
+
+    The cleaner acts when the driver's collector finds a shuffle unreachable; without a collection now and then, the
+    files of every step of a long operator stay on the executors' disks until its end.
+    """
+    for df in staged:
+        jvm, path = df.sparkSession._jvm, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -171,17 +171,58 @@ def test_prefix_tree_loses_no_link():
                 m = rng.integers(0, max(1, len(x) // 8) + 1)
                 x[rng.integers(0, len(x), m)] = rng.integers(0, 3000, m)
                 sets.append(np.unique(x).astype(np.uint64))
-        prefixes = [x[: ngram_join.prefix_length(len(x), percent)].astype(np.int64) for x in sets]
+        prefixes = [x[: ngram_join.prefix_length(len(x), percent)].tolist() for x in sets]
+        held = rng.integers(1, 20)
         found = []
-        for token in {t for p in prefixes for t in p.tolist()}:
+        for token in {t for p in prefixes for t in p}:
             tree = ngram_join.PrefixTree(percent)
             for i, p in enumerate(prefixes):
                 if token in p:
-                    found += [(j, i) for j in tree.search(p.tolist(), len(sets[i]), token)]
-                    tree.add(p.tolist(), len(sets[i]), i)
+                    k = p.index(token)
+                    cut = p[k : k + 1 + held]
+                    last = cut[-1] if k + 1 + held < len(p) else p[-1]
+                    m = ngram_join.Member(i, len(sets[i]), i, p[:k], cut, list(range(k, k + len(cut))), last, ngram_join.parity(sets[i]))
+                    found += [(e.row, i) for e in tree.search(m)]
+                    tree.add(m)
         want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
         assert want <= set(found) and len(found) == len(set(found))
-        assert all(ngram_join.could_link((len(sets[i]), prefixes[i]), (len(sets[j]), prefixes[j]), percent) for i, j in want)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(16)
+    bits = lambda x: (8 * len(ngram_join.parity(x)), int.from_bytes(ngram_join.parity(x), "little"))
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 1 << 60, rng.integers(0, 700), dtype=np.uint64)) for _ in range(2))
+        y = np.union1d(x[rng.random(len(x)) < 0.9], y[: rng.integers(0, 30)])
+        assert ngram_join.differ(bits(x), bits(y)) <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("block", [4, 500])
+def test_a_dense_group_gives_links_in_proportion_to_its_members(spark, block, monkeypatch):
+    """Every member of a group shares most of its text with all others, few of them enough to be linked."""
+    told = []
+    for name in ("active", "tree_links"):
+        def counted(*args, made=getattr(ngram_join, name), name=name):
+            out = shared.stage(made(*args, block=block), "told")
+            told.append((name, out.count()))
+            return out
+        monkeypatch.setattr(ngram_join, name, counted)
+    rng = random.Random(17)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 4):
+            own[at] = prose(rng, 1)
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.classes_of(docs, n=3, percent=85).collect()}
+    sets = [gram_set(t, 3) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(60), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    root = roots(60, links)
+    assert [got[i] for i in range(60)] == root and len(set(root)) > 1
+    most = 60 * 60 // block if block < 60 else 60
+    assert dict(told)["tree_links"] <= 3 * most and dict(told)["active"] <= 60 * 20
 
 
 def test_line_dedup_against_all_pairs(spark, odd, none):
@@ -331,6 +372,24 @@ def test_pieces_are_those_of_the_library(bpe_model):
         assert list(bpe_model._ids(bpe_model.stream(marked))) == ids or not text
 
 
+def test_one_stream_commits_in_a_bounded_window(spark, bpe_model):
+    """On whole texts, long and short: ids as of the library, commits on the way, and a window that never grows."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    texts += ["x" * 5000, "ab" * 3000, " ".join(texts)[:50_000].replace(" ", ""), "  " * 500 + "end", "é漢🎉" * 700]
+    commits = 0
+    for text in texts:
+        seen = []
+        ids = bpe_model.whole(text, lambda size, found: seen.append((size, found)))  # noqa: B023
+        assert ids.tolist() == library.encode(text) == bpe_model.encode(text).tolist()
+        assert max(size for size, _ in seen) <= 8 * bpe_model.longest
+        assert len(text) < 8 * bpe_model.longest or len(seen) > 1 and all(found for _, found in seen[1:])
+        commits += len(seen) - 1
+    assert commits > 20 * len(texts)
+
+
 def test_unigram_paths_score_no_less_than_the_library(tmp_path):
     import sentencepiece
     import sentencepiece.sentencepiece_model_pb2 as pb
