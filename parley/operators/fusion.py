@@ -82,14 +82,17 @@ def cover(pool: Column, counts: Column, weight: Column, k: int) -> Column:
             value = (F.lit(1.0) / place) * (1 - weight) + weight * F.size(F.array_except(x["values"], state.seen)) - 0.3 * x.p
             return F.struct(value.alias("s"), (-x.rank).alias("minus"), x.id.alias("id"), x["values"].alias("values"))
 
-        best = F.array_max(F.transform(state.left, valued))
-        picked = F.struct(
-            F.filter(state.left, lambda x: x.rank != -best.minus).alias("left"),
-            F.concat(state.ids, F.array(best.id)).alias("ids"),
-            F.array_union(state.seen, best["values"]).alias("seen"),
-            F.concat(state.ranks, F.array(-best.minus)).alias("ranks"),
-        )
-        return F.when(F.size(state.left) > 0, picked).otherwise(state)
+        def picked(best: Column) -> Column:
+            return F.struct(
+                F.filter(state.left, lambda x: x.rank != -best.minus).alias("left"),
+                F.concat(state.ids, F.array(best.id)).alias("ids"),
+                F.array_union(state.seen, best["values"]).alias("seen"),
+                F.concat(state.ranks, F.array(-best.minus)).alias("ranks"),
+            )
+
+        # best is the variable of a lambda, so that it is worked out once and not wherever it is named
+        best = F.array(F.array_max(F.transform(state.left, valued)))
+        return F.when(F.size(state.left) > 0, F.get(F.transform(best, picked), F.lit(0))).otherwise(state)
 
     steps = F.sequence(F.lit(2), F.lit(k)) if k >= 2 else F.array().cast("array<int>")
     return F.when(F.size(pool) > 0, F.aggregate(steps, start, step, lambda s: s.ids)).otherwise(F.array().cast("array<string>"))
