@@ -13,34 +13,52 @@ from pyspark.sql import functions as F
 def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query_id, id, score, rank. vectors: id, v; queries: query_id, v. Ties go to the lesser id.
 
-    Queries come in blocks of a fixed number, each a matrix that fits a task; every batch of rows keeps its own top k
-    for each query of the block, and a window over those ends it. Scores are rounded at the ninth place for ranking.
+    Queries are dealt into blocks of about `block`, rows into as many parts as there are shuffle partitions. A task has
+    a block of queries as a matrix and one part of the rows, of which every batch keeps its own top k for each query; a
+    window over those ends it. Rows are read once and shuffled once for each block of queries; nothing is collected.
+    Scores are rounded at the ninth place for ranking.
     """
-    numbered = queries.select("query_id", "v").withColumn("b", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) * F.lit(max(1, queries.count() // block)) / (1 << 20)))
-    blocks = [r.b for r in numbered.select("b").distinct().collect()]
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    q, i = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    asked = queries.select(of("query_id", blocks).alias("b"), each(parts).alias("p"), F.lit(0).alias("kind"), "query_id", F.lit(None).cast(i).alias("id"), F.col("v").cast("array<double>").alias("v"))
+    rows = vectors.select(each(blocks).alias("b"), of("id", parts).alias("p"), F.lit(1).alias("kind"), F.lit(None).cast(q).alias("query_id"), "id", F.col("v").cast("array<double>").alias("v"))
 
-    def one(b: int) -> DataFrame:
-        rows = numbered.where(F.col("b") == b).select("query_id", "v").collect()
-        ids, matrix = [r.query_id for r in rows], np.array([r.v for r in rows], np.float64)
+    def best(ids: list, matrix: np.ndarray, own: list, held: list) -> pa.RecordBatch:
+        names = np.array(own)
+        scores = np.array(held, np.float64) @ matrix.T
+        n = min(k, len(own))
+        top = np.stack([np.lexsort((names, -np.round(s, 9)))[:n] for s in scores.T])
+        columns, flat = np.repeat(np.arange(len(ids)), n), top.ravel()
+        return pa.RecordBatch.from_arrays([pa.array([ids[c] for c in columns]), pa.array([own[f] for f in flat]), pa.array(scores[flat, columns])], ["query_id", "id", "score"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(own):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vs, matrix, own, held = None, [], [], None, [], []
+        for batch in batches:
+            for b, p, kind, query_id, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, p) != at:
+                    if own:
+                        yield best(ids, matrix, own, held)
+                    at, ids, vs, matrix, own, held = (b, p), [], [], None, [], []
+                if kind == 0:
+                    ids.append(query_id)
+                    vs.append(v)
                     continue
-                scores = np.array(batch.column(1).to_pylist(), np.float64) @ matrix.T
-                n = min(k, len(own))
-                top = np.stack([np.lexsort((own, -np.round(s, 9)))[:n] for s in scores.T])
-                columns = np.repeat(np.arange(len(ids)), n)
-                flat = top.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in columns]), pa.array(own[flat]), pa.array(scores[flat, columns])], ["query_id", "id", "score"])
-
-        return vectors.select("id", "v").mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
-
-    if not blocks:
-        return vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
-    found = one(blocks[0])
-    for b in blocks[1:]:
-        found = found.unionByName(one(b))
+                if not ids:
+                    continue
+                if matrix is None:
+                    matrix = np.array(vs, np.float64)
+                own.append(i)
+                held.append(v)
+                if len(own) >= 8192:
+                    yield best(ids, matrix, own, held)
+                    own, held = [], []
+        if own:
+            yield best(ids, matrix, own, held)
+
+    met = asked.unionByName(rows).repartition(parts, "b", "p").sortWithinPartitions("b", "p", "kind")
+    found = met.mapInArrow(run, f"query_id {q}, id {i}, score double")
     by = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
