@@ -53,6 +53,11 @@ def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean"))
 
 
+def stats_of(posted: DataFrame, n: int) -> DataFrame:
+    """As corpus_stats, from plain postings of n documents: their frequencies add up to the tokens."""
+    return posted.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0.0)) / max(n, 1)).alias("mean"))
+
+
 def search(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int, form: Bm25 = PLAIN, order: Column | None = None) -> DataFrame:
     """query_id, id, score, rank. queries: query_id, term (a term asked twice counts twice). Ties go to the lesser id.
 

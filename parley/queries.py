@@ -13,6 +13,7 @@ from .operators import dialog, fusion, lexical, metrics, structured, vectors
 from .plans import engine, report, simulator, testbed
 from .plans.config import Config
 from .sources.catalog import last_wins, upsert, with_features
+from .sources.staging import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,7 +175,8 @@ select query_id, doc_id, round(score, 6) as score, rank from k where rank <= 10
 def lexical_bm25_topk(spark, d):
     docs, tokens = testbed.table(spark, d, "documents"), lexical.plain_words("text")
     queries = lexical.terms_of(testbed.table(spark, d, "benchmark"), "item_id", tokens)
-    found = lexical.search(lexical.postings(docs, "doc_id", tokens), lexical.corpus_stats(docs, tokens), queries, 10)
+    posted = written(lexical.postings(docs, "doc_id", tokens), "postings")
+    found = lexical.search(posted, lexical.stats_of(posted, docs.count()), queries, 10)
     return found.select("query_id", c("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -491,10 +493,10 @@ def token_usage(spark, d):
     return metrics.token_usage(testbed.sessions(spark, d))
 
 
-@query("select p_partkey, case when p_size % 7 = 0 then -1 else p_size end::int as p_size from part union all select -o_orderkey, 0 from orders where o_orderkey % 100 = 1")
+@query("select p_partkey, case when p_size % 7 = 0 then -1 else p_size end::int as p_size from part union all select -o_orderkey, 0 from orders")
 def upsert_rows(spark, d):
     old = testbed.table(spark, d, "part").select("p_partkey", "p_size")
-    fresh = testbed.table(spark, d, "orders").where("o_orderkey % 100 = 1").selectExpr("-o_orderkey as p_partkey", "0 as p_size")
+    fresh = testbed.table(spark, d, "orders").selectExpr("-o_orderkey as p_partkey", "0 as p_size")
     return upsert(old, old.where("p_size % 7 = 0").selectExpr("p_partkey", "-1 as p_size").unionByName(fresh), "p_partkey")
 
 
