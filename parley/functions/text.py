@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -130,6 +132,24 @@ def number_text(raw: Column) -> Column:
     return F.when(raw.rlike(r"^-?[0-9]+$"), raw).otherwise(raw.cast("double").cast("string"))
 
 
+def filled(template: str, *values: Column) -> Column:
+    """template with the values in place of its {}."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))))
+
+
+def _folding() -> tuple[str, str]:
+    """Letters with marks and the letters without, by the decompositions of the Unicode tables, then marks alone, which go."""
+    marked = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    told = {k: v[0] for k, v in marked.items() if len(v) > 1 and all(unicodedata.combining(x) for x in v[1:])}
+    return "".join(told) + "".join(map(chr, range(0x300, 0x370))), "".join(told.values())
+
+
+def folded(text: Column) -> Column:
+    """text without diacritics on Latin letters."""
+    return F.translate(text, *_folding())
+
+
 def cache_key(model: Column, query: Column, ids: Column) -> Column:
     """A key of the re-ranking memo: the hash of its sorted-key JSON."""
     return F.sha2(F.to_json(F.struct(ids.alias("candidates"), model.alias("model"), query.alias("query"))), 256)

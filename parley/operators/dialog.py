@@ -44,6 +44,18 @@ def slot_turns(turns: DataFrame, session: str = "session_id", turn: str = "turn"
     return both.select(session, turn, *V.SLOTS, gone.alias("overridden"))
 
 
+def query_terms(turns: DataFrame, session: str = "session_id", turn: str = "turn", text: str = "text", strict_size: bool = False) -> DataFrame:
+    """session, turn, terms: the slots' values as words after each turn, in the order in which they were first filled."""
+    each = turns.select(session, turn, *((f(F.col(text), strict_size) if a == "size" else f(F.col(text))).alias(f"new_{a}") for a, f in SLOT_OF.items()))
+    so_far = _so_far(session, turn)
+    held = [
+        F.struct(F.min(F.when(F.col(f"new_{a}").isNotNull(), F.col(turn))).over(so_far).alias("first"), F.lit(i).alias("place"), F.last(f"new_{a}", ignorenulls=True).over(so_far).cast("string").alias("value"))
+        for i, a in enumerate(V.SLOTS)
+    ]
+    filled = F.array_sort(F.filter(F.array(*held), lambda x: x.value.isNotNull()))
+    return each.select(session, turn, F.transform(filled, lambda x: x.value).alias("terms"))
+
+
 def rejection_counts(shown: DataFrame, products: DataFrame, session: str = "session_id") -> DataFrame:
     """session, value, n: how often shown items had each value. shown: session, id; products: id, values."""
     return shown.join(products.select("id", F.explode("values").alias("value")), "id").groupBy(session, "value").agg(F.count("*").alias("n"))

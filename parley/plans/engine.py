@@ -1,4 +1,4 @@
-"""Conversational retrieval over all sessions at once: retrieve, step, evaluate.
+"""Conversational retrieval over all sessions at once: retrieve, step, re-rank.
 
 A turn is one plan over every live session; its state is written down in the shared folder, so plans do not grow with
 turns and a lost executor costs one turn. Sessions that hit leave the loop.
@@ -10,16 +10,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import dialog, fusion, lexical, metrics, structured, vectors
-from ..sources.catalog import with_features
+from ..operators import dialog, fusion, lexical, structured, vectors
+from ..sources.catalog import add_memo, read_memo, with_features
 from ..sources.staging import written
-from . import simulator
 from .config import Config
+from .replay import evaluate, replay
 
 Embed = Callable[[list[str]], list[list[float]]]
 NONE = "array<string>"
@@ -27,13 +27,19 @@ NONE = "array<string>"
 
 @dataclass
 class Engine:
-    """catalog: as read_catalog gives it. embeddings: id, embedding, and embed for queries, where a dense route is on."""
+    """catalog: as read_catalog gives it. embeddings: id, embedding, and embed for queries, where a dense route is on.
+
+    scorer re-ranks, where the configuration has a depth for it: it maps requests (key, ids, prompt) to answers (key,
+    ranked, prompt_tokens, completion_tokens) for those that it can answer. memo is the path of a table of answers.
+    """
 
     catalog: DataFrame
     config: Config
     embeddings: DataFrame | None = None
     embed: Embed | None = None
-    reranker: Callable[[DataFrame], DataFrame] | None = None
+    scorer: Callable[[DataFrame], DataFrame] | None = None
+    memo: str | None = None
+    model: str = "default"
     bm25: lexical.Bm25 = lexical.PLAIN
 
     def __post_init__(self) -> None:
@@ -42,7 +48,7 @@ class Engine:
         self.products = written(with_features(self.catalog).withColumn("id", F.col("parent_asin")), "products")
         tokens = X.words(F.col("lexical_text"))
         self.postings = written(lexical.postings(self.products, "id", tokens), "postings")
-        self.stats = written(lexical.corpus_stats(self.products, tokens), "stats")
+        self.stats = written(lexical.stats_of(self.postings, self.products.count()), "stats")
 
     def routes(self, queries: DataFrame, depth: int) -> list[DataFrame]:
         """queries: query_id, text. A ranked list for each enabled route of some weight."""
@@ -105,9 +111,8 @@ class Engine:
         else:
             final = pool.where(c("rank") <= top_k).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias("final"))
         s = s.join(final, "session_id", "left").withColumn("final", F.coalesce("final", empty)).withColumn("prompt_tokens", F.lit(0).cast("long")).withColumn("completion_tokens", F.lit(0).cast("long"))
-        if cfg.rerank_depth and self.reranker is not None:
-            deep = pool.where(c("rank") <= cfg.rerank_depth).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title"))).alias("candidates"))
-            answers = self.reranker(s.select("session_id", "query").join(deep, "session_id")).select("session_id", F.slice("ranked", 1, top_k).alias("ranked"), c("prompt_tokens").alias("p"), c("completion_tokens").alias("q"))
+        if cfg.rerank_depth and (self.scorer is not None or self.memo):
+            answers = self.reranked(s, pool).select("session_id", F.slice("ranked", 1, top_k).alias("ranked"), c("prompt_tokens").alias("p"), c("completion_tokens").alias("q"))
             s = s.join(answers, "session_id", "left").withColumn("final", F.coalesce("ranked", "final")).withColumn("prompt_tokens", F.coalesce("p", "prompt_tokens")).withColumn("completion_tokens", F.coalesce("q", "completion_tokens")).drop("ranked", "p", "q")
         filled = F.array_compact(F.array(*(F.when(c(f"slot_{a}").isNotNull(), F.lit(a)) for a in V.SLOTS)))
         if cfg.question_policy == "eig":
@@ -117,38 +122,31 @@ class Engine:
             s = s.withColumn("ask_attribute", dialog.fixed_question(filled) if cfg.question_policy == "fixed" else F.lit(None).cast("string"))
         return s.withColumns({"shown": F.array_union("shown", "final"), "last_shown": c("final"), "reply": dialog.question_text(c("ask_attribute"))})
 
+    def reranked(self, state: DataFrame, pool: DataFrame) -> DataFrame:
+        """session_id, ranked (null: keep the order), tokens: from the memo, or else from the scorer.
+
+        What the scorer answers is added to the memo, so the same request is never asked twice and a second run gives
+        the same ranks. A scorer that fails leaves the order as it is.
+        """
+        c, spark = F.col, state.sparkSession
+        deep = pool.where(c("rank") <= self.config.rerank_depth).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title"))).alias("candidates"))
+        ids = F.transform("candidates", lambda x: x.id)
+        asked = state.select("session_id", "query").join(deep, "session_id").select("session_id", X.cache_key(F.lit(self.model), c("query"), ids).alias("key"), ids.alias("ids"), X.prompt(c("query"), c("candidates")).alias("prompt"))
+        asked = written(asked, "asked")
+        memo, requests = read_memo(spark, self.memo), asked.drop("session_id").dropDuplicates(["key"])
+        try:
+            answers = written(fusion.rerank(requests, memo, self.scorer), "answers")
+        except Exception:  # whatever a plug-in raises
+            answers = written(fusion.rerank(requests, memo), "answers")
+        if self.memo and self.scorer is not None:
+            fresh = answers.where("ranked is not null").select(*memo.columns).join(memo.select("key"), "key", "left_anti")
+            add_memo(written(fresh, "fresh"), self.memo)
+        return asked.select("session_id", "key").join(answers, "key")
+
     def run(self, samples: DataFrame, top_k: int = V.TOP_K) -> tuple[DataFrame, DataFrame]:
-        """(session results, transcript) of all samples, up to ten turns each; hits count within the first ten places."""
-        c = F.col
-        hidden = simulator.hidden_fields(samples, self.catalog)
-        opened = hidden.withColumn("o", simulator.initial_message(c("scenario_type"), c("category"), c("card"), c("override.old_value")))
-        state = self.start(opened.withColumnRenamed("sample_id", "session_id").select("session_id", "scenario_type", "target", "tags", "card", "override", c("o.message").alias("message"), c("o.disclosed").alias("disclosed"), F.lit(False).alias("boundary_used"), (c("scenario_type") != "intent_override").alias("applied")))
-        keep, transcript = state.columns, None
-        for turn in range(1, V.MAX_TURNS + 1):
-            place = F.array_position(c("final"), c("target"))
-            done = written(self.step(state, turn, top_k).withColumn("turn", F.lit(turn)).withColumn("place", F.when(c("applied") & (place > 0), place)), "turn")
-            said = done.select("session_id", "scenario_type", "target", "turn", c("message").alias("user_message"), c("reply").alias("message"), "ask_attribute", F.slice("final", 1, V.TOP_K).alias("recommendations_shown"), F.size("final").alias("candidate_pool_size"), (place > 0).alias("target_in_candidate_pool"), F.array_contains(F.slice("final", 1, V.TOP_K), c("target")).alias("target_in_shown_top10"), "place", "prompt_tokens", "completion_tokens")
-            transcript = said if transcript is None else transcript.unionByName(said)
-            live = done.where(c("place").isNull() | (c("place") > V.TOP_K))
-            if turn == V.MAX_TURNS or live.limit(1).count() == 0:
-                break
-            switch = ~c("applied") & (F.coalesce(c("override.turn"), F.lit(3)) == turn + 1)
-            answered = simulator.customer_reply(c("scenario_type"), c("card"), c("ask_attribute"), c("disclosed"), c("boundary_used"))
-            switched = F.struct(c("override.message").alias("message"), F.array_union("disclosed", F.array_compact(F.array(F.nullif(c("override.new_value"), F.lit(""))))).alias("disclosed"), c("boundary_used").alias("boundary_used"))
-            live = live.withColumn("r", F.when(switch, switched).otherwise(answered)).withColumn("applied", c("applied") | switch)
-            state = live.withColumns({"message": c("r.message"), "disclosed": c("r.disclosed"), "boundary_used": c("r.boundary_used")}).select(*keep)
-        first = Window.partitionBy("session_id")
-        hit = F.col("place") <= V.TOP_K
-        results = transcript.groupBy(c("session_id").alias("sample_id"), "scenario_type", "target").agg(
-            F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"),
-            F.min(F.when(hit, c("turn"))).alias("first_hit_turn"),
-            F.min(F.when(hit, c("place"))).alias("best_rank"),
-            F.min(F.when(c("place").isNotNull(), c("turn"))).alias("first_recall_turn"),
-        )
-        results = results.withColumn("reciprocal_rank", F.coalesce(1.0 / c("best_rank"), F.lit(0.0))).withColumn("recall_hit", c("first_recall_turn").isNotNull())
-        return written(results, "results"), transcript.withColumn("turns", F.max("turn").over(first))
+        """(session results, transcript) of all samples: see replay."""
+        return replay(self, self.catalog, samples, top_k)
 
     def evaluate(self, samples: DataFrame) -> dict:
         """The metric record of all samples, with one entry for each session."""
-        results, transcript = self.run(samples)
-        return metrics.metric_record(results, transcript)
+        return evaluate(self, self.catalog, samples)

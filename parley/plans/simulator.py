@@ -22,8 +22,8 @@ def intent_card(title: Column, features: Column, details: Column, description: C
     corpus = X.searchable_text(title, features, details, description, categories, store)
     material, color = X.first_by_place(corpus, V.CARD_MATERIALS), X.first_by_place(corpus, V.CARD_COLORS)
     listed = F.concat(F.array_compact(F.array(material)), listed)
-    listed = F.when(color.isNotNull(), F.concat(F.slice(listed, 1, 1), F.array(F.concat(F.lit("color: "), color)), F.slice(listed, 2, F.greatest(F.size(listed), F.lit(1))))).otherwise(listed)
-    priced = F.when(price_text.isNotNull() & (price_text != ""), F.concat(F.lit("budget around $"), X.number_text(price_text)))
+    listed = F.when(color.isNotNull(), F.concat(F.slice(listed, 1, 1), F.array(X.filled(V.CARD_COLOR, color)), F.slice(listed, 2, F.greatest(F.size(listed), F.lit(1))))).otherwise(listed)
+    priced = F.when(price_text.isNotNull() & (price_text != ""), X.filled(V.CARD_PRICE, X.number_text(price_text)))
     listed = F.concat(listed, F.array_compact(F.array(priced)))
     clean = F.array_distinct(F.filter(F.transform(listed, lambda x: X.clean_constraint(x)), lambda x: x != ""))
     name = X.clean_constraint(F.coalesce(F.nullif(title, F.lit("")), F.lit("product")))
@@ -39,9 +39,9 @@ def override_turn(sample_id: pd.Series, scenario: pd.Series) -> pd.Series:
 
 
 def override_of(card: Column, turn: Column) -> Column:
-    old = F.coalesce(F.try_element_at(card.soft_preferences, F.lit(-1)), F.lit("I prefer a different style."))
-    new = F.coalesce(F.get(card.hard_constraints, 0), F.lit("Please prioritize the target requirements."))
-    message = F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), new, F.lit("."))
+    old = F.coalesce(F.try_element_at(card.soft_preferences, F.lit(-1)), F.lit(V.OVERRIDE_OLD))
+    new = F.coalesce(F.get(card.hard_constraints, 0), F.lit(V.OVERRIDE_NEW))
+    message = X.filled(V.OVERRIDE, new)
     return F.struct(turn.alias("turn"), old.alias("old_value"), new.alias("new_value"), message.alias("message"))
 
 
@@ -53,16 +53,16 @@ def hidden_fields(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     given = c("intent_card").isNotNull() & c("behavior").isNotNull()
     card = F.when(given, c("intent_card")).otherwise(c("derived"))
     own = F.when(given, c("behavior.override")).otherwise(F.when(c("scenario_type") == "intent_override", override_of(c("derived"), override_turn("sample_id", "scenario_type"))))
-    return joined.select("sample_id", "scenario_type", "target", "category", F.coalesce("user_profile.preference_tags", F.array().cast("array<string>")).alias("tags"), card.alias("card"), own.alias("override"))
+    return joined.select("sample_id", "scenario_type", "target", "category", F.coalesce("user_profile.preference_tags", F.array().cast("array<string>")).alias("tags"), c("user_profile").alias("profile"), card.alias("card"), own.alias("override"))
 
 
 def initial_message(scenario: Column, category: Column, card: Column, old_value: Column) -> Column:
     """message and disclosed (what the opening gives away)."""
-    start, hard = F.concat(F.lit("I'm looking for "), category), F.get(card.hard_constraints, 0)
+    start, hard = X.filled(V.OPENING, category), F.get(card.hard_constraints, 0)
     none = F.array().cast("array<string>")
-    told = F.struct(F.concat(start, F.lit(". A key requirement is: "), hard, F.lit(".")).alias("message"), F.array(hard).alias("disclosed"))
-    switched = F.struct(F.concat(start, F.lit(". "), old_value).alias("message"), none.alias("disclosed"))
-    vague = F.struct(F.concat(start, F.lit(", but I'm still exploring.")).alias("message"), none.alias("disclosed"))
+    told = F.struct(F.concat(start, X.filled(V.OPENING_BUYING, hard)).alias("message"), F.array(hard).alias("disclosed"))
+    switched = F.struct(F.concat(start, X.filled(V.OPENING_OVERRIDE, old_value)).alias("message"), none.alias("disclosed"))
+    vague = F.struct(F.concat(start, F.lit(V.OPENING_VAGUE)).alias("message"), none.alias("disclosed"))
     return F.when((scenario == "buying") & hard.isNotNull(), told).when((scenario == "intent_override") & old_value.isNotNull(), switched).otherwise(vague)
 
 
@@ -76,10 +76,10 @@ def customer_reply(scenario: Column, card: Column, attribute: Column, disclosed:
     known = F.when(asked.isin(*V.ATTRIBUTES), asked).otherwise("other")
     every = F.concat(card.hard_constraints, card.soft_preferences)
     fits = F.slice(F.filter(every, lambda c: ~F.array_contains(disclosed, c) & ((known == "other") | (X.classify_constraint(c) == known))), 1, 2)
-    no_choice = F.concat(F.lit("I don't have a preference for "), asked, F.lit("; please use your judgment."))
-    nothing = F.concat(F.lit("I don't have an additional preference for "), known, F.lit("."))
-    answer = F.concat(F.lit("For that, what matters is: "), F.array_join(fits, "; "), F.lit("."))
-    nudge = F.lit("Those options are not quite right yet. Ask me about one specific attribute.")
+    no_choice = X.filled(V.NO_CHOICE, asked)
+    nothing = X.filled(V.NOTHING_MORE, known)
+    answer = X.filled(V.ANSWER, F.array_join(fits, "; "))
+    nudge = F.lit(V.NUDGE)
     return (
         F.when((scenario == "boundary") & ~boundary_used & asked.isNotNull(), said(no_choice, used=F.lit(True)))
         .when(asked.isNull(), said(nudge))

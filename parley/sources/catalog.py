@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,19 +73,35 @@ class IndexMissing(RuntimeError):
 
 
 def read_embeddings(spark: SparkSession, path: str, catalog: DataFrame | None = None) -> DataFrame:
-    """id, ord, embedding; with a catalog, its ids in order must be those of the table."""
+    """id, ord, embedding; with a catalog, the ids of the table must be those of the catalog, in any order."""
     try:
         index = spark.read.parquet(path)
     except Exception as e:
         raise IndexMissing(f"no embeddings at {path}") from e
     if catalog is not None:
-        same = lambda df, key: df.agg(F.count("*"), F.bit_xor(F.xxhash64(key, "ord"))).first()
-        ranked = catalog.select("parent_asin", (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("ord"))
-        if same(index, "id") != same(ranked, "parent_asin"):
+        same = lambda df, key: df.agg(F.count("*"), F.bit_xor(F.xxhash64(key)), F.sum(F.crc32(F.col(key).cast("binary")))).first()
+        if same(index, "id") != same(catalog, "parent_asin"):
             raise IndexMissing("the embeddings are of another catalog")
     return index
 
 
+MEMO = "key string, ranked array<string>, prompt_tokens long, completion_tokens long"
+
+
+def read_memo(spark: SparkSession, path: str | None) -> DataFrame:
+    """Answers of a re-ranker that were kept; none if nothing was written to path yet."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.read.schema(MEMO).parquet(path)
+    return spark.createDataFrame([], MEMO)
+
+
+def add_memo(answers: DataFrame, path: str) -> None:
+    """Keep answers to requests that the memo has not; a key is the hash of a request, so rows are never changed."""
+    answers.write.mode("append").parquet(path)
+
+
 def write_embeddings(catalog: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> None:
     """Embed dense_text of each product in batches, on the executors, and write id, ord, embedding."""
 
@@ -95,8 +111,8 @@ def write_embeddings(catalog: DataFrame, path: str, embed: Callable[[list[str]],
                 part = b.slice(i, batch)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(embed(part.column(2).to_pylist()), pa.list_(pa.float32()))], ["id", "ord", "embedding"])
 
-    ranked = catalog.select(F.col("parent_asin").alias("id"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("ord"), "dense_text")
-    ranked.mapInArrow(run, "id string, ord long, embedding array<float>").write.mode("overwrite").parquet(path)
+    texts = catalog.select(F.col("parent_asin").alias("id"), F.col("ord").cast("long").alias("ord"), "dense_text")
+    texts.mapInArrow(run, "id string, ord long, embedding array<float>").write.mode("overwrite").parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -117,6 +133,16 @@ def upsert_markdown(existing: str, header: tuple[str, str], row: str, name: str)
     return "\n".join(lines) + "\n"
 
 
+def write_record(path: str | Path, record: dict, sessions: DataFrame) -> None:
+    """A JSON file of the record with the rows of sessions under `sessions`, which stream through the driver one by one."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(json.dumps(record, indent=2).rstrip()[:-1].rstrip() + ',\n  "sessions": [')
+        for i, row in enumerate(sessions.toJSON().toLocalIterator()):
+            out.write((",\n    " if i else "\n    ") + row)
+        out.write("\n  ]\n}\n")
+
+
 def write_json(path: str | Path, value: object) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, indent=2) + "\n", encoding="utf-8")
