@@ -1,7 +1,9 @@
 """Soft-constraint ranking: materials, colours, a budget and the store name score products; nothing is excluded.
 
-Queries with the same constraints share one scoring. Products meet constraint sets in one nested-loop join whose
-broadcast side is the distinct constraint sets, counted first and cut into blocks.
+Queries with the same constraints share one scoring. A product's score depends on which words of the vocabulary its
+text has, its store and its price alone, so of products alike in these only the first k can be ranked, and the rest
+leave before anything is joined. Stores are found in queries by a join on the beginnings of their names, not by trying
+every store. What is left meets the distinct constraint sets, counted first and cut into blocks, by broadcast.
 """
 
 from __future__ import annotations
@@ -34,25 +36,44 @@ def score(text: Column, store: Column, price: Column, c: Column) -> Column:
     return hits.cast("double") + budget_score(price, c.budget) + F.when((store != "") & F.contains(c.low, store), 1.0).otherwise(0.0)
 
 
+def stores_named(asked: DataFrame, stores: DataFrame, head: int = 3) -> DataFrame:
+    """query_id, store_text: the stores whose names a query's text (low) contains, wherever in it.
+
+    The first `head` characters of a contained name are among the pieces of that length of the text, which are joined.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
+    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr(F.col("low"), i, F.lit(n)) for n in range(1, head + 1))))))
+    keyed = asked.select("query_id", "low", F.explode(pieces).alias("head"))
+    found = keyed.join(stores.select("store_text", F.left("store_text", F.lit(head)).alias("head")), "head")
+    return found.where(F.contains("low", "store_text")).select("query_id", "store_text").distinct()
+
+
+def rankable(products: DataFrame, k: int) -> DataFrame:
+    """id, ord, marks (the words of the vocabulary in its text), store_text, price of the products that can be ranked."""
+    marks = F.filter(F.array(*map(F.lit, dict.fromkeys((*V.MATERIALS, *V.COLORS)))), lambda t: F.contains(F.col("match_text"), t))
+    marked = products.select("id", "ord", marks.alias("marks"), "store_text", "price")
+    alike = Window.partitionBy("marks", "store_text", "price").orderBy("ord")
+    return marked.withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= k).drop("__n")
+
+
 def search(products: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank. products: id, ord, match_text, store_text, price; queries: query_id, text.
 
     A query without material, colour and budget has no rows. Ties go by ord. A budget of 0 against a priced product
     has no answer: such a query has no rows either.
     """
-    asked = queries.select("query_id", constraints(F.col("text")).alias("c")).where(has_any(F.col("c")))
+    asked = queries.select("query_id", constraints(F.col("text")).alias("c")).where(has_any(F.col("c"))).select("query_id", "c.*")
     stores = products.select("store_text").distinct().where("store_text <> ''")
-    named = asked.join(stores, F.contains(F.col("c.low"), F.col("store_text")), "left").groupBy("query_id", "c").agg(F.array_sort(F.collect_set("store_text")).alias("stores"))
-    keyed = named.select("query_id", F.col("c.materials").alias("materials"), F.col("c.colors").alias("colors"), F.col("c.budget").alias("budget"), "stores")
+    named = stores_named(asked, stores).groupBy("query_id").agg(F.array_sort(F.collect_set("store_text")).alias("stores"))
+    keyed = asked.drop("low").join(named, "query_id", "left").withColumn("stores", F.coalesce("stores", F.array().cast("array<string>")))
     keyed = keyed.where(~(F.coalesce(F.col("budget") == 0, F.lit(False)) & F.lit(products.where("price > 0").limit(1).count() > 0))).withColumn("key", F.sha2(F.to_json(F.struct("materials", "colors", "budget", "stores")), 256))
-    sets = keyed.select("key", "materials", "colors", "budget", "stores").distinct()
+    sets = keyed.select("key", F.concat("materials", "colors").alias("words"), "budget", "stores").distinct()
     n = -(-max(1, sets.count()) // BLOCK)
-    best = None
+    left, best = rankable(products, k), None
     for i in range(n):
         part = sets.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
-        hits = F.size(F.filter(F.concat("materials", "colors"), lambda t: F.contains(F.col("match_text"), t))).cast("double")
-        value = hits + budget_score(F.col("price"), F.col("budget")) + F.when(F.array_contains("stores", F.col("store_text")), 1.0).otherwise(0.0)
-        met = products.select("id", "ord", "match_text", "store_text", "price").join(F.broadcast(part)).select("key", "id", "ord", value.alias("score")).where("score > 0")
+        value = F.size(F.array_intersect("words", "marks")).cast("double") + budget_score(F.col("price"), F.col("budget")) + F.when(F.array_contains("stores", F.col("store_text")), 1.0).otherwise(0.0)
+        met = left.join(F.broadcast(part)).select("key", "id", "ord", value.alias("score")).where("score > 0")
         by = Window.partitionBy("key").orderBy(F.desc("score"), "ord")
         top = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("key", "id", "score", "rank")
         best = top if best is None else best.unionByName(top)

@@ -493,10 +493,10 @@ def token_usage(spark, d):
     return metrics.token_usage(testbed.sessions(spark, d))
 
 
-@query("select p_partkey, case when p_size % 7 = 0 then -1 else p_size end::int as p_size from part union all select -o_orderkey, 0 from orders")
+@query("select p_partkey, case when p_size % 7 = 0 then -1 else p_size end::int as p_size from part union all select -1 - o_orderkey, 0 from orders")
 def upsert_rows(spark, d):
     old = testbed.table(spark, d, "part").select("p_partkey", "p_size")
-    fresh = testbed.table(spark, d, "orders").selectExpr("-o_orderkey as p_partkey", "0 as p_size")
+    fresh = testbed.table(spark, d, "orders").selectExpr("-1 - o_orderkey as p_partkey", "0 as p_size")
     return upsert(old, old.where("p_size % 7 = 0").selectExpr("p_partkey", "-1 as p_size").unionByName(fresh), "p_partkey")
 
 
