@@ -11,8 +11,10 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the session has it, else the warehouse; a temporary folder only if there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        named = spark.conf.get("spark.sql.warehouse.dir")
     if not named and not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="parley-"))
     return (named or _own[0]).rstrip("/")
