@@ -2,15 +2,18 @@
 
 Statistics of whole texts are transformed (logarithm of the mean word length, root of the symbol share, share of
 repeated lines, share of repeated words). For each group a regularised minimum-covariance-determinant estimate is
-fitted over all rows that pass the base rules: a start from medians and quartiles, then concentration steps, each of
-which keeps the share `support` of rows nearest by Mahalanobis distance and re-estimates from them; the estimate of
-least determinant stands. A row is rejected if its squared distance exceeds the chi-square quantile `cutoff`.
+fitted over all rows that pass the base rules: from several starts (medians with quartiles, means with the whole
+scatter), concentration steps, each of which keeps the
+share `support` of rows nearest by Mahalanobis distance and re-estimates from them, until no group's determinant falls
+any more; the estimate of least determinant stands. A row is rejected if its squared distance exceeds the chi-square
+quantile `cutoff`.
 
 A concentration step is one aggregation: rows are binned by distance, counts and moments are summed by group and bin
 before they are shuffled, and the nearest bins are added up until they hold the share. No group is gathered, whatever
-its size. Groups with fewer than min_group rows use their first group column's estimate, or else that of all rows.
-FLOOR is the resolution of each statistic: the scatter never falls below it, so a group of constant values rejects
-nothing near them.
+its size. Every group of any size has its own estimate, which is shrunk toward that of its parent (the language, and
+then all rows) by the weight PRIOR_ROWS / (rows + PRIOR_ROWS): a group of few rows leans on its parent, a large one
+stands alone, and there is no size at which one turns into the other. FLOOR is the resolution of each statistic: the
+scatter never falls below it, so a group of constant values rejects nothing near them.
 
 Defined cases: a null or empty text has no words and fails the base rules; null group columns are a group of their
 own; repeated rows are judged each; an empty table gives an empty table; the statistics are held in one struct column
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,7 @@ FLOOR = (0.12, 0.05, 0.2, 0.15)
 #: The 0.9999 quantile of chi-square with four degrees of freedom.
 CUTOFF = 23.5127
 BINS_PER_DOUBLING, LEAST = 8, 1e-6
+PRIOR_ROWS = 20
 
 
 def text_statistics(text: str | None) -> tuple[int, ...]:
@@ -58,8 +63,9 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def measure(docs: DataFrame, text_col: str = "text", drop_text: bool = False, name: str = "__stats") -> DataFrame:
-    """docs with a struct column of the statistics; without the text if drop_text."""
+def measure(docs: DataFrame, text_col: str = "text", drop_text: bool = False, name: str | None = None) -> DataFrame:
+    """docs with a struct of the statistics as the last column, by a name that docs has not; without the text if drop_text."""
+    name = name or shared.free_name(docs, "__stats")
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
     kind = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, kind)])
@@ -106,17 +112,22 @@ def consistency(share: float) -> float:
 
 
 UPPER = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-ESTIMATE = "grp string, n long, center array<double>, precision array<double>, logdet double"
+STARTS = ("medians", "means")
+ESTIMATE = "grp string, start string, n long, center array<double>, scatter array<double>, precision array<double>, logdet double"
 
 
-def estimate(n: float, total: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Center, precision and log determinant from the moments of the n nearest of total rows."""
+def estimate(n: float, total: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Center and regularised scatter from the moments of the n nearest of total rows."""
     center = sums / n
     scatter = np.zeros((DIM, DIM))
     for (i, j), p in zip(UPPER, products, strict=True):
         scatter[i, j] = scatter[j, i] = p / n - center[i] * center[j]
-    scatter = consistency(n / total) * scatter + np.diag(np.square(FLOOR))
-    return center, np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
+    return center, consistency(n / total) * scatter + np.diag(np.square(FLOOR))
+
+
+def told(grp: str, start: str, n: int, center: np.ndarray, scatter: np.ndarray, logdet: float | None = None) -> dict:
+    logdet = float(np.linalg.slogdet(scatter)[1]) if logdet is None else logdet
+    return {"grp": grp, "start": start, "n": n, "center": center.tolist(), "scatter": scatter.ravel().tolist(), "precision": np.linalg.inv(scatter).ravel().tolist(), "logdet": logdet}
 
 
 def concentrate(bins: pd.DataFrame, support: float) -> dict:
@@ -126,48 +137,84 @@ def concentrate(bins: pd.DataFrame, support: float) -> dict:
     total = counts.sum()
     k = int(np.searchsorted(np.cumsum(counts), support * total - 1e-9)) + 1
     take = bins.iloc[:k]
-    center, precision, logdet = estimate(take["n"].sum(), total, np.array([take[f"s{i}"].sum() for i in range(DIM)]), np.array([take[f"p{i}{j}"].sum() for i, j in UPPER]))
-    return {"grp": bins["grp"].iloc[0], "n": int(total), "center": center.tolist(), "precision": precision.ravel().tolist(), "logdet": logdet}
+    center, scatter = estimate(take["n"].sum(), total, np.array([take[f"s{i}"].sum() for i in range(DIM)]), np.array([take[f"p{i}{j}"].sum() for i, j in UPPER]))
+    return told(bins["grp"].iloc[0], bins["start"].iloc[0], int(total), center, scatter)
+
+
+def begin(rows: pd.DataFrame) -> Iterator[dict]:
+    """The starts of each group: of moments and quartiles. They have no determinant to compare, so any step is better."""
+    for r in rows.itertuples():
+        quartiles = np.array([r.q0, r.q1, r.q2, r.q3])
+        spread = np.square((quartiles[:, 2] - quartiles[:, 0]) / 1.349) + np.square(FLOOR)
+        yield told(r.grp, "medians", r.n, quartiles[:, 1], np.diag(spread), 1e9)
+        center, scatter = estimate(r.n, r.n, np.array([getattr(r, f"s{i}") for i in range(DIM)]), np.array([getattr(r, f"p{i}{j}") for i, j in UPPER]))
+        yield told(r.grp, "means", r.n, center, scatter, 1e9)
+
 
+def fit(rows: DataFrame, support: float = 0.6, steps: int = 12, falls: float = 0.01) -> DataFrame:
+    """rows: grp, x0 to x3. One estimate for each group, of least determinant over all starts and concentration steps.
 
-def fit(rows: DataFrame, support: float = 0.6, steps: int = 4) -> DataFrame:
-    """rows: grp, x0 to x3. One estimate for each group, of least determinant over the concentration steps."""
+    Steps go on while the logarithm of some group's determinant falls by more than `falls`, at most `steps` times.
+    """
     x = [F.col(f"x{i}") for i in range(DIM)]
-    quartiles = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)))
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2 for i in range(DIM)]
-    flat = [1 / spread[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]
-    best = quartiles.select("grp", "n", F.array(*(F.col(f"q{i}")[1] for i in range(DIM))).alias("center"), F.array(*flat).alias("precision"), F.lit(1e9).alias("logdet"))
-    best = latest = shared.stage(best, "mcd")
+    moments = [F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in UPPER)]
+    known = rows.groupBy("grp").agg(*moments, *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)))
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame(list(begin(part)), columns=[c.split()[0] for c in ESTIMATE.split(", ")])
 
     def step(bins: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([concentrate(bins, support)])
 
+    made = [shared.stage(known.mapInPandas(first, ESTIMATE), "mcd")]
     for _ in range(steps):
-        near = rows.join(shared.maybe_broadcast(latest, 300), "grp")
+        near = rows.join(shared.maybe_broadcast(made[-1].select("grp", "start", "center", "precision"), 400), "grp")
         far = F.log2(F.least(squared_distance(x, F.col("center"), F.col("precision")), F.lit(1e12)) + LEAST)
-        binned = near.select("grp", F.floor(far * BINS_PER_DOUBLING).alias("bin"), *x)
-        moments = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in UPPER))
-        latest = shared.stage(moments.groupBy("grp").applyInPandas(step, ESTIMATE), "mcd")
-        both = best.unionByName(latest).groupBy("grp").agg(F.min_by(F.struct("n", "center", "precision", "logdet"), "logdet").alias("e")).select("grp", "e.*")
-        best = shared.stage(both, "mcd")
-    return best
-
-
-def judge(measured: DataFrame, group_cols: Sequence[str] = ("lang", "source"), name: str = "__stats", support: float = 0.6, min_group: int = 100, cutoff: float = CUTOFF, out: str = "__verdict") -> DataFrame:
-    """measured with a struct column out: base_failed, distance2 (null if base_failed) and kept."""
-    s = F.col(name)
+        binned = near.select("grp", "start", F.floor(far * BINS_PER_DOUBLING).alias("bin"), *x).groupBy("grp", "start", "bin").agg(*moments)
+        made.append(shared.stage(binned.groupBy("grp", "start").applyInPandas(step, ESTIMATE), "mcd"))
+        old = made[-2].select("grp", "start", F.col("logdet").alias("old"))
+        if not made[-1].join(old, ["grp", "start"]).where(F.col("old") - F.col("logdet") > falls).limit(1).count():
+            break
+    every = reduce(DataFrame.unionByName, made[1:])
+    return every.groupBy("grp").agg(F.min_by(F.struct("n", "center", "scatter"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+
+
+def shrunk(levels: list) -> tuple[list[float], list[float]]:
+    """Center and precision of a group from the estimates of its levels, its own first and that of all rows last."""
+    center, scatter = np.array(levels[-1]["center"]), np.array(levels[-1]["scatter"])
+    for level in levels[-2::-1]:
+        weight = level["n"] / (level["n"] + PRIOR_ROWS)
+        center = weight * np.array(level["center"]) + (1 - weight) * center
+        scatter = weight * np.array(level["scatter"]) + (1 - weight) * scatter
+    return center.tolist(), np.linalg.inv(scatter.reshape(DIM, DIM)).ravel().tolist()
+
+
+def judge(measured: DataFrame, group_cols: Sequence[str] = ("lang", "source"), name: str | None = None, support: float = 0.6, cutoff: float = CUTOFF, out: str | None = None) -> DataFrame:
+    """measured with a struct as the last column: base_failed, distance2 (null if base_failed) and kept.
+
+    name is the column of the statistics, the last one unless told; out that of the struct, else one that is free.
+    """
+    name, out = name or measured.columns[-1], out or shared.free_name(measured, "__verdict")
+    s = F.col(f"`{name}`")
     failed = base_failed(s)
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group_cols]
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in group_cols]
     levels = [F.concat_ws("\x00", F.lit(str(k)), *parts[:k]) for k in range(len(parts), -1, -1)]
     x = transformed(s)
     rows = measured.where(~failed).select(F.array(*levels).alias("grps"), *(c.alias(f"x{i}") for i, c in enumerate(x)))
     best = fit(rows.select(F.explode("grps").alias("grp"), *(f"x{i}" for i in range(DIM))), support)
     groups = rows.select("grps").distinct().select("grps", F.posexplode("grps").alias("level", "grp"))
-    fits = groups.join(best, "grp").where((F.col("n") >= min_group) | (F.col("level") == len(parts)))
-    chosen = fits.groupBy(F.col("grps")[0].alias("__grp")).agg(F.min_by(F.struct("center", "precision"), "level").alias("__fit"))
+    fits = groups.join(best, "grp").groupBy(F.col("grps")[0].alias("grp")).agg(F.array_sort(F.collect_list(F.struct("level", "n", "center", "scatter"))).alias("levels"))
+
+    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [shrunk(list(x)) for x in part["levels"]]
+            yield pd.DataFrame({"grp": part["grp"], "center": [f[0] for f in found], "precision": [f[1] for f in found]})
+
+    chosen = fits.mapInPandas(lean, "grp string, center array<double>, precision array<double>")
     known = shared.maybe_broadcast(shared.stage(chosen, "mcd-chosen"), 300)
     group, best_fit = shared.free_name(measured, "__grp"), shared.free_name(measured, "__fit")
-    joined = measured.withColumn(group, levels[0]).join(known.select(F.col("__grp").alias(group), F.col("__fit").alias(best_fit)), group, "left")
+    joined = measured.withColumn(group, levels[0]).join(known.select(F.col("grp").alias(group), F.struct("center", "precision").alias(best_fit)), group, "left")
     d2 = squared_distance(x, F.col(f"{best_fit}.center"), F.col(f"{best_fit}.precision"))
     verdict = F.struct(failed.alias("base_failed"), F.when(~failed, d2).alias("distance2"), (~failed & (d2 <= cutoff)).alias("kept"))
     return joined.withColumn(out, verdict).drop(group, best_fit)
