@@ -5,14 +5,16 @@
    not the article (navigation, forms, scripts, adverts, notices, comments and so on) are passed over.
 2. The pages of a host are merged: for each style node how many pages have it, how its children are laid out there
    (presentation) and which texts its blocks hold (content). Counts are summed before the shuffle, so a host with a
-   third of all pages is only a few sums.
-3. Importance is one less the entropy over pages. A content node that c of m pages show has 1 - log c / log m; a style
-   node combines the entropy of its layouts with the importance of its children, weighted by 0.9 for each layout.
-   Content on half of a host's pages or more is removed, and so are branches under `least_importance`. A host needs
-   min_pages pages for either, and a page whose text would go by half or more is a copy of others and keeps it.
+   third of all pages is only a few sums. Pages that are copies of one another count once: a page's sign is one of its
+   blocks, drawn by a hash in proportion to length, so two pages have the same sign as often as they share text.
+3. Importance is the information that a part carries about the page, from the entropy over signs. A text that c of the
+   m signs of its node show carries log2((m + PRIOR) / c) bits; with less than one bit, shown by more than half, it
+   is removed. A style node combines the entropy of its layouts with that of its contents and of its children, weighted
+   by 0.9 for each layout; branches under `least_importance` are removed. PRIOR stands for pages not seen, so a few
+   pages alike are no evidence; otherwise hosts of two pages and of millions are treated alike.
 
-Entropy cannot tell an advert that no other page shows from the article, so element roles decide there, as in 1. If a
-page has `article` or `main` elements, its text is theirs.
+Entropy cannot tell an advert that no other page shows from the article, nor a menu that differs from page to page, so
+element roles decide there, as in 1. If a page has `article` or `main` elements, its text is theirs.
 
 Defined cases: a null html is an empty page with an empty text; a null or odd url has no host, so its page is judged by
 roles alone; repeated rows are pages each; an empty table gives an empty table; further columns are ignored.
@@ -21,6 +23,7 @@ roles alone; repeated rows are pages each; an empty table gives an empty table;
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -45,13 +48,12 @@ CLOSES_P = BLOCKS - {"html", "body", "li", "dt", "dd", "td", "th", "tr", "thead"
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 SCOPE = frozenset("article section main div ul ol dl table td th blockquote nav aside footer header form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side-?bar|footer|header|masthead|ads?|adverts?|advertisements?|adsense|banner|promo|promoted|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|subscribe|subscription|newsletter|signup|login|widget|toolbar|skip-?link|copyright|disclaimer)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: Class and id names by which sites mark what is not the article, alone or as a part of a longer name.
+ALONE = frozenset("nav navbar navigation menu sidebar footer header masthead banner ad ads share sharing social related recommended comments respond toolbar pager pagination".split())
+PART = frozenset("advert advertisement advertisements adsense adslot cookie cookies consent gdpr popup modal overlay disqus breadcrumb breadcrumbs newsletter subscribe signup login sidebar sponsored".split())
 ARTICLE = frozenset(("article", "main"))
 FREE = frozenset(("html", "body", "article", "main"))
+PRIOR = 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -68,7 +70,8 @@ def _is_noise(tag: str, a: dict[str, str], in_article: bool) -> bool:
         return True
     if "none" in a.get("style", "") and re.search(r"display\s*:\s*none", a["style"], re.I):
         return True
-    return bool(NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(n in ALONE or not PART.isdisjoint(re.split(r"[_-]", n)) for n in names)
 
 
 class Page:
@@ -162,10 +165,14 @@ class Page:
 
     def text(self, low_nodes: set[int], low_texts: set[tuple[int, int]]) -> str:
         blocks = self.chosen()
-        kept = [b for b in blocks if low_nodes.isdisjoint(b[3]) and (b[1], text_hash(b[0])) not in low_texts] if low_nodes or low_texts else blocks
-        if 2 * sum(len(b[0]) for b in kept) <= sum(len(b[0]) for b in blocks):
-            kept = blocks
-        return " ".join(b[0] for b in kept)
+        if low_nodes or low_texts:
+            blocks = [b for b in blocks if low_nodes.isdisjoint(b[3]) and (b[1], text_hash(b[0])) not in low_texts]
+        return " ".join(b[0] for b in blocks)
+
+    def sign(self) -> int:
+        """The hash of one block: the least of exponential draws, that of a longer block being the lesser in proportion."""
+        drawn = ((-math.log((h % (1 << 52) + 1) / (1 << 52)) / len(t), h) for t, h in ((b[0], text_hash(b[0])) for b in self.chosen()))
+        return min(drawn, default=(0.0, 0))[1]
 
 
 def text_hash(text: str) -> int:
@@ -173,25 +180,25 @@ def text_hash(text: str) -> int:
 
 
 def merged(pages: DataFrame) -> DataFrame:
-    """host, node, parent, feature (null for the layout), layout hash: one row for each that a page has."""
+    """host, node, parent, kind (0: layout, 1: text), feature (its hash), sign: one row for each that a page has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source or "")
-                rows = {(node, text_hash(t)) for t, node, _, _ in page.chosen()}
-                out += [(host, node, page.parents.get(node, 0), 1, h) for node, h in rows]
-                for node, parent in page.parents.items():
-                    out.append((host, node, parent, 0, hash(tuple(page.layout.get(node, ()))) >> 1))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "node", "parent", "kind", "feature"])
+                sign = page.sign()
+                out += [(host, node, page.parents.get(node, 0), 1, h, sign) for node, h in {(node, text_hash(t)) for t, node, _, _ in page.chosen()}]
+                out += [(host, node, parent, 0, xxhash.xxh3_64_intdigest(repr(page.layout.get(node, ()))) >> 1, sign) for node, parent in page.parents.items()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "node", "parent", "kind", "feature", "sign"])
 
-    return pages.mapInArrow(run, "host string, node long, parent long, kind int, feature long")
+    return pages.mapInArrow(run, "host string, node long, parent long, kind int, feature long, sign long")
 
 
-def importance(nodes: pd.DataFrame, min_pages: int, least: float) -> list[int]:
-    """Style nodes of one host whose composite importance is under least. Columns: node, parent, m, styles, layout, content."""
+def importance(nodes: pd.DataFrame, least: float) -> list[int]:
+    """Style nodes of one host whose composite importance is under least. Columns: node, parent, styles, layout, content."""
     by = {r.node: r for r in nodes.itertuples()}
     children: dict[int, list[int]] = {}
     for r in by.values():
@@ -205,36 +212,41 @@ def importance(nodes: pd.DataFrame, min_pages: int, least: float) -> list[int]:
         below = [value[c] for c in children.get(n, ())] + ([r.content] if r.content == r.content else [])
         weight = 0.9 ** max(1, r.styles)
         value[n] = (1 - weight) * r.layout + weight * (sum(below) / len(below) if below else 1.0)
-    return [n for n in order if value[n] < least and by[n].m >= min_pages]
+    return [n for n in order if value[n] < least]
 
 
-def low_branches(pages: DataFrame, min_pages: int, least: float) -> DataFrame:
+def low_branches(pages: DataFrame, least: float) -> DataFrame:
     """host, nodes, texts: what to remove from the pages of a host."""
-    counts = merged(pages).groupBy("host", "node", "parent", "kind", "feature").agg(F.count("*").alias("c"))
-    counts = shared.stage(counts, "style-tree")
-    pages_of = counts.where("kind = 0").groupBy("host", "node", "parent").agg(F.sum("c").alias("m"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    known = counts.where("kind = 1").join(pages_of.select("host", "node", "m"), ["host", "node"])
-    texts = known.where((F.col("m") >= min_pages) & (2 * F.col("c") >= F.col("m"))).groupBy("host").agg(F.collect_list(F.struct("node", "feature")).alias("texts"))
-    content = known.groupBy("host", "node").agg((1 - F.sum(F.col("c") * F.log("c")) / F.sum("c") / F.log(F.greatest(F.max("m"), F.lit(2)))).alias("content"))
-    layout = F.when(F.col("m") > 1, F.log("m") / F.log("m") - F.col("clogc") / F.col("m") / F.log("m")).otherwise(1.0)
-    nodes = pages_of.withColumn("layout", layout).join(content, ["host", "node"], "left").select("host", "node", "parent", "m", "styles", "layout", "content")
+    c, m = F.col("c"), F.col("m") + PRIOR
+    signs = merged(pages).distinct()
+    counts = shared.stage(signs.groupBy("host", "node", "parent", "kind", "feature").agg(F.count("*").alias("c")), "style-tree")
+    pages_of = counts.where("kind = 0").groupBy("host", "node", "parent").agg(F.sum("c").alias("m"), F.count("*").alias("styles"), F.sum(c * F.log(c)).alias("clogc"))
+    pages_of = shared.stage(pages_of, "style-nodes")
+    sized = shared.maybe_broadcast(pages_of.select(F.col("host").alias("h"), F.col("node").alias("n"), "m"), 80)
+    known = counts.where("kind = 1").join(sized, F.expr("host = h and node = n")).drop("h", "n")
+    texts = known.where(F.log2(m / c) < 1).groupBy("host").agg(F.collect_list(F.struct("node", "feature")).alias("texts"))
+    # entropy of a node's contents over its signs, as a share of the most that there could be
+    content = known.groupBy("host", "node").agg((1 - F.sum(c * F.log(c)) / F.sum("c") / F.log(F.max(m))).alias("content"))
+    layout = F.log(F.col("m")) / F.log(m) - F.col("clogc") / F.col("m") / F.log(m)
+    nodes = pages_of.withColumn("layout", layout).join(content, ["host", "node"], "left").select("host", "node", "parent", "styles", "layout", "content")
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        found = importance(rows, min_pages, least)
+        found = importance(rows, least)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "nodes": [np.array(found, np.int64)]}).iloc[: 1 if found else 0]
 
     low = nodes.groupBy("host").applyInPandas(judge, "host string, nodes array<long>")
     return texts.join(low, "host", "full_outer")
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), min_pages: int = 8, least_importance: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), least_importance: float = 0.1) -> DataFrame:
     """The columns keep and text."""
-    host = F.nullif(F.lower(F.regexp_extract(F.col(url_col).cast("string"), HOST, 1)), F.lit(""))
-    source = F.col(html_col).cast("string")
-    low = shared.stage(low_branches(pages.select(host.alias("host"), source.alias("html")).where("host is not null"), min_pages, least_importance), "low-branches")
+    host = F.nullif(F.lower(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), HOST, 1)), F.lit(""))
+    source = F.col(f"`{html_col}`").cast("string")
+    low = shared.stage(low_branches(pages.select(host.alias("host"), source.alias("html")).where("host is not null"), least_importance), "low-branches")
     size = low.agg(F.sum(F.coalesce(F.size("texts"), F.lit(0)) * 32 + F.coalesce(F.size("nodes"), F.lit(0)) * 16 + 100)).first()[0] or 0
-    joined = pages.select(*keep, host.alias("__host"), source.alias("__html")).join(F.broadcast(low) if size <= 32 << 20 else low, F.col("__host") == low.host, "left").select(*keep, "nodes", "texts", "__html")
     places = len(keep)
+    each = pages.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), host.alias("page_host"), source.alias("html"))
+    joined = each.join(F.broadcast(low) if size <= 32 << 20 else low, F.expr("page_host = host"), "left").select(*(f"k{i}" for i in range(places)), "nodes", "texts", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
