@@ -284,9 +284,25 @@ def normalize_recommendations(spark, d):
     return fusion.normalize(items, known, 3)
 
 
-@query()
+@query(f"""
+with recursive p as (select p_brand as query_id, p_partkey::varchar as id, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank, {testbed.SQL_MESSAGE} as text, p_size * 2.0::double as price from part),
+v as (select query_id, id, rank, list_filter([{MATERIAL_SQL}, {COLOR_SQL}, {BUCKET_OF}], lambda x: x is not null) as vals from p),
+s as (select *, coalesce(list_sum(list_transform(vals, lambda x: case x when 'mid' then 3.0::double when 'leather' then 1.0::double else 0.0::double end)), 0.0::double) / 3.0::double as rejected from v),
+w as (select greatest(0.1::double, least(0.6::double, 0.65::double - 0.05::double * 2)) as w),
+r(query_id, n, ids, ranks, seen) as (
+  select query_id, 1, [id], [rank], vals from s where rank = 1
+  union all
+  select query_id, n + 1, list_append(ids, id), list_append(ranks, rank), list_distinct(list_concat(seen, vals)) from (
+    select *, row_number() over (partition by query_id order by score desc, rank) as place from (
+      select r.query_id, n, ids, ranks, seen, id, rank, vals,
+        1.0::double / (rank - len(list_filter(ranks, lambda x: x < rank))) * (1 - w) + w * len(list_filter(vals, lambda x: not list_contains(seen, x))) - 0.3::double * rejected as score
+      from r join s on s.query_id = r.query_id, w where n < 10 and not list_contains(ids, id)))
+  where place = 1),
+last as (select query_id, arg_max(ids, n) as ids from r group by query_id)
+select query_id, (generate_subscripts(ids, 1) - 1)::int as pos, unnest(ids) as id from last
+""")
 def portfolio_rerank(spark, d):
-    """No SQL: each pick depends on those before it. Tested against a plain loop."""
+    """Each pick depends on those before it, which SQL says by recursion over whole lists."""
     pruned = fusion.prune_pool(testbed.pool(spark, d), 10)
     lists = pruned.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", c("id").cast("string").alias("id"), "values"))).alias("pool"))
     counts = F.create_map(F.lit("mid"), F.lit(3), F.lit("leather"), F.lit(1))

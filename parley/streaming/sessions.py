@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -34,20 +35,28 @@ def advance(messages: list[str], held: dict[str, object], text: str) -> tuple[st
     return query, gone
 
 
-def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     messages, *values = state.get if state.exists else ([], None, None, None, None)
     messages, held, out = list(messages), dict(zip(V.SLOTS, values, strict=True)), []
     for row in pd.concat(list(batches)).sort_values("turn").itertuples():
         query, gone = advance(messages, held, row.text or "")
         out.append((key[0], row.turn, query, *(held[a] for a in V.SLOTS), gone))
     state.update((messages, *(held[a] for a in V.SLOTS)))
+    if expire_ms:
+        state.setTimeoutDuration(expire_ms)
     yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
 
-def session_stream(messages: DataFrame) -> DataFrame:
+def session_stream(messages: DataFrame, expire_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """messages: a stream of session_id, turn, text. A row for each message with its session's state after it.
 
-    Turns of a session that come in one batch are taken in order; a later batch goes on from the state kept.
+    Turns of a session that come in one batch are taken in order; a later batch goes on from the state kept. A session
+    that says nothing for expire_ms of processing time is forgotten, so the state does not grow without end; with None
+    it is kept for ever.
     """
     keyed = messages.selectExpr("cast(session_id as string) as session_id", "cast(turn as long) as turn", "text").groupBy("session_id")
-    return keyed.applyInPandasWithState(_run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
+    return keyed.applyInPandasWithState(functools.partial(_run, expire_ms=expire_ms), OUT, STATE, "append", timeout)
