@@ -50,12 +50,12 @@ def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire_
     yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
 
-def session_stream(messages: DataFrame, expire_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+def session_stream(messages: DataFrame, expire_ms: int | None = None) -> DataFrame:
     """messages: a stream of session_id, turn, text. A row for each message with its session's state after it.
 
     Turns of a session that come in one batch are taken in order; a later batch goes on from the state kept. A session
-    that says nothing for expire_ms of processing time is forgotten, so the state does not grow without end; with None
-    it is kept for ever.
+    that says nothing for expire_ms of processing time is forgotten, so the state of an endless stream does not grow with
+    it; without expire_ms it is kept, as streams that run until their input is read need (a timeout keeps them going).
     """
     keyed = messages.selectExpr("cast(session_id as string) as session_id", "cast(turn as long) as turn", "text").groupBy("session_id")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout

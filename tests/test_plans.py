@@ -1,6 +1,7 @@
 """The simulator, the turn loop against a plain loop, sources, streams, configuration."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,7 @@ def test_stream_matches_batch_state(spark, tmp_path):
     folder.mkdir()
     for i, row in enumerate(said):
         (folder / f"{i}.json").write_text(json.dumps(dict(zip(("session_id", "turn", "text"), row, strict=True))))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their times
     stream = spark.readStream.schema("session_id string, turn long, text string").option("maxFilesPerTrigger", 1).json(str(folder))
     run = session_stream(stream).writeStream.format("memory").queryName("said").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
