@@ -4,15 +4,19 @@ The lattice is walked one character at a time. Only the last `longest piece` bou
 backpointer; whenever the backpointer paths of all of them run through one boundary, the ids up to it are committed
 and dropped. So a text of any length takes a window of bounded size plus what is not yet agreed.
 
+One boundary is known beforehand to be such a meeting point: that before a space mark, if no piece of the model has a
+mark after another character (checked when a model is read). Every path runs through it, so what lies between two of
+them is a stream of its own, committed whole at its end, and the ids of such a segment do not depend on what is around
+it: they are remembered by its text, in a memo of bounded size. A segment longer than the window (a text without spaces) moves
+the window and commits inside. `whole` gives the one stream over a text without this cut; the ids are the same.
+
 Two kinds of model give two meanings of best:
 - Unigram: the path of greatest total score.
 - BPE: the path that merging gives. A path of pieces is what BPE gives for a text exactly if each neighbouring pair
   is what BPE gives for the pair alone, and every prefix has just one such path. So a boundary's backpointer is the one
   piece that is compatible with the last piece of the path before it, and the search needs no scores along the path.
 
-Characters of no piece become their UTF-8 bytes if the model has byte pieces, or else the unknown piece. No piece of
-these models has a space mark after another character (checked when a model is read), so paths always meet before a
-space mark, and the ids of a word alone are remembered in a memo of bounded size.
+Characters of no piece become their UTF-8 bytes if the model has byte pieces, or else the unknown piece.
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded each; an empty table gives an empty table;
 further columns pass through. Texts in which normalisation is not the identity are not changed: models with a
@@ -81,7 +85,7 @@ class PieceModel:
         #: Every suffix of a piece; with its id if it is a piece itself. A search backwards ends where there is none.
         self.suffixes: dict[str, int | None] = {x[k:]: None for x in self.good for k in range(len(x))} | self.good
         self.worst = min(self.scores, default=0.0) - 10
-        self.memo = Memo(self._word_ids, memo_entries)
+        self.memo = Memo(self._segment, memo_entries)
         self._pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -129,28 +133,33 @@ class PieceModel:
             best = (at - 1, recent[-1], window[at - 1][2] + self.worst)
         return best
 
-    def word(self, text: str) -> list[tuple[str, int | None]]:
-        """The same search for a text no longer than the window, which then never moves."""
-        window, longest = [(-1, "", 0.0)], self.longest
-        for n in range(1, len(text) + 1):
-            window.append(self.step(text[n - longest if n > longest else 0 : n], n, window))
-        return self._path(window, len(text), 0)
-
-    def stream(self, chars: Iterable[str]) -> Iterator[tuple[str, int | None]]:
+    def stream(self, chars: Iterable[str], watch: Callable[[int, int], None] | None = None) -> Iterator[tuple[str, int | None]]:
         """(piece, id) in order, as soon as all surviving paths agree; id is None for a character of no piece.
 
         window holds, for each boundary that a later piece can start from or a backpointer passes, (backpointer, piece,
-        score); boundaries are numbered from the beginning of the text.
+        score); boundaries are numbered from the beginning of the text. watch is told the window's size and the number
+        of pieces at each commit.
         """
         recent, window, n, done = "", {0: (-1, "", 0.0)}, 0, 0
+        longest, limit, step = self.longest, 4 * self.longest, self.step
         for c in chars:
-            recent, n = (recent + c)[-self.longest :], n + 1
-            window[n] = self.step(recent, n, window)
-            if len(window) > 4 * self.longest:
-                for found in self._commit(window, n, done):
-                    yield found
-                    done += len(found[0])
-        yield from self._path(window, n, done)
+            recent, n = (recent + c)[-longest:], n + 1
+            window[n] = step(recent, n, window)
+            if len(window) > limit:
+                size, found = len(window), self._commit(window, n, done)
+                if watch:
+                    watch(size, len(found))
+                for piece in found:
+                    yield piece
+                    done += len(piece[0])
+        rest = self._path(window, n, done)
+        if watch:
+            watch(len(window), len(rest))
+        yield from rest
+
+    def whole(self, text: str, watch: Callable[[int, int], None] | None = None) -> array:
+        """The ids of a text by one stream from its first character to its last."""
+        return self._ids(self.stream((" " + text if self.dummy_prefix else text).replace(" ", MARK), watch)) if text else array("i")
 
     def _path(self, window, at: int, done: int) -> list[tuple[str, int | None]]:
         out = []
@@ -190,22 +199,19 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
-    def _word_ids(self, word: str) -> bytes:
-        found = self.word(MARK + word) if len(word) < 4 * self.longest else self.stream(MARK + word)
-        return self._ids(found).tobytes()
+    def _segment(self, word: str) -> bytes:
+        return self._ids(self.stream(MARK + word)).tobytes()
 
     def encode(self, text: str | None) -> array:
+        """The ids of a text, committed segment by segment where the model allows it."""
         if not text:
             return array("i")
-        text = (" " + text if self.dummy_prefix else text).replace(" ", MARK)
-        if not self.by_word:
-            return self._ids(self.stream(text))
-        words = text.split(MARK)
-        if "" not in words[1:]:  # single marks only: a word is a mark and what follows
-            first = self._ids(self.stream(words[0])) if words[0] else array("i")
-            first.frombytes(b"".join(map(self.memo.__getitem__, words[1:])))
-            return first
-        return self._ids(self.stream(text))
+        words = (" " + text if self.dummy_prefix else text).replace(" ", MARK).split(MARK)
+        if not self.by_word or "" in words[1:]:  # a run of marks may be one piece, so it is no boundary
+            return self.whole(text)
+        first = self._ids(self.stream(words[0])) if words[0] else array("i")
+        first.frombytes(b"".join(map(self.memo.__getitem__, words[1:])))
+        return first
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = bytearray()
