@@ -1,12 +1,21 @@
 """Approximate nearest neighbours by cosine: inverted file, product-quantised residuals, exact reranking.
 
-fit() takes a bounded sample (`sample` vectors of least id hash share) for the coarse centroids and the codebooks; every
-row is indexed. index() gives each vector its list and the codes of its residual. search() sends each query to the
-nprobe nearest lists, scores a list by asymmetric distance tables (a query's residual against the codebooks), and
-reranks the best `rerank` of each list block by the exact cosine in double precision. Large lists are dealt out in
-blocks, each a task of its own, so a list that holds a third of all vectors (copies of one) is split.
+fit() takes a bounded sample (rows of a range of id hashes, 16 for each list and 8192 at least) for the coarse
+centroids and the codebooks; every row is indexed. There are about sqrt(N) lists, at most `max_lists`, so lists grow
+no faster than their number. index() gives each vector its list and the codes of its residual. A query searches the
+model's nprobe lists nearest to it, so many as hold the share `recall` of the nearest neighbours within the sample, in
+two passes over the codes:
 
-Ties, in codes as in cosines, go to the smaller id: copies have equal codes, so the smallest ids among them survive.
+1. Asymmetric distances (tables of the query's residual against the codebooks) of all vectors in those lists are
+   counted in bins of a fixed width. Summed over all its lists, they say below which distance a query has `rerank`
+   candidates.
+2. The vectors up to that distance, and they alone, are compared by the exact cosine in double precision.
+
+So exact comparisons are about `rerank` for each query, however large the lists are, while candidates of equal
+distance (copies) are all compared. Large lists are dealt out in blocks, each a task of its own, so a list that holds
+a third of all vectors is split.
+
+Ties go to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor
 as candidates; a query meets the vectors of its own dimension, each dimension being searched apart (a model that is
@@ -16,7 +25,8 @@ own id; fewer candidates than k give fewer rows; an empty table gives an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,10 +40,11 @@ from . import shared
 
 @dataclass(frozen=True)
 class Model:
-    """coarse: lists by dim; books: parts by codes by dim / parts. Bounded by its parameters, whatever the data."""
+    """coarse: lists by dim; books: parts by codes by dim / parts; nprobe: lists that a query searches."""
 
     coarse: np.ndarray
     books: np.ndarray
+    nprobe: int = 1
 
     def nearest_lists(self, x: np.ndarray, k: int) -> np.ndarray:
         far = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
@@ -76,15 +87,30 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(sound & F.col("id").isNotNull())
 
 
-def fit(vectors: DataFrame, lists: int = 64, parts: int = 16, codes: int = 256, sample: int = 8192) -> Model | None:
-    share = max(1, vectors.count() // sample)
+def probes_needed(model: Model, x: np.ndarray, recall: float, k: int = 5, queries: int = 256) -> int:
+    """How many lists hold the share `recall` of the k nearest of some of x among all of x."""
+    asked = x[:queries]
+    near = x @ asked.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    best = np.argsort(-near, axis=0, kind="stable")[: min(k, len(x) - 1)].T
+    place = np.argsort(model.nearest_lists(asked, len(model.coarse)), axis=1)
+    own = model.nearest_lists(x, 1)[:, 0]
+    found = np.take_along_axis(place, own[best], 1)
+    return int(np.quantile(found, recall, method="higher")) + 1 if found.size else 1
+
+
+def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.96) -> Model | None:
+    n = vectors.count()
+    lists = min(max_lists, math.isqrt(n))
+    sample = max(8192, 16 * lists)
+    share = max(1, n // sample)
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("v").limit(2 * sample).collect() or vectors.select("v").limit(sample).collect()
     if not rows:
         return None
-    dim = len(rows[0].v)
-    x = np.array([r.v for r in rows if len(r.v) == dim])
+    x = np.array([r.v for r in rows])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     coarse = kmeans(x, lists)
+    dim = x.shape[1]
     model = Model(coarse, np.zeros((1, 1, dim)))
     residual = x - coarse[model.nearest_lists(x, 1)[:, 0]]
     while dim % parts:
@@ -92,7 +118,7 @@ def fit(vectors: DataFrame, lists: int = 64, parts: int = 16, codes: int = 256,
     width = dim // parts
     books = [kmeans(residual[:, p * width : (p + 1) * width], codes, seed=p) for p in range(parts)]
     size = max(map(len, books))
-    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]))
+    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]), probes_needed(model, x, recall))
 
 
 def index(vectors: DataFrame, model: Model) -> DataFrame:
@@ -130,51 +156,88 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
-def best_of_blocks(sound: DataFrame, is_query: Column, k: int, nprobe: int, rerank: int, block: int, model: Model) -> DataFrame:
+#: Bins for each unit of squared distance.
+BINS = 128
+
+
+class Block:
+    """The rows of one block of a list, as they come, and the distances of a query to them."""
+
+    def __init__(self, model: Model, at: tuple[int, int]):
+        self.model, self.at, self.held, self.ids, self.rows, self.codes = model, at, [], None, None, None
+
+    def close(self) -> None:
+        if self.ids is None:
+            self.ids = np.array([r[0] for r in self.held], np.int64)
+            self.rows = np.array([r[1] for r in self.held]) if self.held and self.held[0][1] is not None else None
+            self.codes = np.frombuffer(b"".join(r[2] for r in self.held), np.uint8).reshape(len(self.held), -1)
+
+    def bins(self, query_id: int, q: np.ndarray) -> np.ndarray:
+        """The bin of each row's distance; a negative one for rows with the query's own id."""
+        self.close()
+        table = self.model.table(q / np.linalg.norm(q) - self.model.coarse[self.at[0]])
+        far = (table[np.arange(self.codes.shape[1]), self.codes].sum(1) * BINS).astype(np.int64)
+        far[self.ids == query_id] = -1
+        return far
+
+
+def in_blocks(rows: DataFrame, model: Model, found: Callable[[Block, tuple], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """What found gives for each query and each block that it searches. rows: list, block, asked, id, v, codes, cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            out: list[tuple] = []
+            for lst, blk, asked, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None or block.at != (lst, blk):
+                    block = Block(model, (lst, blk))
+                if not asked:
+                    block.held.append(rest)
+                elif block.held:
+                    out.extend(found(block, rest))
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return rows.repartition("list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(run, ddl)
+
+
+def best_of_blocks(sound: DataFrame, is_query: Column, k: int, rerank: int, block: int, model: Model) -> DataFrame:
     """query_id, id, score: the best k of each list block that a query searches, all vectors being of the model's dimension."""
     stored = shared.stage(index(sound, model), "index")
     sizes = stored.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row for each list
     dealt = stored.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = probes(sound.where(is_query), model, nprobe).join(F.broadcast(sizes), "list")
+    asked = probes(sound.where(is_query), model, model.nprobe).join(F.broadcast(sizes), "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asked"), "id", "v", F.lit(None).cast("binary").alias("codes"))
-    both = dealt.select("list", "block", F.lit(0).alias("asked"), "id", "v", "codes").unionByName(asked)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows, codes, held = None, None, None, None, []
-        for batch in batches:
-            found: list[tuple] = []
-            for lst, blk, asks, i, v, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lst, blk) != at:
-                    at, held, ids = (lst, blk), [], None
-                if not asks:
-                    held.append((i, v, code))
-                    continue
-                if not held:
-                    continue
-                if ids is None:
-                    held.sort(key=lambda r: r[0])
-                    ids, rows = np.array([r[0] for r in held]), np.array([r[1] for r in held])
-                    codes = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
-                q = np.array(v)
-                table = model.table(q / np.linalg.norm(q) - model.coarse[lst])
-                far = table[np.arange(codes.shape[1]), codes].sum(1)
-                others = ids != i
-                far[~others] = np.inf
-                n = min(rerank, int(others.sum()))
-                if not n:
-                    continue
-                cut = np.partition(far, n - 1)[n - 1]
-                best = np.flatnonzero(far < cut)
-                best = np.sort(np.concatenate([best, np.flatnonzero((far == cut) & others)[: n - len(best)]]))
-                score = cosines(q, rows[best])
-                for j in np.lexsort((ids[best], -score))[:k]:
-                    found.append((i, int(ids[best[j]]), float(score[j])))
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
-
-    return both.repartition("list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(run, "query_id long, id long, score double")
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", nprobe: int = 48, rerank: int = 200, block: int = 4000, model: Model | None = None) -> DataFrame:
+    def counted(block: Block, row: tuple) -> Iterator[tuple]:
+        """The counts of the nearest bins of a block, as far as it takes to reach `rerank` there."""
+        bins, n = np.unique(block.bins(row[0], np.array(row[1])), return_counts=True)
+        if bins[0] < 0:
+            bins, n = bins[1:], n[1:]
+        last = int(np.searchsorted(np.cumsum(n), rerank)) + 1
+        yield from zip([row[0]] * last, bins[:last].tolist(), n[:last].tolist(), strict=False)
+
+    def compared(block: Block, row: tuple) -> Iterator[tuple]:
+        query_id, q, _, cut = row[0], np.array(row[1]), row[2], row[3]
+        bins = block.bins(query_id, q)
+        best = np.flatnonzero((bins >= 0) & (bins <= cut))
+        if len(best):
+            score, ids = cosines(q, block.rows[best]), block.ids[best]
+            for j in np.lexsort((ids, -score))[:k]:
+                yield query_id, int(ids[j]), float(score[j]), len(best)
+
+    codes_only = dealt.select("list", "block", F.lit(0).alias("asked"), "id", F.lit(None).cast("array<double>").alias("v"), "codes")
+    counts = in_blocks(codes_only.unionByName(asked), model, counted, pa.schema([("id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())]), "id long, bin long, n long")
+    nearer = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.groupBy("id", "bin").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
+    cuts = shared.stage(counts.where(F.col("before") < rerank).groupBy("id").agg(F.max("bin").alias("cut")), "cuts")
+    asked = asked.join(shared.maybe_broadcast(cuts, 24), "id").select("list", "block", "asked", "id", "v", "codes", "cut")
+    both = dealt.select("list", "block", F.lit(0).alias("asked"), "id", "v", "codes", F.lit(None).cast("long").alias("cut")).unionByName(asked)
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("compared", pa.int64())])
+    return in_blocks(both, model, compared, schema, "query_id long, id long, score double, compared long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 200, block: int = 4000, model: Model | None = None) -> DataFrame:
     """query_id, rank, id, score. is_query is over the column id."""
     spark = vectors.sparkSession
     sound = shared.stage(usable(vectors, id_col, vector_col), "vectors")
@@ -186,6 +249,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         parts = [(x, fit(x)) for x in (sound.where(F.size("v") == r.dim) for r in dims)]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    found = reduce(DataFrame.unionByName, [best_of_blocks(x, is_query, k, nprobe, rerank, block, m) for x, m in parts])
+    found = reduce(DataFrame.unionByName, [best_of_blocks(x, is_query, k, rerank, block, m) for x, m in parts])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
