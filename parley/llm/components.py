@@ -37,7 +37,7 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 16) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 1 << 18) -> DataFrame:
     """(node, root), written down, for each node that a link names: root is the least node of its component."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, mark = shared.stage(edges, "edges"), None

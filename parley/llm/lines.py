@@ -2,15 +2,17 @@
 
 1. Every line with a word gets its hash (its node: equal lines are one node) and the MinHash signature of its
    character shingles, cut into bands. A line shorter than a shingle is its own only shingle.
-2. Bands that lines of two or more nodes share are buckets; buckets of equal lines alone count as none. Each node is
-   first compared with the best pivot of its buckets; what is still apart in a bucket is compared within blocks of it,
-   and what is apart then between blocks. Similarity is verified on the shingle sets of whole lines.
+2. Bands that lines of two or more nodes share are buckets; buckets of equal lines alone count as none. The members of
+   a bucket meet in blocks, and what is then apart in pairs of blocks. Sizes and parities of the shingle sets say which
+   members have a possible partner there; these come once more with their texts, and similarity is verified on the
+   shingle sets of whole lines. A task gives a link only where it joins two components that are still apart, so a
+   bucket gives no more links than it has members.
 3. Verified links give components by distributed union-find. Of a component's lines the first in order of doc_id,
    row and line number stays. Least positions are aggregated before the shuffle, so a line that makes up a third of
    the corpus is no heavier a task than others.
 
 With rows shingles a band and bands of them, a pair of similarity s meets with probability 1 - (1 - s^rows)^bands:
-0.993 at 0.8 and over 0.9999 at 0.9 as set here. Nodes are 64-bit hashes.
+0.994 at 0.8 and over 0.9999 at 0.9 as set here, and 0.03 at 0.3, which lines of one language reach by common words.
 
 Defined cases: a null text stays null and an empty one empty; lines without a word always stay; repeated rows are rows
 of their own, of which the later lose their lines; a null doc_id comes last; an empty table gives an empty table;
@@ -19,9 +21,9 @@ further columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+import struct
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,15 @@ from pyspark.sql import types as T
 
 from . import shared
 from .components import components
-from .pairs import by_pivot, verify
+from .setbits import allowed, differ, parity
 
 SPACE = " \t\n\v\f\r"
-SHINGLE, ROWS, BANDS = 5, 3, 7
+SHINGLE, ROWS, BANDS = 5, 5, 13
 BASE = 0x9E3779B97F4A7C15
 
 
-def signatures(lines: list[str], shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """The MinHash signature of each line: len(lines) by rows * bands least hashes."""
+def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles that begin at each character of the lines put together, and each line's first and end."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     text = np.frombuffer(("".join(lines) + "\0" * shingle).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     ends = np.cumsum(sizes)
@@ -54,22 +56,26 @@ def signatures(lines: list[str], shingle: int = SHINGLE, rows: int = ROWS, bands
             done += span
         rolled = rolled[:-span] * np.uint64(power) + rolled[span:]
         power, span = power * power % (1 << 64), span * 2
-    h = h ^ (h >> np.uint64(29))
-    h32 = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     short = sizes < shingle
     for i in np.flatnonzero(short):
-        h32[starts[i]] = xxhash.xxh32_intdigest(lines[i].encode("utf-8", "surrogatepass"))
-    stops = np.where(short, starts + 1, ends - shingle + 1)
+        h[starts[i]] = xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+    return h, starts, np.where(short, starts + 1, ends - shingle + 1)
+
+
+def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """The MinHash signature of each line, from its shingles' hashes: len(starts) by rows * bands least hashes."""
+    h32, total = (h >> np.uint64(32)).astype(np.uint32), len(h)
     cuts = np.stack([starts, np.minimum(stops, total - 1)], 1).ravel()
     last = stops[-1] == total
-    least = np.empty((rows * bands, len(lines)), np.uint64)
-    rng = np.random.default_rng(20250101)
+    least = np.empty((rows * bands, len(starts)), np.uint32)
+    rng, hashed = np.random.default_rng(20250101), np.empty_like(h32)
     for k, (mul, add) in enumerate(rng.integers(0, 1 << 32, (rows * bands, 2), np.uint64)):
-        hashed = h32 * np.uint32(mul | np.uint64(1)) + np.uint32(add)
+        np.add(np.multiply(h32, np.uint32(mul | np.uint64(1)), out=hashed), np.uint32(add), out=hashed)
         least[k] = np.minimum.reduceat(hashed, cuts)[::2]
         if last:
             least[k, -1] = hashed[starts[-1] :].min()
-    return least.T.astype(np.uint32)
+    return np.ascontiguousarray(least.T)
 
 
 def band_keys(least: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
@@ -94,23 +100,51 @@ def alike(x: set[str], y: set[str], percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def alike_pairs(sets: list[set[str]], percent: int, width: int = 4096) -> np.ndarray:
-    """For all pairs of sets, whether they are alike: intersections by products of 0-1 matrices, width columns at a time."""
-    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
-    times = Counter(chain.from_iterable(sets))
-    column = {x: k for k, x in enumerate(x for x, c in times.items() if c > 1)}
-    at = [np.sort(np.fromiter((column[x] for x in s if x in column), np.int64)) for s in sets]
-    both = np.zeros((n, n))
-    for low in range(0, len(column), width):
-        part = np.zeros((n, min(width, len(column) - low)), np.float32)
-        for k, cols in enumerate(at):
-            part[k, cols[np.searchsorted(cols, low) : np.searchsorted(cols, low + width)] - low] = 1
-        both += part @ part.T
-    return 100 * both >= percent * (size[:, None] + size - both)
+class Line:
+    """A line as it is compared: the number of its shingles, their parity (see setbits) and, once wanted, their set."""
+
+    __slots__ = ("size", "bits", "text", "_set")
+
+    def __init__(self, head: bytes, text: bytes | None = None):
+        self.size, slots = struct.unpack_from("<IH", head)
+        self.bits, self.text, self._set = (slots, int.from_bytes(head[6:], "little")), text, None
+
+    @property
+    def shingles(self) -> set[str]:
+        if self._set is None:
+            self._set = shingle_set(self.text)
+        return self._set
+
+    def possible(self, other: Line, percent: int) -> bool:
+        """False only where sizes or parities rule the similarity out."""
+        x, y = self.size, other.size
+        return 100 * min(x, y) >= percent * max(x, y) and differ(self.bits, other.bits) <= allowed(x, y, percent)
+
+    def alike(self, other: Line, percent: int) -> bool:
+        return self.possible(other, percent) and alike(self.shingles, other.shingles, percent)
+
+
+def comparable(texts: DataFrame) -> DataFrame:
+    """(row, head, data) for Line from (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part, heads = batch.slice(i, 500), []
+                lines = part.column(1).to_pylist()
+                h, starts, stops = shingle_hashes(lines, SHINGLE)
+                for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                    grams = np.unique(h[a:b])
+                    bits = parity(grams)
+                    heads.append(struct.pack("<IH", len(grams), 8 * len(bits)) + bits)
+                data = [x.encode("utf-8", "surrogatepass") for x in lines]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["row", "head", "data"])
+
+    return texts.mapInArrow(run, "row long, head binary, data binary")
 
 
-def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
-    """__row, __id, line (its number), node, bands of each line with a word."""
+def signed_lines(numbered: DataFrame) -> DataFrame:
+    """__row, __id, line (its number), node, size (of its shingle set, 65535 at most), bands of each line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,45 +160,134 @@ def signed_lines(numbered: DataFrame, text_col: str) -> DataFrame:
                 if not lines:
                     continue
                 nodes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
-                keys = band_keys(signatures(lines))
+                hashed = [shingle_hashes(lines[k : k + 500], SHINGLE) for k in range(0, len(lines), 500)]
+                keys = band_keys(np.concatenate([signatures(*x) for x in hashed]))
+                sizes = [min(len(np.unique(h[a:b])), 65535) for h, starts, stops in hashed for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 where = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(number, pa.int32()), pa.array(nodes.view(np.int64)), bands], ["__row", "__id", "line", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(number, pa.int32()), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), bands], ["__row", "__id", "line", "node", "size", "bands"])
+
+    return numbered.mapInArrow(run, "__row long, __id long, line int, node long, size int, bands array<long>")
+
 
-    return numbered.mapInArrow(run, "__row long, __id long, line int, node long, bands array<long>")
+PAIR = np.dtype([("token", "<i8"), ("node", "<i8"), ("size", "<u2")])
 
 
-def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bool, block: int = 1000) -> DataFrame:
-    """Verified links (a, b) between components that meet in a bucket: enough of them to join all that are linked.
+def distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    """The distinct rows of PAIR, by token, size and node."""
+    pairs = pairs[np.lexsort((pairs["node"], pairs["size"], pairs["token"]))]
+    return pairs[np.append(True, (pairs["token"][1:] != pairs["token"][:-1]) | (pairs["node"][1:] != pairs["node"][:-1]))] if len(pairs) else pairs
 
-    A bucket's members are dealt out in blocks; a task takes one block, or with crossing a pair of them. It compares
-    the shingle sets of all pairs of different components, in buckets of any size, and gives a link only where it joins
-    two components that are still apart.
+
+def shared_bands(lines: DataFrame, percent: int, held: int = 1 << 20) -> DataFrame:
+    """(token, row): the nodes of each band that have another one there of a size that allows the similarity.
+
+    Nearly all bands are of one node. So the pairs go to their tasks in packed form, 18 bytes each and each once for
+    every `held` pairs of a task, and leave it only if they are shared. A task gets about 2 ** 21 pairs. Of a band's
+    nodes in the order of their sizes, the neighbours tell whether any other fits.
     """
-    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "token").withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = dealt.select("token", "row", "comp", "k", F.explode(F.array_except(others, F.array("k")) if crossing else F.array("k")).alias("o"))
-    tasks = tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp").join(texts, "row").select("token", "i", "j", "k", "row", "comp", "data")
-
-    def few_links(held: list[tuple]) -> list[tuple[int, int]]:
-        """Of a small bucket pair by pair; matrices would cost more than they save."""
-        found, some = [], [(h[0], h[1], h[2], shingle_set(h[3])) for h in held]
-        for k, (block_a, a, comp_a, x) in enumerate(some):
-            for block_b, b, comp_b, y in some[k + 1 :]:
-                if comp_a != comp_b and not (crossing and block_a == block_b) and alike(x, y, percent):
-                    found.append((a, b))
-        return found
+    spark = lines.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() * BANDS // (1 << 21)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            pairs = distinct_pairs(np.concatenate(kept)) if kept else np.empty(0, PAIR)
+            kept.clear()
+            part = (pairs["token"].astype(np.uint64) >> np.uint64(11)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            names, begins = np.unique(part[order], return_index=True)
+            blobs = [x.tobytes() for x in np.split(pairs[order], begins[1:])] if len(pairs) else []
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "pairs"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4000):
+                piece = batch.slice(i, 4000)
+                pairs = np.empty(piece.num_rows * BANDS, PAIR)
+                pairs["token"] = piece.column(2).flatten().to_numpy()
+                pairs["node"], pairs["size"] = (np.repeat(piece.column(c).to_numpy(), BANDS) for c in (0, 1))
+                kept.append(pairs)
+                if sum(map(len, kept)) >= held:
+                    yield flush()
+        yield flush()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = distinct_pairs(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), PAIR))
+        token, size = pairs["token"], pairs["size"].astype(np.int64)
+        fits = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        many = pairs[np.append(fits, False) | np.append(False, fits)] if len(pairs) else pairs
+        for i in range(0, len(many), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(many[c][i : i + 100_000])) for c in ("token", "node")], ["token", "row"])
+
+    packed = lines.select("node", "size", "bands").mapInArrow(pack, "part long, pairs binary")
+    return packed.repartition(parts, "part").mapInArrow(unpack, "token long, row long")
+
+
+def in_blocks(members: DataFrame, crossing: bool, block: int) -> DataFrame:
+    """The members (token, row, comp) of each bucket in tasks: one block, or with crossing a pair (i, j) of them.
+
+    Which block of a bucket a row is in differs from bucket to bucket, so rows that share several bands meet in one.
+    """
+    large = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    large = shared.maybe_broadcast(shared.stage(large, "large"), 16)
+    dealt = members.join(large, "token", "inner" if crossing else "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("row", "token"), F.col("blocks")).cast("int"))
+    others = F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("k")) if crossing else F.array("k")
+    tasks = dealt.select("token", "row", "comp", "k", F.explode(others).alias("o"))
+    return tasks.select("token", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "row", "comp")
 
-    def links(held: list[tuple]) -> list[tuple[int, int]]:
-        if len(held) <= 8:
-            return few_links(held)
-        row, comp = [h[1] for h in held], np.array([h[2] for h in held])
-        near = alike_pairs([shingle_set(h[3]) for h in held], percent) & (comp[:, None] != comp)
-        if crossing:
-            block_of = np.array([h[0] for h in held])
-            near &= block_of[:, None] != block_of
-        root, found = {c: c for c in comp.tolist()}, []
+
+def by_task(tasks: DataFrame, work: Callable[[list[list]], list[tuple[int, int]]], names: tuple[str, str]) -> DataFrame:
+    """work gives pairs of numbers for the members of each task, if these are of two or more components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, [], []
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], list(names))
+            found.clear()
+            return out
+
+        def done() -> None:
+            if len({h[3] for h in held}) > 1:
+                found.extend(work(held))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    done()
+                    at, held = row[:3], []
+                    if len(found) > 10_000:
+                        yield told()
+                held.append([row[0], *row[3:5], *row[5:]])
+        done()
+        yield told()
+
+    columns = [F.col(c) for c in ("token", "i", "j", "k", "row", "comp")] + [F.col(c) for c in tasks.columns if c in ("head", "data")]
+    return tasks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+
+def active(tasks: DataFrame, percent: int, crossing: bool) -> DataFrame:
+    """(token, row): the members that have a partner in a task which sizes and parities do not rule out."""
+
+    def work(held: list[list]) -> list[tuple[int, int]]:
+        some, on = [(k, comp, Line(head)) for _, k, _, comp, head in held], [False] * len(held)
+        for i, (k, comp, x) in enumerate(some):
+            for j in range(i + 1, len(some)):
+                o, other, y = some[j]
+                if not (on[i] and on[j] or comp == other or crossing and k == o) and x.possible(y, percent):
+                    on[i] = on[j] = True
+        return [(h[0], h[2]) for h, x in zip(held, on, strict=True) if x]
+
+    return by_task(tasks, work, ("token", "row")).distinct()
+
+
+def linked(tasks: DataFrame, percent: int, crossing: bool) -> DataFrame:
+    """Verified links (a, b) that join components which meet in a task: enough of them to join all that are linked."""
+
+    def work(held: list[list]) -> list[tuple[int, int]]:
+        some, root, found = [(k, row, comp, Line(head, data)) for _, k, row, comp, head, data in held], {h[3]: h[3] for h in held}, []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -172,71 +295,76 @@ def link_blocks(members: DataFrame, texts: DataFrame, percent: int, crossing: bo
                 x = root[x]
             return x
 
-        for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True):
-            x, y = find(int(comp[a])), find(int(comp[b]))
-            if x != y:
-                root[x] = y
-                found.append((row[a], row[b]))
+        for i, (k, a, comp_a, x) in enumerate(some):
+            for o, b, comp_b, y in some[i + 1 :]:
+                if crossing and k == o:
+                    continue
+                p, q = find(comp_a), find(comp_b)
+                if p != q and x.alike(y, percent):
+                    root[p] = q
+                    found.append((a, b))
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> pa.RecordBatch:
-            found = links(held) if len({h[2] for h in held}) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (token, i, j) != at:
-                    if held:
-                        yield done()
-                    at, held = (token, i, j), []
-                held.append(rest)
-        if held:
-            yield done()
+    return by_task(tasks, work, ("a", "b"))
 
-    return tasks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "k", "row").mapInArrow(run, "a long, b long")
 
+def link_blocks(members: DataFrame, payloads: DataFrame, percent: int, crossing: bool, one_bucket: bool = False, block: int = 1000) -> DataFrame:
+    """Verified links (a, b) between the members (token, row, comp) of buckets, by one rule in buckets of any size.
 
-def line_components(numbered: DataFrame, lines: DataFrame, text_col: str, percent: int) -> DataFrame:
+    With one_bucket a member brings its text to one bucket only, of those where it has a possible partner that with
+    most such members; that joins most of what is linked, as rows that share one band mostly share others.
+    """
+    tasks = in_blocks(members, crossing, block)
+    on = shared.stage(active(tasks.join(payloads.select("row", "head"), "row"), percent, crossing), "active")
+    if one_bucket:
+        counted = on.join(on.groupBy("token").agg(F.count("*").alias("c")), "token")
+        chosen = shared.stage(counted.groupBy("row").agg(F.max(F.struct("c", "token")).alias("m")).select("m.token", "row"), "chosen")
+        shared.release(on)
+        on = chosen
+    met = tasks.join(shared.maybe_broadcast(on, 24), ["token", "row"], "left_semi").join(payloads, "row")
+    out = shared.stage(linked(met, percent, crossing), "links")
+    shared.release(on)
+    return out
+
+
+def line_components(numbered: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the nodes that are alike to others."""
-    banded = lines.select("node", F.explode("bands").alias("token"))
-    active = shared.stage(banded.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token"), "bands")
-    members = shared.stage(banded.join(shared.maybe_broadcast(active, 16), "token").select("token", F.col("node").alias("row")).distinct(), "members")
-    weights = members.groupBy("row").agg(F.count("*").alias("weight"))
-    members = shared.stage(members.join(weights, "row").withColumn("n", F.lit(1)), "members")
-    wanted = shared.maybe_broadcast(shared.stage(members.select("row").distinct(), "wanted"), 16)
+    members = shared.stage(shared_bands(lines, percent), "members")
+    wanted = shared.stage(members.select("row").distinct(), "wanted")
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
-    texts = texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    payloads = shared.stage(texts.select("row", F.encode("text", "utf-8").alias("data")), "texts")
-    links, now, comps = None, members.withColumn("comp", F.col("row")), None
-    for step in ("pivots", "blocks", "crossing"):
-        if step == "pivots":
-            pairs = shared.stage(by_pivot(now, percent), "pairs")
-            new = verify(pairs, payloads, shingle_set, lambda x, y: alike(x, y, percent))
-        else:
-            new = link_blocks(now, payloads, percent, step == "crossing")
-        new = shared.stage(new, "links")
-        links = links.unionByName(new) if links is not None else new
-        comps = shared.stage(components(links), "components")
-        known = members.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
-        several = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        now = shared.stage(known.join(several, "token"), "members") if step != "crossing" else now
+    texts = texts.join(shared.maybe_broadcast(wanted, 16), "row", "left_semi").dropDuplicates(["row"])
+    payloads = shared.stage(comparable(texts), "texts")
+    shared.release(wanted)
+    links, now, comps = [], members.withColumn("comp", F.col("row")), None
+    for crossing, one_bucket in ((False, True), (False, False), (True, False)):
+        links.append(link_blocks(now, payloads, percent, crossing, one_bucket))
+        if comps is not None:
+            shared.release(now, comps)
+        comps = components(reduce(DataFrame.unionByName, links))
+        if not crossing:
+            known = members.join(shared.maybe_broadcast(comps.withColumnRenamed("node", "row"), 16), "row", "left").select("token", "row", F.coalesce("root", "row").alias("comp"))
+            several = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+            now = shared.stage(known.join(several, "token"), "members")  # whole buckets, so that blocks are as they were
+    shared.release(members, payloads, *links)
     return comps
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, out: str = "__lines") -> DataFrame:
-    """docs with later near-alike lines gone from text_col, and a struct column out: lines (with a word) and removed (of these)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, out: str | None = None) -> DataFrame:
+    """docs with later near-alike lines gone from text_col, and a struct column: lines (with a word) and removed (of these).
+
+    The struct is the last column; its name is out, or else one that docs has not.
+    """
+    out = out or shared.free_name(docs, "__lines")
     number, drop = shared.free_name(docs, "__row"), shared.free_name(docs, "__gone")
     whole = shared.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     numbered = whole.select(F.col(number).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = shared.stage(signed_lines(numbered, text_col), "lines")
-    comps = line_components(numbered, lines, text_col, percent)
+    lines = shared.stage(signed_lines(numbered), "lines")
+    comps = line_components(numbered, lines, percent)
     alone = lines.select("__row", "__id", "line", "node").join(shared.maybe_broadcast(comps, 16), "node", "left").select("__row", "line", F.coalesce("root", "node").alias("comp"), F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "line").alias("place"))
     first = alone.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     later = alone.join(shared.maybe_broadcast(shared.stage(first, "first"), 48), "comp").where("place <> first")
     gone = shared.stage(later.groupBy(F.col("__row").alias(number)).agg(F.collect_set("line").alias(drop)), "gone")
+    shared.release(lines, comps)
     kept = whole.join(shared.maybe_broadcast(gone, 64), number, "left").select(*(F.col(f"`{c}`") for c in docs.columns), drop)
     at = docs.columns.index(text_col)
     names = [*docs.columns, out]

@@ -42,6 +42,7 @@ from . import shared
 from .block_pairs import count_links
 from .components import components
 from .pairs import by_pivot, verify
+from .setbits import allowed, differ, needed, parity
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLOT_BITS, CHUNKS = 20, 64
@@ -117,11 +118,6 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def needed(nx: int, ny: int, percent: int) -> int:
-    """Least intersection of sets of these sizes with 100 * intersection >= percent * union."""
-    return -(-percent * (nx + ny) // (100 + percent))
-
-
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -132,33 +128,6 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= needed(len(x), len(y), percent)
 
 
-def allowed(nx: int, ny: int, percent: int) -> int:
-    """Most elements that are in one set alone if the two are linked."""
-    return nx + ny - 2 * needed(nx, ny, percent)
-
-
-def parity(grams: np.ndarray) -> bytes:
-    """For each slot of hashes whether it holds an odd number of the set, as bits; about as many slots as n-grams."""
-    slots = min(max(64, 1 << (len(grams) - 1).bit_length()), 1 << 13) if len(grams) else 64
-    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def differ(x: tuple[int, int], y: tuple[int, int]) -> int:
-    """A lower bound of the elements that are in one set alone, from two parities (number of slots, bits).
-
-    An element of both sets changes both parities alike. Parities of more slots fold to those of fewer by xor.
-    """
-    (sx, bx), (sy, by) = x, y
-    while sx > sy:
-        sx >>= 1
-        bx = (bx ^ (bx >> sx)) & ((1 << sx) - 1)
-    while sy > sx:
-        sy >>= 1
-        by = (by ^ (by >> sy)) & ((1 << sy) - 1)
-    return (bx ^ by).bit_count()
-
-
 class Member:
     """A set in a bucket: the bucket's token and those after it that others share, their places in the whole set, and
     what its bounds need. Its tokens up to end are complete; before are tokens before the bucket's, as far as held."""

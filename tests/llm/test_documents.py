@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import block_pairs, components, lines, ngram_join, packing, pieces, quality, shared, token_store, tokens
+from parley.llm import block_pairs, components, lines, ngram_join, packing, pieces, quality, setbits, shared, token_store, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, __row string, comp string, __stats string, __lines int, bands int, `a.b` string"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,22 @@ def test_mcd_finds_the_bulk_despite_a_third_of_outliers(spark):
     assert np.abs(np.array(center) - bulk.mean(0)).max() < 0.02
 
 
+def test_small_groups_have_estimates_of_their_own(spark):
+    """A group of 30 rows far from its language: its rows stay, and a row like those of the rest goes there."""
+    rng = random.Random(18)
+    long = lambda: "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(11, 13))) for _ in range(15)) for _ in range(6))
+    rows = [(i, "\n".join(prose(rng, 15) for _ in range(6)), "en", "plain") for i in range(400)]
+    rows += [(1000 + i, long(), "en", "long") for i in range(30)] + [(2000, long(), "en", "plain")]
+    kept = {r.doc_id for r in quality.keep_good(table(spark, rows)).collect()}
+    assert kept >= set(range(400)) and kept >= set(range(1000, 1030)) and 2000 not in kept
+
+
+def test_groups_lean_on_their_parents_by_their_size():
+    parent = {"n": 1000, "center": [1.0, 0, 0, 0], "scatter": np.eye(4).ravel().tolist()}
+    centers = [quality.shrunk([{"n": n, "center": [3.0, 0, 0, 0], "scatter": np.eye(4).ravel().tolist()}, parent])[0][0] for n in (1, 2, 30, 99, 100, 101, 100_000)]
+    assert centers == sorted(centers) and centers[0] < 1.2 and centers[-1] > 2.99 and centers[5] - centers[3] < 0.01
+
+
 def roots(n, links):
     up = list(range(n))
 
@@ -181,7 +197,7 @@ def test_prefix_tree_loses_no_link():
                     k = p.index(token)
                     cut = p[k : k + 1 + held]
                     last = cut[-1] if k + 1 + held < len(p) else p[-1]
-                    m = ngram_join.Member(i, len(sets[i]), i, p[:k], cut, list(range(k, k + len(cut))), last, ngram_join.parity(sets[i]))
+                    m = ngram_join.Member(i, len(sets[i]), i, p[:k], cut, list(range(k, k + len(cut))), last, setbits.parity(sets[i]))
                     found += [(e.row, i) for e in tree.search(m)]
                     tree.add(m)
         want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
@@ -190,11 +206,11 @@ def test_prefix_tree_loses_no_link():
 
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(16)
-    bits = lambda x: (8 * len(ngram_join.parity(x)), int.from_bytes(ngram_join.parity(x), "little"))
+    bits = lambda x: (8 * len(setbits.parity(x)), int.from_bytes(setbits.parity(x), "little"))
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 1 << 60, rng.integers(0, 700), dtype=np.uint64)) for _ in range(2))
         y = np.union1d(x[rng.random(len(x)) < 0.9], y[: rng.integers(0, 30)])
-        assert ngram_join.differ(bits(x), bits(y)) <= len(np.setxor1d(x, y))
+        assert setbits.differ(bits(x), bits(y)) <= len(np.setxor1d(x, y))
 
 
 @pytest.mark.parametrize("block", [4, 500])
@@ -252,10 +268,29 @@ def test_short_lines_with_one_change_are_alike(spark):
     assert all(told[i] == 0 for i in range(20)) and sum(told.values()) >= 19
 
 
+def test_a_pair_is_judged_alike_in_buckets_of_any_size(spark):
+    """The same pair of lines, at the very threshold or just under it, alone in a bucket and among many."""
+    rng = random.Random(19)
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(104))
+    grams = lambda x: lines.shingle_set(x.encode())
+    pairs = {}
+    for k in range(1, 40):
+        other = base[: 104 - k] + "".join(rng.choice("qrstuvwxyz") for _ in range(k))
+        pairs[k] = (other, lines.alike(grams(base), grams(other), 80))
+    rows = [(k, i, x) for k, (other, _) in pairs.items() for i, x in enumerate((base, other))]
+    payloads = lines.comparable(spark.createDataFrame([(10 * k + i, x) for k, i, x in rows], "row long, text string"))
+    for fillers in (0, 5, 6, 7, 8, 30):
+        noise = [(10_000 + i, "".join(rng.choice("ABCDEFGH") for _ in range(90))) for i in range(fillers)]
+        data = payloads.unionByName(lines.comparable(spark.createDataFrame(noise or [(9, "x")], "row long, text string")))
+        members = [(k, 10 * k + i, 10 * k + i) for k, i, _ in rows] + [(k, r, r) for k in pairs for r, _ in noise]
+        got = lines.link_blocks(spark.createDataFrame(members, "token long, row long, comp long"), data, 80, False).collect()
+        assert {r.a // 10 for r in got} == {k for k, (_, same) in pairs.items() if same} and len(got) == len({r.a // 10 for r in got})
+
+
 def test_signatures_do_not_depend_on_neighbours():
     some = ["abc", "hello world this is", "x", "日本語のテキストです。テスト", "a" * 9, "a" * 8, "longer line number one two three"]
-    assert (lines.signatures(some) == np.concatenate([lines.signatures([x]) for x in some])).all()
-    assert np.triu(lines.alike_pairs([{"a", "b"}, {"a", "b"}, {"c"}], 80), 1).tolist() == [[False, True, False], [False] * 3, [False] * 3]
+    signed = lambda x: lines.signatures(*lines.shingle_hashes(x, lines.SHINGLE))
+    assert (signed(some) == np.concatenate([signed([x]) for x in some])).all()
 
 
 def test_chunks_give_the_ids_of_the_whole_text():

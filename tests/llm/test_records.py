@@ -1,9 +1,11 @@
 """WARC, HTML, chats and vectors against plain versions, with their edge cases."""
 
 import io
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,9 +83,81 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     assert found == {(i, t) for i, t in own.items()} | {(100, own[7]), (101, "Welcome to our site"), (101, "again"), (102, ""), (103, "z")}
     same = [(i, f"http://s.example/{i}", "<div><p>one text that all pages of a site have</p></div>") for i in range(12)]
     assert {r.text for r in site_tree.extract(pages(spark, same)).collect()} == {"one text that all pages of a site have"}
+    notice = "This notice is longer than any article of the site and stands on each of its pages. " * 4
+    short = [(i, f"http://n.example/{i}", f"<div><p>{notice}</p><p>{' '.join(word() for _ in range(8))}</p></div>") for i in range(60)]
+    assert sum("notice" not in r.text and len(r.text.split()) == 8 for r in site_tree.extract(pages(spark, short)).collect()) == 60
     assert site_tree.extract(pages(spark, [])).count() == 0
 
 
+def plain_tree(rows, least=0.1):
+    """The texts that the site tree leaves, by dictionaries of one host each."""
+    hosts = {}
+    for i, (_, url, html) in enumerate(rows):
+        hosts.setdefault((url or "").split("/")[2].lower() if "//" in (url or "") else None, []).append((i, site_tree.Page(html or "")))
+    out = {}
+    for host, found in hosts.items():
+        signs, layouts, parent = {}, {}, {}
+        for _, page in found:
+            for text, node, _, _ in page.chosen():
+                signs.setdefault((node, text), set()).add(page.sign())
+            for node, up in page.parents.items():
+                parent[node] = up
+                layouts.setdefault(node, {}).setdefault(tuple(page.layout.get(node, ())), set()).add(page.sign())
+        m = {n: sum(map(len, x.values())) for n, x in layouts.items()}
+        value = {}
+
+        def worth(n):
+            each = [len(x) for (k, _), x in signs.items() if k == n]
+            below = [worth(c) for c, up in parent.items() if up == n]
+            most = math.log(m[n] + site_tree.PRIOR)
+            if each:
+                below.append(1 - sum(c * math.log(c) for c in each) / sum(each) / most)
+            styles = [len(x) for x in layouts[n].values()]
+            told = math.log(m[n]) / most - sum(c * math.log(c) for c in styles) / m[n] / most
+            weight = 0.9 ** len(styles)
+            value[n] = (1 - weight) * told + weight * (sum(below) / len(below) if below else 1.0)
+            return value[n]
+
+        for n in parent:
+            if parent[n] not in parent:
+                worth(n)
+        for i, page in found:
+            gone = host is not None
+            out[i] = " ".join(t for t, n, _, up in page.chosen() if not gone or not (n in m and 2 * len(signs[n, t]) > m[n] + site_tree.PRIOR) and not any(value[x] < least for x in up if x in value))
+    return [out[i] for i in range(len(rows))]
+
+
+def test_site_tree_is_the_plain_one(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    rows = []
+    for host, n in (("a.example", 2), ("b.example", 3), ("c.example", 7), ("d.example", 8), ("e.example", 40)):
+        fixed = [" ".join(word() for _ in range(6)) for _ in range(6)]
+        for k in range(n):
+            own = [f"<p>{' '.join(word() for _ in range(rng.randint(5, 30)))}</p>" for _ in range(rng.randint(1, 5))]
+            shown = [f"<div class=t{j}><p>{x}</p></div>" for j, x in enumerate(fixed) if rng.random() < (j + 1) / 6]
+            rows.append((len(rows), f"http://{host}/{k}", f"<body>{''.join(shown)}<div>{''.join(own)}</div></body>"))
+            if rng.random() < 0.2:
+                rows.append((len(rows), f"http://{host}/{k}/copy", rows[-1][2]))
+    rows += [(len(rows), None, "<p>x</p>"), (len(rows) + 1, "http://e.example/empty", None)]
+    got = {r.page_id: r.text for r in site_tree.extract(pages(spark, rows)).collect()}
+    want = plain_tree(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    roles = [site_tree.Page(h or "").text(set(), set()) for _, _, h in rows]
+    changed = {r[1].split("/")[2] for r, x, y in zip(rows, roles, want, strict=True) if x != y}
+    assert {"c.example", "d.example", "e.example"} <= changed
+
+
+def test_titles_inside_an_article_stay():
+    for name in ("entry-header", "post-header", "share-price", "related-work", "header-title"):
+        assert site_tree.Page(f"<article><div class='{name}'><h1>Title</h1></div><p>body</p></article>").text(set(), set()) == "Title body"
+
+
+def test_columns_may_have_any_name(spark):
+    rows = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "h", "n", "t", 2)], "page_id long, url string, html string, host string, nodes string, texts string, `a.b` int")
+    assert site_tree.extract(rows, keep=("page_id", "host", "nodes", "texts", "a.b")).first()[:] == (1, "h", "n", "t", 2, "x")
+
+
 def test_chats_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nx", "&amp; &lt; & &eos; &nl;", "", None, "日本 <s>", "a\nb", "<<s>s>", "&", "<|im_start|>" * 3]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (None, 1, "odd\nrole<s>", "z")]
@@ -112,6 +186,21 @@ def test_layouts(spark):
     assert chat.unmatched_json(raw, "j", layouts).count() == 2
 
 
+def test_nested_paths_choose_the_layout(spark):
+    kinds = {"messages": "conv_id long, messages array<struct<role:string,content:string>>", "instruction": "id long, instruction string, output string", "input": "id long, instruction string, input string, output string"}
+    layouts = {m: spark.createDataFrame([], k).schema for m, k in kinds.items()}
+    rows = [
+        '{"conv_id": 1, "messages": [{"content": "q", "role": "user"}, {"role": "assistant", "content": "a"}]}',
+        '{"conv_id": 2, "messages": [{"from": "user", "value": "q"}]}',  # the same keys above, other paths below
+        '{"id": 3, "instruction": "p", "output": "b", "score": {"x": 1}}',  # further fields
+        '{"id": 4, "instruction": "p", "input": "i", "output": "b", "a.b": [1]}',
+        '{"conv_id": 5, "messages": []}', "[1]", "no json", "", None,
+    ]
+    raw = spark.createDataFrame([(r, "l") for r in rows], "`j s` string, layout string")
+    assert sorted(map(tuple, chat.canonical_json(raw, "j s", layouts).collect())) == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (3, 0, "user", "p"), (3, 1, "assistant", "b"), (4, 0, "user", "p\n\ni"), (4, 1, "assistant", "b")]
+    assert chat.unmatched_json(raw, "j s", layouts).count() == 6
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
@@ -154,3 +243,24 @@ def test_each_dimension_is_searched(spark):
     assert got == want
 
 
+
+
+def test_codes_prune_what_is_compared(spark):
+    """On 50,000 vectors with a third of them near one point: recall, and few exact comparisons a query."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(50_000, 16)).astype("f4")
+    x[30_000:46_000] = x[3] + rng.normal(size=(16_000, 16)) * 0.3
+    table = spark.createDataFrame(pd.DataFrame({"id": np.arange(50_000), "v": [v.astype(float) for v in x]}), "id long, v array<double>")
+    sound = shared.stage(table, "vectors")
+    model = ann.fit(sound)
+    assert len(model.coarse) == math.isqrt(50_000)
+    found = ann.best_of_blocks(sound, F.col("id") % 500 == 0, 5, 200, 4000, model).toPandas()
+    each = found.groupby("query_id")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q, rows in each:
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(set(rows.sort_values("score").id.tail(5)) & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert len(each) == 100 and hits >= 0.9 * 500
+    assert each.compared.sum().max() < 25_000  # of each block's count this adds up to five times as much
