@@ -60,10 +60,15 @@ class Model:
             out[:, p] = ((book**2).sum(1) - 2 * x @ book.T).argmin(1)
         return out
 
-    def table(self, residual: np.ndarray) -> np.ndarray:
-        """Squared distances of the parts of one residual to all codes."""
+    def distances(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of residuals of queries to codes, by a table of each part for each query."""
         parts, _, width = self.books.shape
-        return ((residual.reshape(parts, 1, width) - self.books) ** 2).sum(2)
+        far = np.zeros((len(residuals), len(codes)))
+        for p in range(parts):
+            x, book = residuals[:, p * width : (p + 1) * width], self.books[p]
+            table = (x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1)
+            far += np.maximum(table, 0)[:, codes[:, p]]
+        return far
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -172,31 +177,49 @@ class Block:
             self.rows = np.array([r[1] for r in self.held]) if self.held and self.held[0][1] is not None else None
             self.codes = np.frombuffer(b"".join(r[2] for r in self.held), np.uint8).reshape(len(self.held), -1)
 
-    def bins(self, query_id: int, q: np.ndarray) -> np.ndarray:
-        """The bin of each row's distance; a negative one for rows with the query's own id."""
+    def bins(self, query_ids: list[int], q: np.ndarray) -> np.ndarray:
+        """For each query the bin of each row's distance; a negative one for rows with the query's own id."""
         self.close()
-        table = self.model.table(q / np.linalg.norm(q) - self.model.coarse[self.at[0]])
-        far = (table[np.arange(self.codes.shape[1]), self.codes].sum(1) * BINS).astype(np.int64)
-        far[self.ids == query_id] = -1
+        residuals = q / np.linalg.norm(q, axis=1, keepdims=True) - self.model.coarse[self.at[0]]
+        far = (self.model.distances(residuals, self.codes) * BINS).astype(np.int64)
+        far[np.array(query_ids)[:, None] == self.ids] = -1
         return far
 
 
-def in_blocks(rows: DataFrame, model: Model, found: Callable[[Block, tuple], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+def in_blocks(rows: DataFrame, model: Model, found: Callable[[np.ndarray, Block, tuple], Iterator[tuple]], schema: pa.Schema, ddl: str, together: int = 64) -> DataFrame:
     """What found gives for each query and each block that it searches. rows: list, block, asked, id, v, codes, cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        block, waiting, out = None, [], []
+
+        def ask() -> None:
+            if waiting and block.held:
+                bins = block.bins([r[0] for r in waiting], np.array([r[1] for r in waiting]))
+                for row, own in zip(waiting, bins, strict=True):
+                    out.extend(found(own, block, row))
+            waiting.clear()
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            out.clear()
+            return batch
+
         for batch in batches:
-            out: list[tuple] = []
             for lst, blk, asked, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block is None or block.at != (lst, blk):
+                    ask()
                     block = Block(model, (lst, blk))
                 if not asked:
                     block.held.append(rest)
-                elif block.held:
-                    out.extend(found(block, rest))
-            columns = zip(*out, strict=True) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                else:
+                    waiting.append(rest)
+                    if len(waiting) >= together:
+                        ask()
+            if len(out) > 10_000:
+                yield told()
+        ask()
+        yield told()
 
     return rows.repartition("list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(run, ddl)
 
@@ -209,22 +232,18 @@ def best_of_blocks(sound: DataFrame, is_query: Column, k: int, rerank: int, bloc
     asked = probes(sound.where(is_query), model, model.nprobe).join(F.broadcast(sizes), "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asked"), "id", "v", F.lit(None).cast("binary").alias("codes"))
 
-    def counted(block: Block, row: tuple) -> Iterator[tuple]:
+    def counted(bins: np.ndarray, block: Block, row: tuple) -> Iterator[tuple]:
         """The counts of the nearest bins of a block, as far as it takes to reach `rerank` there."""
-        bins, n = np.unique(block.bins(row[0], np.array(row[1])), return_counts=True)
-        if bins[0] < 0:
-            bins, n = bins[1:], n[1:]
+        bins, n = np.unique(bins[bins >= 0], return_counts=True)
         last = int(np.searchsorted(np.cumsum(n), rerank)) + 1
         yield from zip([row[0]] * last, bins[:last].tolist(), n[:last].tolist(), strict=False)
 
-    def compared(block: Block, row: tuple) -> Iterator[tuple]:
-        query_id, q, _, cut = row[0], np.array(row[1]), row[2], row[3]
-        bins = block.bins(query_id, q)
-        best = np.flatnonzero((bins >= 0) & (bins <= cut))
+    def compared(bins: np.ndarray, block: Block, row: tuple) -> Iterator[tuple]:
+        best = np.flatnonzero((bins >= 0) & (bins <= row[3]))
         if len(best):
-            score, ids = cosines(q, block.rows[best]), block.ids[best]
+            score, ids = cosines(np.array(row[1]), block.rows[best]), block.ids[best]
             for j in np.lexsort((ids, -score))[:k]:
-                yield query_id, int(ids[j]), float(score[j]), len(best)
+                yield row[0], int(ids[j]), float(score[j]), len(best)
 
     codes_only = dealt.select("list", "block", F.lit(0).alias("asked"), "id", F.lit(None).cast("array<double>").alias("v"), "codes")
     counts = in_blocks(codes_only.unionByName(asked), model, counted, pa.schema([("id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())]), "id long, bin long, n long")
