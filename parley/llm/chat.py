@@ -37,7 +37,6 @@ CONTROL = {
     "<s>": "&bos;",
     "</s>": "&eos;",
 }
-CANONICAL = ("conv_id", "turn", "role", "text")
 
 
 @dataclass(frozen=True)
@@ -106,28 +105,40 @@ def canonical_turns(df: DataFrame, known: tuple[Mapping, ...] = MAPPINGS) -> Dat
     return turns.select("conv_id", F.col("t.turn").alias("turn"), F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 
-def canonical_json(df: DataFrame, column: str, layouts: dict[str, T.StructType], known: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Turns of records kept as JSON strings of mixed layouts: each record's own paths choose its mapping.
+def record_paths(text: Column) -> Column:
+    """The field paths of a JSON record down to its second level, as field_paths writes them; null if it is no object."""
+    inner = lambda k, step: F.json_object_keys(F.call_function("get_json_object", text, F.concat(F.lit("$['"), k, F.lit("']" + step))))
+    below = lambda k, mark, keys: F.transform(keys, lambda x: F.concat(k, F.lit(mark), x))
+    each = F.transform(F.json_object_keys(text), lambda k: F.coalesce(below(k, ".", inner(k, "")), below(k, "[].", inner(k, "[0]")), F.array(k)))
+    return F.array_sort(F.array_distinct(F.flatten(each)))
 
-    layouts: a schema for each layout awaited. A record belongs to the layout whose top-level keys it has exactly;
-    the key sets are compared by hash. Records of no layout are given by `unmatched_json`.
-    """
-    keyed = df.withColumn("_keys", _key_hash(F.col(column)))
-    parts = [canonical_turns(keyed.where(F.col("_keys") == _hash_of(s)).select(F.from_json(column, s).alias("r")).select("r.*"), known) for s in layouts.values()]
-    return reduce(DataFrame.unionByName, parts)
+
+def _shallow(paths) -> list[str]:
+    return sorted({".".join(p.split(".")[:2]).removesuffix("[]") for p in paths})
 
 
-def unmatched_json(df: DataFrame, column: str, layouts: dict[str, T.StructType]) -> DataFrame:
-    keys = _key_hash(F.col(column))
-    return df.where(keys.isNull() | ~keys.isin([_hash_of(s) for s in layouts.values()]))
+def _layout_of(paths: Column, layouts: dict[str, T.StructType], known: tuple[Mapping, ...]) -> Column:
+    """The name of a record's layout: by the fingerprint of its paths, or else that of the largest mapping they contain."""
+    fingerprint = F.left(F.sha2(F.array_join(paths, "\n"), 256), F.lit(16))
+    exact = [F.when(fingerprint == fingerprint_of(_shallow(field_paths(s))), name) for name, s in layouts.items()]
+    sized = sorted(layouts.items(), key=lambda x: -len(mapping_for(x[1], known).paths))
+    contained = [F.when(F.size(F.array_except(F.array(*map(F.lit, _shallow(mapping_for(s, known).paths))), paths)) == 0, name) for name, s in sized]
+    return F.coalesce(*exact, *contained)
 
 
-def _key_hash(text: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.json_object_keys(text)), "\n"), 256)
+def canonical_json(df: DataFrame, column: str, layouts: dict[str, T.StructType], known: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Turns of records kept as JSON strings of mixed layouts: each record's own nested paths choose its mapping.
+
+    layouts: a schema for each layout awaited. Records with further fields go to the layout whose mapping has most of
+    their paths; records of no layout are given by `unmatched_json`.
+    """
+    told = df.select(F.col(f"`{column}`").alias("record"), _layout_of(record_paths(F.col(f"`{column}`")), layouts, known).alias("layout"))
+    parts = [canonical_turns(told.where(F.col("layout") == name).select(F.from_json("record", s).alias("r")).select("r.*"), known) for name, s in layouts.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _hash_of(schema: T.StructType) -> str:
-    return hashlib.sha256("\n".join(sorted(schema.names)).encode()).hexdigest()
+def unmatched_json(df: DataFrame, column: str, layouts: dict[str, T.StructType], known: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    return df.where(_layout_of(record_paths(F.col(f"`{column}`")), layouts, known).isNull())
 
 
 def escape(text: Column) -> Column:
