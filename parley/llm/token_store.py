@@ -44,7 +44,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
     share = max(1, docs.count() // sample_docs)
     picked = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0))
     start = F.pmod(F.xxhash64(text_col), F.greatest(F.length(text_col) - sample_chars + 1, F.lit(1))).cast("int") + 1
-    rows = picked.select(F.col(text_col).substr(start, F.lit(sample_chars)).alias("t")).limit(2 * sample_docs).collect()
+    rows = picked.select(F.col(text_col).substr(start, F.lit(sample_chars)).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(2 * sample_docs).collect()
     samples = [_narrow(x, width) for x in encoder(tokenizer_path).encode([r.t for r in rows])]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
@@ -126,6 +126,14 @@ class ShardReader:
         a, b = int(self.columns[2][i]), int(self.ends[i])
         return np.frombuffer(self.unpacker.decompress(self.file.read_at(b - a, a)), f"<u{self.width}").astype("<u4")
 
+    def scan(self, piece: int = 8 << 20) -> Iterator[np.ndarray]:
+        """The ids of all documents in order; the file is read in large pieces, not frame by frame."""
+        held, begin = b"", 0
+        for a, b in zip(self.columns[2].tolist(), self.ends.tolist(), strict=True):
+            if b > begin + len(held):
+                held, begin = self.file.read_at(min(max(piece, b - a), int(self.ends[-1]) - a), a), a
+            yield np.frombuffer(self.unpacker.decompress(held[a - begin : b - begin]), f"<u{self.width}").astype("<u4")
+
     def find(self, doc_id: int) -> np.ndarray | None:
         """The ids of a document by its doc_id, reading its frame only."""
         hits = np.flatnonzero((self.columns[0] == doc_id) & (self.columns[1] == 0))
@@ -187,8 +195,7 @@ def read_store(manifest: DataFrame, digest: bool = False) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard, out = ShardReader(path), []
-                for i in range(len(shard)):
-                    ids = shard.ids(i)
+                for i, ids in enumerate(shard.scan()):
                     out.append((shard.doc_id(i), start, len(ids), zlib.crc32(ids.tobytes()) if digest else ids.astype("i4")))
                     start += len(ids)
                     if len(out) == 1000 or i + 1 == len(shard):
