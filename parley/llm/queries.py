@@ -20,7 +20,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(shared.table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
     back = warc.read_warc(manifest, with_payload=False)
-    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    sound = F.when(F.col("error").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record: "), "error")).cast("long"))
+    return back.withColumn("payload_bytes", sound).select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP2_SQL = """
@@ -37,9 +38,9 @@ from b
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    measured = shared.stage(quality.measure(docs, drop_text=True), "measured")
+    measured = shared.stage(quality.measure(docs, drop_text=True, name="stats"), "measured")
     told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return quality.judge(measured).select("doc_id", *(F.col(f"__stats.{c}") for c in told), "__verdict.base_failed", "__verdict.kept", "__verdict.distance2")
+    return quality.judge(measured, name="stats", out="verdict").select("doc_id", *(F.col(f"stats.{c}") for c in told), "verdict.base_failed", "verdict.kept", "verdict.distance2")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", F.col("__lines.lines").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), "text")
+    return lines.dedup_lines(docs, out="told").select("doc_id", F.col("told.lines").alias("n_lines"), F.col("told.removed").alias("n_removed"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_ngram_join": op4_ngram_join, "op4_ngram_links": op4_ngram_links, "op5_ann": op5_ann, "op6_site_tree": op6_site_tree, "op7_token_store": op7_token_store, "op8_chat": op8_chat, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}

@@ -12,9 +12,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, the warehouse, which all machines share; a temporary folder only if there is one machine.
+    """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        named = spark.conf.get("spark.sql.warehouse.dir")
     if named:
         return named.rstrip("/")
     if _own_dir is None:
