@@ -1,7 +1,11 @@
 """The training-data pipeline: quality rules, line dedup, n-gram Jaccard join, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
-folder and reads it back as the next stage's docs.
+folder and reads it back as the next stage's docs. The table before is then deleted.
+
+Defined cases: null and empty texts fail the quality rules; texts of any length are worked on whole; of lines and of
+documents that are alike, equal ones among them, that of the least doc_id stays, nulls last, then that of the first row;
+an empty table gives an empty table; all stages but the last pass all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents")
+    docs, last = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = shared.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            shared.release(last)
+        last = docs
     return docs
