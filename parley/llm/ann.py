@@ -4,7 +4,7 @@ fit() takes a bounded sample (rows of a range of id hashes, 16 for each list and
 centroids and the codebooks; every row is indexed. There are about sqrt(N) lists, at most `max_lists`, so lists grow
 no faster than their number. index() gives each vector its list and the codes of its residual. A query searches the
 model's nprobe lists nearest to it, so many as hold the share `recall` of the nearest neighbours within the sample, in
-two passes over the codes:
+two passes over the codes; at least so many as hold `at_least` vectors on average:
 
 1. Asymmetric distances (tables of the query's residual against the codebooks) of all vectors in those lists are
    counted in bins of a fixed width. Summed over all its lists, they say below which distance a query has `rerank`
@@ -104,7 +104,7 @@ def probes_needed(model: Model, x: np.ndarray, recall: float, k: int = 5, querie
     return int(np.quantile(found, recall, method="higher")) + 1 if found.size else 1
 
 
-def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.96) -> Model | None:
+def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.96, at_least: int = 2000) -> Model | None:
     n = vectors.count()
     lists = min(max_lists, math.isqrt(n))
     sample = max(8192, 16 * lists)
@@ -123,7 +123,7 @@ def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int =
     width = dim // parts
     books = [kmeans(residual[:, p * width : (p + 1) * width], codes, seed=p) for p in range(parts)]
     size = max(map(len, books))
-    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]), probes_needed(model, x, recall))
+    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]), min(lists, max(probes_needed(model, x, recall), math.ceil(at_least * lists / n))))
 
 
 def index(vectors: DataFrame, model: Model) -> DataFrame:

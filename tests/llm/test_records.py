@@ -250,7 +250,7 @@ def test_codes_prune_what_is_compared(spark):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(50_000, 16)).astype("f4")
     x[30_000:46_000] = x[3] + rng.normal(size=(16_000, 16)) * 0.3
-    table = spark.createDataFrame(pd.DataFrame({"id": np.arange(50_000), "v": [v.astype(float) for v in x]}), "id long, v array<double>")
+    table = spark.createDataFrame(pd.DataFrame({"id": np.arange(50_000), "v": [v.astype(float).tolist() for v in x]}))
     sound = shared.stage(table, "vectors")
     model = ann.fit(sound)
     assert len(model.coarse) == math.isqrt(50_000)
