@@ -353,7 +353,8 @@ def test_token_store_of_a_large_vocabulary(spark, tmp_path):
 
 def test_dictionary_is_of_spans_from_anywhere(spark):
     docs = spark.createDataFrame([(i, "a " * 5000 + f"rare{i} " * 5000) for i in range(20)], "doc_id long, text string")
-    assert np.isin(tokens.ChunkEncoder(BPE).tokenizer.encode(" rare").ids, np.frombuffer(token_store.train_dictionary(docs, "doc_id", "text", BPE, 4, dict_bytes=1 << 26)[-(1 << 10):], "<u4")).any()
+    ids = tokens.ChunkEncoder(BPE).tokenizer.encode(" rare").ids
+    assert any(i.to_bytes(4, "little") in token_store.train_dictionary(docs, "doc_id", "text", BPE, 4, dict_bytes=1 << 26)[-(1 << 10) :] for i in ids)
 
 
 def test_packing(spark, odd, none):
