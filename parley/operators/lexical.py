@@ -1,18 +1,30 @@
-"""Lexical ranking: BM25 over postings, plain and by weighted fields. Postings are DataFrames; a search is a join.
+"""Lexical ranking: BM25 over postings, plain and by weighted fields. Postings are DataFrames.
 
-Query terms join postings on the term, so a task reads only terms that are asked for; scores are summed by
-(query, id) with partial sums; the top k of a query is a window that Spark limits before the shuffle.
+There are two searches. `search` joins query terms with postings on the term and sums scores by (query, id); it serves
+few queries over postings as they are. `top_k` reads an index whose documents are dealt into parts and whose postings of a
+term in a part are rows of BLOCK postings, best first, each with its greatest impact. A task holds one part and a
+block of queries, so a common term is as many tasks as there are parts, nothing is shuffled by term, and no row is made
+for a pair of query and document but the k best of each part.
+
+An eighth of the parts is searched first. The k-th score there is a bar for the rest: blocks whose greatest impacts add
+up to less than the bar are not scored; only documents that what was scored leaves able to reach the bar look up their
+postings in them. The rows are those of a full scoring.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import bounded, written
 
 
 @dataclass(frozen=True)
@@ -80,3 +92,122 @@ def terms_of(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
 
 def plain_words(column: str) -> Column:
     return X.words(F.col(column))
+
+
+#: Postings of a block, documents of a part, queries that meet a part at a time.
+BLOCK, PART, QUERIES = 64, 8192, 2048
+#: The share of parts that are searched first, as one in so many.
+FIRST = 8
+#: Scores are compared with the bar at this distance, as they are ranked at nine places.
+NEAR = 1e-7
+
+
+@dataclass(frozen=True)
+class Index:
+    """blocks: part, term, top, ids, gains (of falling gain), written down; of n documents in `parts` parts."""
+
+    blocks: DataFrame
+    n: int
+    parts: int
+    form: Bm25
+
+
+def index(posted: DataFrame, stats: DataFrame, form: Bm25 = PLAIN, terms: DataFrame | None = None, part_docs: int = PART, block: int = BLOCK) -> Index:
+    """posted: id, term, tf, dl; stats: as corpus_stats gives it; terms: only those of this table are kept.
+
+    Few documents are dealt into as many parts as keep the shuffle's tasks busy, of 512 documents at least.
+    """
+    n, mean = stats.select("n", "mean").first()
+    tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // part_docs), min(2 * tasks, n // 512))
+    kept = posted if terms is None else posted.join(bounded(written(terms.select("term").distinct(), "terms"), 40), "term", "left_semi")
+    gained = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "term", F.struct(form.gain(F.col("tf"), F.col("dl"), F.lit(float(mean or 1))).alias("gain"), "id").alias("p"))
+    whole = gained.groupBy("part", "term").agg(F.sort_array(F.collect_list("p"), asc=False).alias("p"))
+    starts = F.sequence(F.lit(1), F.size("p"), F.lit(block))
+    cut = whole.select("part", "term", F.explode(F.transform(starts, lambda i: F.slice("p", i, F.lit(block)))).alias("p"))
+    return Index(written(cut.select("part", "term", F.col("p")[0].gain.alias("top"), F.col("p.id").alias("ids"), F.col("p.gain").alias("gains")), "blocks"), n, parts, form)
+
+
+def _best_of_part(blocks: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k best of a part for each query, with the numbers of blocks that it scored and that it met."""
+    flat = blocks["ids"].combine_chunks().flatten().dictionary_encode()
+    codes, names = flat.indices.to_numpy(), flat.dictionary
+    place = np.empty(len(names), np.int64)
+    place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+    gains = blocks["gains"].combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(pc.list_value_length(blocks["ids"]).to_numpy())
+    held: dict[str, list[tuple[float, int, int]]] = {}
+    for term, top, begin, end in zip(blocks["term"].to_pylist(), blocks["top"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        held.setdefault(term, []).append((top, begin, end))
+    queries: dict[object, tuple[float, list[tuple[str, float]]]] = {}
+    for row in asked["asked"].to_pylist():
+        for t in row:
+            if t["term"] in held:
+                queries.setdefault(t["query_id"], (t["bar"], []))[1].append((t["term"], t["weight"]))
+    out = []
+    for query_id, (bar, terms) in queries.items():
+        units = sorted((w * top, term, w, begin, end) for term, w in terms for top, begin, end in held[term])
+        skipped: dict[str, float] = {}
+        most, n = 0.0, 0
+        for bound, term, *_ in units:
+            more = bound - skipped.get(term, 0.0)
+            if most + more >= bar - NEAR:
+                break
+            most, n = most + more, n + 1
+            skipped[term] = bound
+        total, rest = np.zeros(len(names)), np.full(len(names), most)
+        for _, term, w, begin, end in units[n:]:
+            total[codes[begin:end]] += w * gains[begin:end]
+            rest[codes[begin:end]] -= skipped.get(term, 0.0)
+        able = total > 0
+        if able.sum() > k:
+            bar = max(bar, np.partition(total, -k)[-k])
+        able &= total + rest >= bar - NEAR
+        for _, _, w, begin, end in units[:n] if able.any() else ():
+            some = able[codes[begin:end]]
+            total[codes[begin:end][some]] += w * gains[begin:end][some]
+        found = np.flatnonzero(able)
+        found = found[np.lexsort((place[found], -np.round(total[found], 9)))[:k]]
+        out.append((query_id, len(units) - n, len(units), names.take(pa.array(found)), total[found]))
+    ids = pa.array([x[3].to_pylist() for x in out], pa.list_(names.type))
+    return pa.table([pa.array([x[0] for x in out], asked["asked"].type.value_type.field("query_id").type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), ids, pa.array([x[4].tolist() for x in out], pa.list_(pa.float64()))], ["query_id", "scored", "met", "ids", "scores"])
+
+
+def _searched(made: Index, parts: Column, asked: DataFrame, k: int) -> DataFrame:
+    """What the parts found: query_id, scored, met, ids, scores. asked: query_id, term, weight, bar, b."""
+    asked = written(asked, "asked")
+    needed = bounded(written(asked.select("b", "term").distinct(), "needed"), 48)
+    rows = made.blocks.where(parts).join(needed, "term").select("b", "part", "term", "top", "ids", "gains")
+    packed = asked.groupBy("b").agg(F.collect_list(F.struct("query_id", "term", "weight", "bar")).alias("asked"))
+    dealt = packed.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(made.parts - 1).cast("long"))).alias("part"), "asked").where(parts)
+    q, i = asked.schema["query_id"].dataType.simpleString(), made.blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_of_part(left, right, k)
+
+    return written(rows.groupBy("b", "part").cogroup(dealt.groupBy("b", "part")).applyInArrow(best, f"query_id {q}, scored long, met long, ids array<{i}>, scores array<double>"), "found")
+
+
+def parts_found(made: Index, queries: DataFrame, k: int) -> DataFrame:
+    """What each part found for each query, the first ones without a bar: query_id, scored, met, ids, scores."""
+    asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    df = made.blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+    weighed = written(asked.join(df, "term").select("query_id", "term", (F.col("times") * made.form.idf_of(F.lit(made.n), F.col("df"))).alias("weight")), "weights")
+    n = max(1, -(-weighed.select("query_id").distinct().count() // QUERIES))
+    weighed = weighed.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+    first = F.col("part") < math.ceil(made.parts / FIRST)
+    seen = _searched(made, first, weighed.withColumn("bar", F.lit(0.0)), k)
+    if made.parts == 1:
+        return seen
+    each = seen.select("query_id", F.explode("scores").alias("score"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    bars = each.withColumn("n", F.row_number().over(place)).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))
+    barred = weighed.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    return seen.unionByName(_searched(made, ~first, barred, k))
+
+
+def top_k(made: Index, queries: DataFrame, k: int) -> DataFrame:
+    """As search, over an index: query_id, id, score, rank. Ties go to the lesser id."""
+    flat = parts_found(made, queries, k).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query_id", F.col("f.ids").alias("id"), F.col("f.scores").alias("score"))
+    by = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return flat.where("score > 0").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -175,8 +175,8 @@ select query_id, doc_id, round(score, 6) as score, rank from k where rank <= 10
 def lexical_bm25_topk(spark, d):
     docs, tokens = testbed.table(spark, d, "documents"), lexical.plain_words("text")
     queries = lexical.terms_of(testbed.table(spark, d, "benchmark"), "item_id", tokens)
-    posted = written(lexical.postings(docs, "doc_id", tokens), "postings")
-    found = lexical.search(posted, lexical.stats_of(posted, docs.count()), queries, 10)
+    made = lexical.index(lexical.postings(docs, "doc_id", tokens), lexical.corpus_stats(docs, tokens), terms=queries)
+    found = lexical.top_k(made, queries, 10)
     return found.select("query_id", c("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -201,7 +201,8 @@ def fielded_bm25_topk(spark, d):
     asked = parts.groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
     queries = lexical.terms_of(asked, "query_id", X.unique_terms(c("p_name")))
     stats = lexical.corpus_stats(parts, F.concat(*fields.values()))
-    found = lexical.search(lexical.field_postings(parts, "p_partkey", weighted), stats, queries, 10, lexical.FIELDED)
+    made = lexical.index(lexical.field_postings(parts, "p_partkey", weighted), stats, lexical.FIELDED)
+    found = lexical.top_k(made, queries, 10)
     return found.select("query_id", c("id").alias("p_partkey"), F.round("score", 6).alias("score"), "rank")
 
 

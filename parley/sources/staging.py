@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -24,3 +25,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/parley/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(staged: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only if the written table's counted rows fit limit_bytes; otherwise leave a shuffle join."""
+    return F.broadcast(staged) if staged.count() * row_bytes <= limit_bytes else staged
