@@ -47,17 +47,19 @@ class Engine:
             raise ValueError("the dense route needs embeddings and an embedder")
         self.products = written(with_features(self.catalog).withColumn("id", F.col("parent_asin")), "products")
         tokens = X.words(F.col("lexical_text"))
-        self.postings = written(lexical.postings(self.products, "id", tokens), "postings")
-        self.stats = written(lexical.stats_of(self.postings, self.products.count()), "stats")
+        if "lexical" in self.config.routes:
+            self.index = lexical.index(lexical.postings(self.products, "id", tokens), lexical.corpus_stats(self.products, tokens), self.bm25)
+        if "dense" in self.config.routes:
+            self.cells = vectors.cells(self.embeddings.select("id", F.col("embedding").alias("v")))
 
     def routes(self, queries: DataFrame, depth: int) -> list[DataFrame]:
         """queries: query_id, text. A ranked list for each enabled route of some weight."""
         out, asked = [], queries.where(F.trim("text") != "")
         for name in self.config.routes:
             if name == "lexical":
-                ranked = lexical.search(self.postings, self.stats, lexical.terms_of(asked, "query_id", X.words(F.col("text"))), depth, self.bm25)
+                ranked = lexical.top_k(self.index, lexical.terms_of(asked, "query_id", X.words(F.col("text"))), depth)
             elif name == "dense":
-                ranked = vectors.search(self.embeddings.select("id", F.col("embedding").alias("v")), self._embedded(asked), depth)
+                ranked = vectors.search(self.embeddings.select("id", F.col("embedding").alias("v")), written(self._embedded(asked), "embedded"), depth, self.cells)
             else:
                 ranked = structured.search(self.products, asked, depth)
             out.append(ranked.select("query_id", "id", "rank"))

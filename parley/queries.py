@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vocabulary as V
-from .operators import dialog, fusion, lexical, metrics, structured, vectors
+from .operators import dialog, fusion, lexical, metrics, names, structured, vectors
 from .plans import engine, report, simulator, testbed
 from .plans.config import Config
 from .sources.catalog import last_wins, upsert, with_features
@@ -244,6 +244,19 @@ def structured_topk(spark, d):
     return structured.search(products, queries, 10).select("query_id", c("id").alias("p_partkey"), F.round("score", 6).alias("score"), "rank")
 
 
+@query("""
+with n as (select distinct unnest(string_split(lower(text), ' ')) as name from benchmark),
+f as (select doc_id, name from documents, n where name <> '' and contains(lower(text), name))
+select doc_id, count(*) as n, string_agg(name, ' ' order by name) as names from f group by doc_id
+""")
+def store_mentions(spark, d):
+    """The words of all benchmark texts as names, in all documents."""
+    words = testbed.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("store_text"))
+    texts = testbed.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    found = names.names_in(texts, words, "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("store_text")), " ").alias("names"))
+
+
 def _routes(spark, d):
     parts = testbed.table(spark, d, "part")
     a = parts.selectExpr("p_brand as query_id", "p_partkey as id", "row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank")

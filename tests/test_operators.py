@@ -53,7 +53,7 @@ def test_vectors_against_numpy(spark):
 
     x = np.random.default_rng(3).normal(size=(60, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = vectors.search(rows, rows.where("id < 7").select(c("id").alias("query_id"), "v"), 5, block=3).collect()
+    got = vectors.search(rows, rows.where("id < 7").select(c("id").alias("query_id"), "v"), 5, vectors.cells(rows, block=3)).collect()
     for q in range(7):
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == list(np.argsort(-(x @ x[q]), kind="stable")[:5])
 
