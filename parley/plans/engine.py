@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import dialog, fusion, lexical, structured, vectors
-from ..sources.catalog import add_memo, read_memo, with_features
+from ..sources.catalog import with_features
+from ..sources.memo import SCHEMA, Memo
 from ..sources.staging import written
 from .config import Config
 from .replay import evaluate, replay
@@ -135,14 +136,19 @@ class Engine:
         ids = F.transform("candidates", lambda x: x.id)
         asked = state.select("session_id", "query").join(deep, "session_id").select("session_id", X.cache_key(F.lit(self.model), c("query"), ids).alias("key"), ids.alias("ids"), X.prompt(c("query"), c("candidates")).alias("prompt"))
         asked = written(asked, "asked")
-        memo, requests = read_memo(spark, self.memo), asked.drop("session_id").dropDuplicates(["key"])
-        try:
-            answers = written(fusion.rerank(requests, memo, self.scorer), "answers")
-        except Exception:  # whatever a plug-in raises
-            answers = written(fusion.rerank(requests, memo), "answers")
-        if self.memo and self.scorer is not None:
-            fresh = answers.where("ranked is not null").select(*memo.columns).join(memo.select("key"), "key", "left_anti")
-            add_memo(written(fresh, "fresh"), self.memo)
+        requests = asked.drop("session_id").dropDuplicates(["key"])
+        kept = Memo(spark, self.memo) if self.memo else None
+        memo = kept.read() if kept else spark.createDataFrame([], SCHEMA)
+        fresh = None
+        if self.scorer is not None:
+            unknown = requests.where(F.size("ids") > 0).join(memo.select("key"), "key", "left_anti")
+            try:
+                fresh = written(self.scorer(unknown).dropDuplicates(["key"]), "scored")
+            except Exception:  # whatever a plug-in raises; nothing but its own rows is worked out here
+                fresh = None
+        answers = written(fusion.rerank(requests, memo, None if fresh is None else lambda _: fresh), "answers")
+        if kept and fresh is not None:
+            kept.add(answers.where("ranked is not null").join(fresh.select("key"), "key", "left_semi"))
         return asked.select("session_id", "key").join(answers, "key")
 
     def run(self, samples: DataFrame, top_k: int = V.TOP_K) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import nested
 from .functions import text as X
 from .functions import vocabulary as V
 from .operators import dialog, fusion, lexical, metrics, names, structured, vectors
@@ -135,6 +136,19 @@ def feature_values(spark, d):
     return testbed.catalog(spark, d).select(c("ord").alias("p_partkey"), F.array_join(X.feature_values(c("title"), c("features"), c("price")), "|").alias("feature_values"))
 
 
+DETAILS = """concat('{"Brand": "', p_brand, '", "Size": ', p_size, ', "Large": ', case when p_size > 25 then 'true' else 'false' end, ', "Weight": ', p_size, '.50, "Gone": null, "Blank": "", "Empty": [], "Sizes": ["', p_size, '", ', p_size, ', null], "Box": {"of": "', p_type, '", "its": [], "in": {"n": ', p_size, '}}}')"""
+SHOWN_SQL = """
+  'Brand: ' || (j ->> '$.Brand'), 'Size: ' || (j ->> '$.Size'), 'Large: ' || case when (j ->> '$.Large') = 'true' then 'True' else 'False' end, 'Weight: ' || (j ->> '$.Weight')::double,
+  'Sizes: [' || chr(39) || (j ->> '$.Sizes[0]') || chr(39) || ', ' || (j ->> '$.Sizes[1]') || ', None]',
+  'Box: {' || chr(39) || 'of' || chr(39) || ': ' || chr(39) || (j ->> '$.Box.of') || chr(39) || ', ' || chr(39) || 'its' || chr(39) || ': [], ' || chr(39) || 'in' || chr(39) || ': {' || chr(39) || 'n' || chr(39) || ': ' || (j ->> '$.Box.in.n') || '}}'"""
+
+
+@query(f"select p_partkey, concat_ws('|', {SHOWN_SQL}) as flattened from (select p_partkey, {DETAILS}::json as j from part)")
+def flattened_details(spark, d):
+    made = testbed.table(spark, d, "part").selectExpr("p_partkey", f"{DETAILS} as j")
+    return made.select("p_partkey", F.array_join(nested.flattened(c("j")), "|").alias("flattened"))
+
+
 @query("select p_partkey, concat(p_type, ' ', p_brand) as category from part")
 def coarse_category(spark, d):
     return testbed.catalog(spark, d).select(c("ord").alias("p_partkey"), X.coarse_category(c("categories")).alias("category"))

@@ -14,6 +14,7 @@ from parley.plans.config import NAMED, Config
 from parley.plans.engine import Engine
 from parley.plans.replay import replay
 from parley.sources import catalog as S
+from parley.sources.memo import Memo
 from parley.streaming.sessions import advance, session_stream
 
 c = F.col
@@ -133,7 +134,8 @@ def test_reranks_are_remembered(spark, catalog, tmp_path):
     said = samples(spark, tmp_path, [("buying", "A"), ("browsing", "B")])
     first = lambda **parts: {r.session_id: r for r in Engine(catalog, config, **parts).run(said)[1].where("turn = 1").collect()}
     plain, made, kept, failed = first(), first(scorer=backwards, memo=memo), first(memo=memo), first(scorer=broken, memo=str(tmp_path / "none"))
-    assert asked and spark.read.parquet(memo).count() == spark.read.parquet(memo).select("key").distinct().count() >= 1
+    kept_rows = Memo(spark, memo).read()
+    assert asked and kept_rows.count() == kept_rows.select("key").distinct().count() >= 1
     for s in plain:
         n = len(plain[s].recommendations_shown)
         assert made[s].recommendations_shown == plain[s].recommendations_shown[:5][::-1] == kept[s].recommendations_shown or n == 0
