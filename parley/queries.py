@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from .operators import dialog, fusion, lexical, metrics, names, structured, vect
 from .plans import engine, report, simulator, testbed
 from .plans.config import Config
 from .sources.catalog import last_wins, upsert, with_features
-from .sources.staging import written
+from .sources.staging import shared_dir, written
+from .streaming.dialogs import dialog_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,6 +376,32 @@ def dialog_query(spark, d):
     return dialog.dialog_queries(said, "conv_id", "turn", "text")
 
 
+STREAMED_SQL = f"""
+with u as (select conv_id, turn, text, {MATERIAL_SQL} as material, {COLOR_SQL} as color, {SIZE_OF} as size, {BUDGET_OF} as budget, string_agg(text, ' ') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as earlier from conversations where role = 'user'),
+o as (select conv_id, turn, concat_ws(' ', text, text, earlier) as query, material as m, color as c, size as s, budget as b, {{last}}, {{before}} from u)
+select conv_id, turn, query, material, color, size, budget, concat_ws('|', case when old_material <> m then 'material' end, case when old_color <> c then 'color' end, case when old_size <> s then 'size' end, case when old_budget <> b then 'budget' end) as overridden from o"""
+
+
+def _held(rows: str, prefix: str) -> str:
+    return ", ".join(f"last_value({a} ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and {rows}) as {prefix}{a}" for a in V.SLOTS)
+
+
+@query(STREAMED_SQL.replace("{last}", _held("current row", "")).replace("{before}", _held("1 preceding", "old_")))
+def streamed_dialogs(spark, d):
+    """The customers' messages as a stream, their turns as seconds; a row of no session at its end moves the watermark on."""
+    kinds = "array<struct<id:string,values:array<string>>>"
+    at = f"{shared_dir(spark)}/parley/streamed-{uuid.uuid4().hex}"
+    testbed.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text").write.parquet(f"{at}/said")
+    said = spark.readStream.schema("conv_id long, turn long, text string").parquet(f"{at}/said")
+    own = F.struct(c("conv_id").cast("string").alias("session_id"), "turn", F.timestamp_seconds(c("turn") + 1).alias("at"), "text")
+    end = F.struct(F.lit("end").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(1 << 31)).alias("at"), F.lit("").alias("text"))
+    rows = said.select(F.explode(F.array(own, end)).alias("r")).select("r.*", F.lit(None).cast(kinds).alias("shown"))
+    run = dialog_stream(rows, "0 seconds").writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.parquet(f"{at}/rows").where("session_id <> 'end'")
+    return found.select(c("session_id").cast("long").alias("conv_id"), "turn", "query", *V.SLOTS, F.array_join("overridden", "|").alias("overridden"))
+
+
 TURNS_SQL = f"""
 with m as (select p_partkey, {MATERIAL_SQL} as material, {COLOR_SQL} as color, {SIZE_OF} as size, {BUDGET_OF} as budget from {PART}),
 n as (select l_orderkey as session_id, {testbed.TURN}::int as turn, m.* from lineitem join m on l_partkey = p_partkey)"""
