@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .functions import nested
 from .functions import text as X
 from .functions import vocabulary as V
-from .operators import dialog, fusion, lexical, metrics, names, structured, vectors
+from .operators import dialog, fusion, lexical, metrics, names, segments, structured, vectors
 from .plans import engine, report, simulator, testbed
 from .plans.config import Config
-from .sources.catalog import last_wins, upsert, with_features
+from .sources.catalog import last_wins, with_features
+from .sources.keyed import KeyedTable
 from .sources.staging import shared_dir, written
 from .streaming.dialogs import dialog_stream
 
@@ -196,6 +197,20 @@ def lexical_bm25_topk(spark, d):
     return found.select("query_id", c("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(SQL["lexical_bm25_topk"])
+def lexical_bm25_segments(spark, d):
+    """The rows of lexical_bm25_topk by an index that grew: two halves, a deletion, the deleted documents again."""
+    docs, tokens = testbed.table(spark, d, "documents"), lexical.plain_words("text")
+    grown = segments.Segments(spark, f"{shared_dir(spark)}/parley/segments-{uuid.uuid4().hex}")
+    grown.add(docs.where("doc_id % 2 = 0"), "doc_id", tokens)
+    grown.add(docs.where("doc_id % 2 <> 0"), "doc_id", tokens)
+    grown.delete(docs.where("doc_id % 10 = 0").select(c("doc_id").alias("id")))
+    grown.add(docs.where("doc_id % 10 = 0"), "doc_id", tokens)
+    queries = lexical.terms_of(testbed.table(spark, d, "benchmark"), "item_id", tokens)
+    found = lexical.top_k(lexical.index(grown.postings(), grown.stats(), terms=queries), queries, 10)
+    return found.select("query_id", c("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""
 with f as (select p_partkey, {_terms('p_name')} as a, {_terms('p_type')} as b, {_terms('p_brand')} as e from part),
 s as (select count(*) as n, avg(len(a) + len(b) + len(e)) as mean from f),
@@ -569,7 +584,10 @@ def token_usage(spark, d):
 def upsert_rows(spark, d):
     old = testbed.table(spark, d, "part").select("p_partkey", "p_size")
     fresh = testbed.table(spark, d, "orders").selectExpr("-1 - o_orderkey as p_partkey", "0 as p_size")
-    return upsert(old, old.where("p_size % 7 = 0").selectExpr("p_partkey", "-1 as p_size").unionByName(fresh), "p_partkey")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/parley/keyed-{uuid.uuid4().hex}", "p_partkey", old.schema)
+    table.create(old)
+    table.upsert(old.where("p_size % 7 = 0").selectExpr("p_partkey", "-1 as p_size").unionByName(fresh))
+    return table.read()
 
 
 @query("select user_id, min(event_id) as ord, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id")

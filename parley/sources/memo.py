@@ -8,12 +8,12 @@ FOLDERS folders a commit writes the table anew as one.
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .versions import Versions
+
 SCHEMA = "key string, ranked array<string>, prompt_tokens long, completion_tokens long"
 FOLDERS = 16
 
@@ -22,68 +22,33 @@ class Memo:
     """The table at path; none is there before the first commit."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, jvm = spark, path.rstrip("/"), spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), spark._jsc.hadoopConfiguration()) if ":/" in path else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
-        self._system = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.versions = spark, Versions(spark, path)
 
     def latest(self) -> int:
-        """The number of the latest version, 0 before the first."""
-        at = self._path(f"{self.path}/versions")
-        names = [f.getPath().getName() for f in self._system.listStatus(at)] if self._system.exists(at) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
-
-    def folders(self, version: int) -> list[str]:
-        if not version:
-            return []
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version:012d}", wholetext=True).first()[0])
+        return self.versions.latest()
 
     def read(self, version: int | None = None) -> DataFrame:
         """A whole version, the latest unless told."""
-        named = self.folders(self.latest() if version is None else version)
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{n}" for n in named)) if named else self.spark.createDataFrame([], SCHEMA)
-
-    def _written(self, rows: DataFrame) -> str:
-        name = f"data-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        return name
+        return self._of(self.versions.parts(self.latest() if version is None else version))
 
-    def _commit(self, version: int, named: list[str]) -> bool:
-        """Whether version was free and is now this one: a rename that gives way to a file that is there."""
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        draft, final = self._path(f"{self.path}/versions/.{uuid.uuid4().hex}"), self._path(f"{self.path}/versions/{version:012d}")
-        out = self._system.create(draft)
-        out.write(json.dumps(named).encode())
-        out.close()
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = gateway.new_array(kind, 1)
-        options[0] = kind.NONE
-        try:
-            self._files.rename(draft, final, options)
-        except Exception as e:
-            self._system.delete(draft, False)
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
-        return True
+    def _of(self, named: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.versions.path}/{n}" for n in named)) if named else self.spark.createDataFrame([], SCHEMA)
 
     def add(self, answers: DataFrame, tries: int = 20, before: Callable[[], None] = lambda: None) -> int:
         """Commit the answers whose keys are new; the number of the version that has them. before: called before each commit."""
         own = answers.select(*(x.split()[0] for x in SCHEMA.split(", "))).dropDuplicates(["key"])
-        held = self._written(own)
+        held = self.versions.write(own)
         for _ in range(tries):
             version = self.latest()
-            named, rows = self.folders(version), self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{held}")
+            named, new = self.versions.parts(version), held
             if named:
-                fresh = rows.join(self.read(version).select("key"), "key", "left_anti")
+                fresh = self._of([held]).join(self._of(named).select("key"), "key", "left_anti")
                 if not fresh.limit(1).count():
                     return version
                 if len(named) >= FOLDERS:
-                    named, fresh = [], self.read(version).unionByName(fresh)
-                new = self._written(fresh)
-            else:
-                new = held
+                    named, fresh = [], self._of(named).unionByName(fresh)
+                new = self.versions.write(fresh)
             before()
-            if self._commit(version + 1, [*named, new]):
+            if self.versions.commit(version + 1, [*named, new]):
                 return version + 1
-        raise RuntimeError(f"no version of {self.path} could be committed in {tries} tries")
+        raise RuntimeError(f"no version of {self.versions.path} could be committed in {tries} tries")

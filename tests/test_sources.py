@@ -139,6 +139,6 @@ def test_versions_stay_whole_and_are_compacted(spark, tmp_path, monkeypatch):
         reader = memo.read()
         before = reader.count()
         assert memo.add(answers(spark, [(f"k{i}", "x"), ("k0", "x")])) == i + 1
-        assert reader.count() == before == i and memo.read().count() == i + 1 and len(memo.folders(i + 1)) <= 3
-    assert not memo._commit(6, [])
+        assert reader.count() == before == i and memo.read().count() == i + 1 and len(memo.versions.parts(i + 1)) <= 3
+    assert not memo.versions.commit(6, [])
     assert held(memo) == [(f"k{i}", "x") for i in range(6)]
