@@ -4,7 +4,7 @@ fit() takes a bounded sample (rows of a range of id hashes, 16 for each list and
 centroids and the codebooks; every row is indexed. There are about sqrt(N) lists, at most `max_lists`, so lists grow
 no faster than their number. index() gives each vector its list and the codes of its residual. A query searches the
 model's nprobe lists nearest to it, so many as hold the share `recall` of the nearest neighbours within the sample, in
-two passes over the codes; at least so many as hold `at_least` vectors on average:
+two passes over the codes:
 
 1. Asymmetric distances (tables of the query's residual against the codebooks) of all vectors in those lists are
    counted in bins of a fixed width. Summed over all its lists, they say below which distance a query has `rerank`
@@ -85,6 +85,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     return centers
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5 or more and below 1: exact, and no square of it leaves the range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and v (array<double>) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
@@ -104,7 +114,7 @@ def probes_needed(model: Model, x: np.ndarray, recall: float, k: int = 5, querie
     return int(np.quantile(found, recall, method="higher")) + 1 if found.size else 1
 
 
-def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.96, at_least: int = 2000) -> Model | None:
+def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.96) -> Model | None:
     n = vectors.count()
     lists = min(max_lists, math.isqrt(n))
     sample = max(8192, 16 * lists)
@@ -112,8 +122,7 @@ def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int =
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("v").limit(2 * sample).collect() or vectors.select("v").limit(sample).collect()
     if not rows:
         return None
-    x = np.array([r.v for r in rows])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.array([r.v for r in rows]))
     coarse = kmeans(x, lists)
     dim = x.shape[1]
     model = Model(coarse, np.zeros((1, 1, dim)))
@@ -123,7 +132,7 @@ def fit(vectors: DataFrame, max_lists: int = 4096, parts: int = 16, codes: int =
     width = dim // parts
     books = [kmeans(residual[:, p * width : (p + 1) * width], codes, seed=p) for p in range(parts)]
     size = max(map(len, books))
-    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]), min(lists, max(probes_needed(model, x, recall), math.ceil(at_least * lists / n))))
+    return Model(coarse, np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), 0)]) for b in books]), min(lists, probes_needed(model, x, recall)))
 
 
 def index(vectors: DataFrame, model: Model) -> DataFrame:
@@ -133,8 +142,7 @@ def index(vectors: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("v").to_pylist())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(np.array(batch.column("v").to_pylist()))
             own = model.nearest_lists(x, 1)[:, 0]
             codes = model.codes(x - model.coarse[own])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"])
@@ -149,8 +157,7 @@ def probes(queries: DataFrame, model: Model, nprobe: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("v").to_pylist())
-            lists = model.nearest_lists(x / np.linalg.norm(x, axis=1, keepdims=True), nprobe)
+            lists = model.nearest_lists(unit(np.array(batch.column("v").to_pylist())), nprobe)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
 
     return queries.mapInArrow(run, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
@@ -158,6 +165,7 @@ def probes(queries: DataFrame, model: Model, nprobe: int) -> DataFrame:
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, so that equal vectors give equal numbers wherever they stand."""
+    q, x = scaled(q), scaled(x)
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
@@ -180,7 +188,7 @@ class Block:
     def bins(self, query_ids: list[int], q: np.ndarray) -> np.ndarray:
         """For each query the bin of each row's distance; a negative one for rows with the query's own id."""
         self.close()
-        residuals = q / np.linalg.norm(q, axis=1, keepdims=True) - self.model.coarse[self.at[0]]
+        residuals = unit(q) - self.model.coarse[self.at[0]]
         far = (self.model.distances(residuals, self.codes) * BINS).astype(np.int64)
         far[np.array(query_ids)[:, None] == self.ids] = -1
         return far

@@ -264,3 +264,24 @@ def test_codes_prune_what_is_compared(spark):
         hits += len(set(rows.sort_values("score").id.tail(5)) & set(np.argsort(-score, kind="stable")[:5].tolist()))
     assert len(each) == 100 and hits >= 0.9 * 500
     assert each.compared.sum().max() < 25_000  # of each block's count this adds up to five times as much
+
+
+def test_vectors_of_extreme_size_are_searched_like_others(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(260, 8))
+    x[200:] *= np.repeat([1e-200, 1e200, 1e-310, 1e150, 1.0, 1e-150], 10)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, [1e-320] * 8), (301, [1e200] * 8), (302, [1e308, -1e308] * 4), (303, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1e300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: np.array([c / max(map(abs, e)) for c in e]) for i, e in rows}
+    v = {i: e / np.linalg.norm(e) for i, e in v.items()}
+    got = {}
+    for r in ann.search(table, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    asked = [i for i in v if i % 20 == 0]
+    assert set(got) == set(asked) and all(len(found) == 5 for found in got.values())
+    hits = 0
+    for q in asked:
+        for _, i, score in got[q]:
+            assert abs(score - v[q] @ v[i]) < 1e-9
+        hits += len(set(sorted((i for i in v if i != q), key=lambda i: (-(v[q] @ v[i]), i))[:5]) & {i for _, i, _ in got[q]})
+    assert hits >= 0.9 * 5 * len(asked)
