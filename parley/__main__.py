@@ -32,6 +32,8 @@ def parsed(args: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--agent-kwargs", default="{}", help="JSON of its further arguments")
     parser.add_argument("--embeddings", help="a table that embed wrote")
     parser.add_argument("--embed", default="parley.functions.hashing:embed", help="module:function from texts to vectors")
+    parser.add_argument("--batch-size", type=int, default=256, help="texts that embed gives the embedder at a time")
+    parser.add_argument("--tasks", type=int, help="in how many tasks embed works, as many as the catalog has unless told")
     parser.add_argument("--scorer", help="module:function that re-ranks a table of requests")
     parser.add_argument("--model", default="default", help="the name of the scorer's model, part of the memo's keys")
     parser.add_argument("--memo", help="a table of re-ranker's answers, read and added to")
@@ -59,7 +61,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     catalog = read_catalog(spark, a.catalog)
     if a.command == "embed":
-        write_embeddings(with_features(catalog), a.embeddings or "embeddings", load(a.embed))
+        write_embeddings(with_features(catalog), a.embeddings or "embeddings", load(a.embed), a.batch_size, a.tasks)
         return
     samples = read_samples(spark, a.dataset)
     results, transcript = replay(stepper(spark, a, catalog), catalog, samples, a.k if a.command == "probe" else V.TOP_K)

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+#: Bytes of a table that may be one row group, which one task reads, though its rows are work for all cores.
+SPREAD = range(4 << 20, 64 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one small enough to be a single task's is dealt out to all cores, larger ones have tasks enough."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size in SPREAD else rows
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

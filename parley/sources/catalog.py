@@ -141,8 +141,11 @@ def read_embeddings(spark: SparkSession, path: str, catalog: DataFrame | None =
     return index
 
 
-def write_embeddings(catalog: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> None:
-    """Embed dense_text of each product in batches, on the executors, and write id, ord, embedding."""
+def write_embeddings(catalog: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256, tasks: int | None = None) -> None:
+    """Embed dense_text of each product in batches, on the executors, and write id, ord, embedding.
+
+    tasks: in how many tasks, as many as the catalog has unless told.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,6 +154,7 @@ def write_embeddings(catalog: DataFrame, path: str, embed: Callable[[list[str]],
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(embed(part.column(2).to_pylist()), pa.list_(pa.float32()))], ["id", "ord", "embedding"])
 
     texts = catalog.select(F.col("parent_asin").alias("id"), F.col("ord").cast("long").alias("ord"), "dense_text")
+    texts = texts.repartition(tasks) if tasks else texts
     texts.mapInArrow(run, "id string, ord long, embedding array<float>").write.mode("overwrite").parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from parley.plans.agent import Plugged
 from parley.plans.config import NAMED, Config
 from parley.plans.engine import Engine
 from parley.plans.replay import replay
+from parley.plans.scorer import calling
 from parley.sources import catalog as S
 from parley.sources.memo import Memo
 from parley.streaming.sessions import advance, session_stream
@@ -189,3 +191,44 @@ def test_terms_of_slots(spark):
     said = spark.createDataFrame([(1, 1, "black please"), (1, 2, "under $50, leather"), (1, 3, "red"), (2, 1, "")], "session_id long, turn long, text string")
     got = {(r.session_id, r.turn): r.terms for r in dialog.query_terms(said).collect()}
     assert got == {(1, 1): ["black"], (1, 2): ["black", "leather", "50.0"], (1, 3): ["red", "leather", "50.0"], (2, 1): []}
+
+
+def requests(spark, n=6):
+    return spark.createDataFrame([(f"k{i}", ["A", "B"] if i else [], f"prompt {i}") for i in range(n)], "key string, ids array<string>, prompt string").coalesce(1)
+
+
+def test_services_are_asked_lazily_and_again(spark, tmp_path):
+    made = tmp_path / "made"
+
+    def client():
+        with open(made, "a") as out:
+            out.write("x")
+        seen = set()
+
+        def ask(prompt, ids):
+            n = int(prompt.split()[1])
+            if n == 1 and prompt not in seen:
+                seen.add(prompt)
+                raise ConnectionError
+            if n == 2:
+                raise ConnectionError
+            if n == 3:
+                time.sleep(5)
+            return ("no list" if n == 4 else list(reversed(ids))), 42, None
+
+        return ask
+
+    began = time.monotonic()
+    rows = {r.key: r for r in calling(client, attempts=2, seconds=0.5)(requests(spark)).collect()}
+    assert set(rows) == {"k1", "k5"} and rows["k1"].ranked == ["B", "A"] and (rows["k5"].prompt_tokens, rows["k5"].completion_tokens) == (42, 0)
+    assert made.read_text() == "x" and time.monotonic() - began < 30
+    assert calling(client)(requests(spark, 1)).count() == 0 and made.read_text() == "x"
+
+
+def test_services_that_are_not_there_answer_nothing(spark, tmp_path):
+    def missing():
+        with open(tmp_path / "tried", "a") as out:
+            out.write("x")
+        raise KeyError("no key")
+
+    assert calling(missing)(requests(spark)).count() == 0 and (tmp_path / "tried").read_text() == "x"
