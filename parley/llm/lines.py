@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import shared
 from .components import components
-from .setbits import allowed, differ, parity
+from .setbits import allowed, differ
 
 SPACE = " \t\n\v\f\r"
 SHINGLE, ROWS, BANDS = 5, 5, 13
@@ -63,6 +63,35 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     return h, starts, np.where(short, starts + 1, ends - shingle + 1)
 
 
+#: Bits of a shingle's hash that tell it from others of its line; the rest of 64 number the lines that go together.
+OWN = 54
+
+
+def distinct_shingles(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The distinct shingles of each of at most 1024 lines, by line: its number above OWN bits of the hash."""
+    n = stops - starts
+    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(n) - n), n)
+    keys = np.sort((line << np.uint64(OWN)) | (h[at] & np.uint64((1 << OWN) - 1)))
+    return keys[np.append(True, keys[1:] != keys[:-1])]
+
+
+def sizes_of(keys: np.ndarray, lines: int) -> np.ndarray:
+    """How many of distinct_shingles each line has."""
+    return np.bincount((keys >> np.uint64(OWN)).astype(np.int64), minlength=lines)
+
+
+def heads_of(keys: np.ndarray, lines: int) -> list[bytes]:
+    """For Line: size, slots and parity (as setbits.parity gives it) of each line's distinct_shingles, counted for all lines at once."""
+    size = sizes_of(keys, lines)
+    slots = np.clip(1 << np.ceil(np.log2(size)).astype(np.int64), 64, 1 << 13)
+    begin = np.cumsum(slots) - slots
+    line = (keys >> np.uint64(OWN)).astype(np.int64)
+    slot = begin[line] + (keys & (slots[line] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(slot, minlength=int(slots.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [struct.pack("<IH", n, k) + bits[b // 8 : (b + k) // 8].tobytes() for n, k, b in zip(size.tolist(), slots.tolist(), begin.tolist(), strict=True)]
+
+
 def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """The MinHash signature of each line, from its shingles' hashes: len(starts) by rows * bands least hashes."""
     h32, total = (h >> np.uint64(32)).astype(np.uint32), len(h)
@@ -130,13 +159,9 @@ def comparable(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                part, heads = batch.slice(i, 500), []
+                part = batch.slice(i, 500)
                 lines = part.column(1).to_pylist()
-                h, starts, stops = shingle_hashes(lines, SHINGLE)
-                for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-                    grams = np.unique(h[a:b])
-                    bits = parity(grams)
-                    heads.append(struct.pack("<IH", len(grams), 8 * len(bits)) + bits)
+                heads = heads_of(distinct_shingles(*shingle_hashes(lines, SHINGLE)), len(lines))
                 data = [x.encode("utf-8", "surrogatepass") for x in lines]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["row", "head", "data"])
 
@@ -162,7 +187,7 @@ def signed_lines(numbered: DataFrame) -> DataFrame:
                 nodes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
                 hashed = [shingle_hashes(lines[k : k + 500], SHINGLE) for k in range(0, len(lines), 500)]
                 keys = band_keys(np.concatenate([signatures(*x) for x in hashed]))
-                sizes = [min(len(np.unique(h[a:b])), 65535) for h, starts, stops in hashed for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                sizes = np.minimum(np.concatenate([sizes_of(distinct_shingles(*x), len(x[1])) for x in hashed]), 65535)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 where = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(number, pa.int32()), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), bands], ["__row", "__id", "line", "node", "size", "bands"])

@@ -3,6 +3,7 @@
 import functools
 import itertools
 import random
+import struct
 import zlib
 from array import array
 
@@ -357,6 +358,18 @@ def test_dictionary_is_of_spans_from_anywhere(spark):
     assert any(i.to_bytes(4, "little") in token_store.train_dictionary(docs, "doc_id", "text", BPE, 4, dict_bytes=1 << 26)[-(1 << 10) :] for i in ids)
 
 
+def test_sizes_and_parities_of_many_lines_at_once():
+    rng = random.Random(12)
+    some = ["a", "ab", "abcde", "ab" * 3, "x" * 5000, "é日" * 700, prose(rng, 3000)] + [prose(rng, rng.randint(1, 60)) for _ in range(300)]
+    h, starts, stops = lines.shingle_hashes(some, 5)
+    keys = lines.distinct_shingles(h, starts, stops)
+    heads, sizes = lines.heads_of(keys, len(some)), lines.sizes_of(keys, len(some))
+    for a, b, head, size in zip(starts.tolist(), stops.tolist(), heads, sizes.tolist(), strict=True):
+        grams = np.unique(h[a:b])
+        bits = setbits.parity(grams)
+        assert size == len(grams) and head == struct.pack("<IH", len(grams), 8 * len(bits)) + bits
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack(odd, BPE, capacity=64).collect()
     by = {}
