@@ -17,8 +17,8 @@ CONSTRAINT_CLASSES = {
     "use_case": ("hiking", "running", "gym", "winter", "outdoor", "work"),
 }
 #: Patterns of a budget that is mentioned, of its amount, and of sizes.
-BUDGET_MENTION = r"(\$|<=|under)\s*[0-9]"
-BUDGET_AMOUNT = r"\$\s?([0-9]+(\.[0-9]+)?)"
+BUDGET_MENTION = r"(\$|<=|under)\s*\d"
+BUDGET_AMOUNT = r"\$\s?(\d+(?:\.\d+)?)"
 SIZE = r"\b(xx-?small|xx-?large|x-?small|x-?large|small|medium|large|xxs|xs|s|m|l|xl|xxl|size\s+\d{1,2}(?:\.\d)?|\d{1,2}(?:\.\d)?\s*(?:us|uk|eu))\b"
 
 #: Words that a fielded search leaves out.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.staging import bounded, written
+from ..sources.staging import bounded, scratch, written
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,8 @@ def plain_words(column: str) -> Column:
     return X.words(F.col(column))
 
 
-#: Postings of a block, documents of a part, queries that meet a part at a time.
-BLOCK, PART, QUERIES = 64, 8192, 2048
+#: Postings of a block, documents of a part, terms of the queries that meet a part at a time.
+BLOCK, PART, TERMS = 64, 8192, 65_536
 #: The share of parts that are searched first, as one in so many.
 FIRST = 8
 #: Scores are compared with the bar at this distance, as they are ranked at nine places.
@@ -120,12 +120,14 @@ def index(posted: DataFrame, stats: DataFrame, form: Bm25 = PLAIN, terms: DataFr
     n, mean = stats.select("n", "mean").first()
     tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, -(-n // part_docs), min(2 * tasks, n // 512))
-    kept = posted if terms is None else posted.join(bounded(written(terms.select("term").distinct(), "terms"), 40), "term", "left_semi")
-    gained = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "term", F.struct(form.gain(F.col("tf"), F.col("dl"), F.lit(float(mean or 1))).alias("gain"), "id").alias("p"))
-    whole = gained.groupBy("part", "term").agg(F.sort_array(F.collect_list("p"), asc=False).alias("p"))
-    starts = F.sequence(F.lit(1), F.size("p"), F.lit(block))
-    cut = whole.select("part", "term", F.explode(F.transform(starts, lambda i: F.slice("p", i, F.lit(block)))).alias("p"))
-    return Index(written(cut.select("part", "term", F.col("p")[0].gain.alias("top"), F.col("p.id").alias("ids"), F.col("p.gain").alias("gains")), "blocks"), n, parts, form)
+    with scratch():
+        kept = posted if terms is None else posted.join(bounded(written(terms.select("term").distinct(), "terms"), 40), "term", "left_semi")
+        gained = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "term", F.struct(form.gain(F.col("tf"), F.col("dl"), F.lit(float(mean or 1))).alias("gain"), "id").alias("p"))
+        whole = gained.groupBy("part", "term").agg(F.sort_array(F.collect_list("p"), asc=False).alias("p"))
+        starts = F.sequence(F.lit(1), F.size("p"), F.lit(block))
+        cut = whole.select("part", "term", F.explode(F.transform(starts, lambda i: F.slice("p", i, F.lit(block)))).alias("p"))
+        blocks = written(cut.select("part", "term", F.col("p")[0].gain.alias("top"), F.col("p.id").alias("ids"), F.col("p.gain").alias("gains")), "blocks", lasting=True)
+    return Index(blocks, n, parts, form)
 
 
 def _best_of_part(blocks: pa.Table, asked: pa.Table, k: int) -> pa.Table:
@@ -193,7 +195,7 @@ def parts_found(made: Index, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     df = made.blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
     weighed = written(asked.join(df, "term").select("query_id", "term", (F.col("times") * made.form.idf_of(F.lit(made.n), F.col("df"))).alias("weight")), "weights")
-    n = max(1, -(-weighed.select("query_id").distinct().count() // QUERIES))
+    n = max(1, -(-weighed.count() // TERMS))
     weighed = weighed.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     first = F.col("part") < math.ceil(made.parts / FIRST)
     seen = _searched(made, first, weighed.withColumn("bar", F.lit(0.0)), k)

@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import fusion, lexical
 from ..sources.catalog import read_catalog
-from ..sources.staging import written
+from ..sources.staging import scratch, written
 from .config import Config
 from .engine import Engine
 
@@ -36,7 +36,8 @@ class Agent:
         if session_id not in self.states:
             raise RuntimeError("reset must come before respond")
         state = self.states[session_id]
-        done = written(self.engine.step(state.withColumn("message", F.lit(user_message or "")), turn, top_k), "reply")
+        with scratch():
+            done = written(self.engine.step(state.withColumn("message", F.lit(user_message or "")), turn, top_k), "reply", lasting=True)
         self.states[session_id] = done.select(*state.columns)
         row = done.first()
         return {

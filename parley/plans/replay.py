@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import metrics
-from ..sources.staging import written
+from ..sources.staging import scratch, written
 from . import simulator
 
 
@@ -33,7 +33,8 @@ def replay(stepper: Stepper, catalog: DataFrame, samples: DataFrame, top_k: int
     keep, transcript = state.columns, None
     for turn in range(1, V.MAX_TURNS + 1):
         place = F.array_position(c("final"), c("target"))
-        done = written(stepper.step(state, turn, top_k).withColumn("turn", F.lit(turn)).withColumn("place", F.when(c("applied") & (place > 0), place)), "turn")
+        with scratch():
+            done = written(stepper.step(state, turn, top_k).withColumn("turn", F.lit(turn)).withColumn("place", F.when(c("applied") & (place > 0), place)), "turn", lasting=True)
         said = done.select("session_id", "scenario_type", "target", "turn", c("message").alias("user_message"), c("reply").alias("message"), "ask_attribute", F.slice("final", 1, V.TOP_K).alias("recommendations_shown"), F.size("final").alias("candidate_pool_size"), (place > 0).alias("target_in_candidate_pool"), F.array_contains(F.slice("final", 1, V.TOP_K), c("target")).alias("target_in_shown_top10"), "place", "prompt_tokens", "completion_tokens")
         transcript = said if transcript is None else transcript.unionByName(said)
         live = done.where(c("place").isNull() | (c("place") > V.TOP_K))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import bounded, written
+from .staging import bounded, scratch, written
 from .versions import Versions
 
 
@@ -39,8 +39,10 @@ class KeyedTable:
 
     def create(self, rows: DataFrame, file_rows: int = 1_000_000) -> int:
         """The first version; keys are integers or strings."""
-        held = written(rows, "created")
-        if not self.versions.commit(1, self._written(held, -(-held.count() // file_rows))):
+        with scratch():
+            held = written(rows, "created")
+            made = self._written(held, -(-held.count() // file_rows))
+        if not self.versions.commit(1, made):
             raise RuntimeError(f"there is a table at {self.versions.path}")
         return 1
 
@@ -56,8 +58,11 @@ class KeyedTable:
 
     def upsert(self, new: DataFrame, file_rows: int = 1_000_000, tries: int = 20) -> tuple[int, int]:
         """Rows of new, and those of the table whose key new has not: the next version and how many files it rewrote."""
-        new = written(new.select(*(f.name for f in self.read().schema)), "upserted")
-        keys = written(new.select(self.key).distinct(), "keys")
+        with scratch():
+            new = written(new.select(*(f.name for f in self.read().schema)), "upserted")
+            return self._upserted(new, written(new.select(self.key).distinct(), "keys"), file_rows, tries)
+
+    def _upserted(self, new: DataFrame, keys: DataFrame, file_rows: int, tries: int) -> tuple[int, int]:
         for _ in range(tries):
             version = self.versions.latest()
             files = self.versions.parts(version)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import vocabulary as V
 
 SIZE = re.compile(V.SIZE, re.I)
-AMOUNT = re.compile(V.BUDGET_AMOUNT)
+AMOUNT = re.compile(V.BUDGET_AMOUNT, re.A)
 OUT = "session_id string, turn long, query string, material string, color string, size string, budget double, overridden array<string>"
 STATE = "messages array<string>, material string, color string, size string, budget double"
 

@@ -142,3 +142,22 @@ def test_versions_stay_whole_and_are_compacted(spark, tmp_path, monkeypatch):
         assert reader.count() == before == i and memo.read().count() == i + 1 and len(memo.versions.parts(i + 1)) <= 3
     assert not memo.versions.commit(6, [])
     assert held(memo) == [(f"k{i}", "x") for i in range(6)]
+
+
+def test_scratch_tables_go_and_lasting_ones_stay(spark, tmp_path):
+    from parley.sources.staging import scratch, written
+
+    rows, found = spark.range(5), {}
+    path = lambda df: df.inputFiles()[0]
+    there = lambda name: any(spark._jvm.java.io.File(p.removeprefix("file:")).exists() for p in [found[name]])
+    with scratch():
+        with scratch():
+            found["inner"] = path(written(rows, "inner"))
+            inner = written(rows, "last", lasting=True)
+            found["last"] = path(inner)
+        assert not there("inner") and there("last") and inner.count() == 5
+        outer = written(inner, "outer", lasting=True)
+        found["outer"] = path(outer)
+    assert not there("last") and there("outer") and outer.count() == 5
+    found["free"] = path(written(rows, "free"))
+    assert there("free")
