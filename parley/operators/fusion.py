@@ -24,7 +24,7 @@ def fuse(routes: Sequence[DataFrame], weights: Sequence[float], k: int = 60) ->
         part = route.select("query_id", "id", F.lit(i).alias("route"), "rank", (F.lit(float(w)) / (k + F.col("rank"))).alias("s"))
         every = part if every is None else every.unionByName(part)
     of_route = [F.max(F.when(F.col("route") == i, F.col("s"))).alias(f"s{i}") for i, _, _ in used]
-    one = every.groupBy("query_id", "id").agg(*of_route, F.min(F.struct("route", "rank")).alias("seen"))
+    one = every.repartition("query_id").groupBy("query_id", "id").agg(*of_route, F.min(F.struct("route", "rank")).alias("seen"))
     total = sum((F.coalesce(f"s{i}", F.lit(0.0)) for i, _, _ in used[1:]), F.coalesce(f"s{used[0][0]}", F.lit(0.0)))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
     return one.select("query_id", "id", total.alias("score"), "seen").withColumn("rank", F.row_number().over(by)).drop("seen")

@@ -115,11 +115,10 @@ class Index:
 def index(posted: DataFrame, stats: DataFrame, form: Bm25 = PLAIN, terms: DataFrame | None = None, part_docs: int = PART, block: int = BLOCK) -> Index:
     """posted: id, term, tf, dl; stats: as corpus_stats gives it; terms: only those of this table are kept.
 
-    Few documents are dealt into as many parts as keep the shuffle's tasks busy, of 512 documents at least.
+    Few documents are dealt into as many parts as keep all cores busy, of 512 documents at least.
     """
     n, mean = stats.select("n", "mean").first()
-    tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-n // part_docs), min(2 * tasks, n // 512))
+    parts = max(1, -(-n // part_docs), min(8 * posted.sparkSession.sparkContext.defaultParallelism, n // 512))
     with scratch():
         kept = posted if terms is None else posted.join(bounded(written(terms.select("term").distinct(), "terms"), 40), "term", "left_semi")
         gained = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "term", F.struct(form.gain(F.col("tf"), F.col("dl"), F.lit(float(mean or 1))).alias("gain"), "id").alias("p"))
@@ -131,51 +130,78 @@ def index(posted: DataFrame, stats: DataFrame, form: Bm25 = PLAIN, terms: DataFr
 
 
 def _best_of_part(blocks: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    """The k best of a part for each query, with the numbers of blocks that it scored and that it met."""
+    """The k best of a part for each query, with the numbers of blocks that it scored and that it met.
+
+    The blocks of a term lie together by falling top, so what a query leaves out of a term is one run at its end.
+    """
+    blocks = blocks.take(pc.sort_indices(blocks, sort_keys=[("term", "ascending"), ("top", "descending")]))
     flat = blocks["ids"].combine_chunks().flatten().dictionary_encode()
     codes, names = flat.indices.to_numpy(), flat.dictionary
     place = np.empty(len(names), np.int64)
     place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
     gains = blocks["gains"].combine_chunks().flatten().to_numpy()
-    ends = np.cumsum(pc.list_value_length(blocks["ids"]).to_numpy())
-    held: dict[str, list[tuple[float, int, int]]] = {}
-    for term, top, begin, end in zip(blocks["term"].to_pylist(), blocks["top"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        held.setdefault(term, []).append((top, begin, end))
+    tops, ends = blocks["top"].to_numpy(), np.cumsum(pc.list_value_length(blocks["ids"]).to_numpy())
+    terms = blocks["term"].to_pylist()
+    cuts = [i for i in range(len(terms) + 1) if i in (0, len(terms)) or terms[i] != terms[i - 1]]
+    held = {terms[i]: (i, j, int(ends[i - 1]) if i else 0, int(ends[j - 1])) for i, j in zip(cuts, cuts[1:], strict=False)}
+    filled: dict[str, np.ndarray] = {}  # the gains of terms that most documents have, one for each document
+
+    def whole(term: str, begin: int, end: int) -> np.ndarray:
+        if term not in filled:
+            filled[term] = np.zeros(len(names))
+            filled[term][codes[begin:end]] = gains[begin:end]
+        return filled[term]
+
     queries: dict[object, tuple[float, list[tuple[str, float]]]] = {}
     for row in asked["asked"].to_pylist():
         for t in row:
             if t["term"] in held:
                 queries.setdefault(t["query_id"], (t["bar"], []))[1].append((t["term"], t["weight"]))
     out = []
-    for query_id, (bar, terms) in queries.items():
-        units = sorted((w * top, term, w, begin, end) for term, w in terms for top, begin, end in held[term])
-        skipped: dict[str, float] = {}
-        most, n = 0.0, 0
-        for bound, term, *_ in units:
-            more = bound - skipped.get(term, 0.0)
-            if most + more >= bar - NEAR:
-                break
-            most, n = most + more, n + 1
-            skipped[term] = bound
-        total, rest = np.zeros(len(names)), np.full(len(names), most)
-        for _, term, w, begin, end in units[n:]:
-            total[codes[begin:end]] += w * gains[begin:end]
-            rest[codes[begin:end]] -= skipped.get(term, 0.0)
-        able = total > 0
-        if able.sum() > k:
-            bar = max(bar, np.partition(total, -k)[-k])
-        able &= total + rest >= bar - NEAR
-        for _, _, w, begin, end in units[:n] if able.any() else ():
-            some = able[codes[begin:end]]
-            total[codes[begin:end][some]] += w * gains[begin:end][some]
-        found = np.flatnonzero(able)
+    for query_id, (bar, own) in queries.items():
+        own.sort()
+        met = sum(held[term][1] - held[term][0] for term, _ in own)
+        left, most, n = [0] * len(own), 0.0, 0
+        if bar > NEAR:
+            bounds = [w * tops[held[term][0] : held[term][1]][::-1] for term, w in own]
+            rises = np.concatenate([np.diff(x, prepend=0.0) for x in bounds])
+            order = np.argsort(np.concatenate(bounds), kind="stable")
+            so_far = np.cumsum(rises[order])
+            n = int(np.searchsorted(so_far, bar - NEAR))
+            if n:
+                most = float(so_far[n - 1])
+                left = np.bincount(np.repeat(np.arange(len(own)), [len(x) for x in bounds])[order[:n]], minlength=len(own)).tolist()
+        total, rest, runs = np.zeros(len(names)), None, []
+        for (term, w), less in zip(own, left, strict=True):
+            i, j, begin, end = held[term]
+            stop = end if not less else begin if less == j - i else int(ends[j - less - 1])
+            if less:
+                rest = np.full(len(names), most) if rest is None else rest
+                rest[codes[begin:stop]] -= w * tops[j - less]
+                runs.append((w, stop, end))
+            if stop == end and 2 * (end - begin) > len(names):
+                total += w * whole(term, begin, end)
+            else:
+                total[codes[begin:stop]] += w * gains[begin:stop]
+        reach = total if rest is None else total + rest
+        found = np.flatnonzero((total > 0) & (reach >= bar - NEAR))
+        if len(found) > k:
+            bar = max(bar, np.partition(total[found], -k)[-k])
+            found = found[reach[found] >= bar - NEAR]
+        if len(found) and runs:
+            able = np.zeros(len(names), bool)
+            able[found] = True
+            for w, stop, end in runs:
+                some = able[codes[stop:end]]
+                total[codes[stop:end][some]] += w * gains[stop:end][some]
         found = found[np.lexsort((place[found], -np.round(total[found], 9)))[:k]]
-        out.append((query_id, len(units) - n, len(units), names.take(pa.array(found)), total[found]))
-    ids = pa.array([x[3].to_pylist() for x in out], pa.list_(names.type))
-    return pa.table([pa.array([x[0] for x in out], asked["asked"].type.value_type.field("query_id").type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), ids, pa.array([x[4].tolist() for x in out], pa.list_(pa.float64()))], ["query_id", "scored", "met", "ids", "scores"])
+        out.append((query_id, met - n, met, found, total[found]))
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[3]) for x in out)]), pa.int32()), names.take(pa.array(np.concatenate([x[3] for x in out]) if out else [], pa.int64())))
+    scores = pa.ListArray.from_arrays(ids.offsets, pa.array(np.concatenate([x[4] for x in out]) if out else [], pa.float64()))
+    return pa.table([pa.array([x[0] for x in out], asked["asked"].type.value_type.field("query_id").type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), ids, scores], ["query_id", "scored", "met", "ids", "scores"])
 
 
-def _searched(made: Index, parts: Column, asked: DataFrame, k: int) -> DataFrame:
+def _searched(made: Index, parts: Column, asked: DataFrame, k: int, blocks_of_queries: int) -> DataFrame:
     """What the parts found: query_id, scored, met, ids, scores. asked: query_id, term, weight, bar, b."""
     asked = written(asked, "asked")
     needed = bounded(written(asked.select("b", "term").distinct(), "needed"), 48)
@@ -187,6 +213,9 @@ def _searched(made: Index, parts: Column, asked: DataFrame, k: int) -> DataFrame
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _best_of_part(left, right, k)
 
+    # few bytes are much work here, so tasks are given by number and not left to be merged by size
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks_of_queries * made.parts)
+    rows, dealt = (x.repartition(tasks, "b", "part") for x in (rows, dealt))
     return written(rows.groupBy("b", "part").cogroup(dealt.groupBy("b", "part")).applyInArrow(best, f"query_id {q}, scored long, met long, ids array<{i}>, scores array<double>"), "found")
 
 
@@ -198,14 +227,14 @@ def parts_found(made: Index, queries: DataFrame, k: int) -> DataFrame:
     n = max(1, -(-weighed.count() // TERMS))
     weighed = weighed.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     first = F.col("part") < math.ceil(made.parts / FIRST)
-    seen = _searched(made, first, weighed.withColumn("bar", F.lit(0.0)), k)
+    seen = _searched(made, first, weighed.withColumn("bar", F.lit(0.0)), k, n)
     if made.parts == 1:
         return seen
     each = seen.select("query_id", F.explode("scores").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"))
     bars = each.withColumn("n", F.row_number().over(place)).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))
     barred = weighed.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-    return seen.unionByName(_searched(made, ~first, barred, k))
+    return seen.unionByName(_searched(made, ~first, barred, k, n))
 
 
 def top_k(made: Index, queries: DataFrame, k: int) -> DataFrame:

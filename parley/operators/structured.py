@@ -13,6 +13,8 @@ below that are not read. What is read is scored exactly. Queries with the same c
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +101,33 @@ def nodes_in(ranges: DataFrame) -> DataFrame:
 LIST = ["words", "store", "kind", "level", "node"]
 
 
-def lists(products: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The first k products of each asked node of each list. asked: LIST, distinct and written down."""
+@dataclass(frozen=True)
+class Shelf:
+    """What searches to the k-th place need of products, whatever is asked, written down.
+
+    rows: of those with the same words, store and price the first k; words: word, words of each list that has it;
+    stores; priced: whether any has a price above 0.
+    """
+
+    rows: DataFrame
+    words: DataFrame
+    stores: DataFrame
+    priced: bool
+    k: int
+
+
+def shelf(products: DataFrame, k: int) -> Shelf:
+    alike = Window.partitionBy("marks", "store_text", "price").orderBy("ord")
+    rows = written(marked(products).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n"), "marked")
+    words = rows.select("marks").distinct().select(F.concat(F.lit("="), F.array_join("marks", "|")).alias("words"), F.explode("marks").alias("word"))
+    stores = rows.select("store_text").distinct().where("store_text <> ''")
+    return Shelf(rows, written(words, "words"), written(stores, "stores"), rows.where("price > 0").limit(1).count() > 0, k)
+
+
+def lists(first: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The first k products of each asked node of each list. first: rows of a shelf; asked: LIST, distinct and written down."""
     any_ = F.lit("*")
     words, store = F.concat(F.lit("="), F.array_join("marks", "|")), F.concat(F.lit("="), "store_text")
-    alike = Window.partitionBy("marks", "store_text", "price").orderBy("ord")
-    first = products.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n")
     keys = F.array(*(F.struct(w.alias("words"), s.alias("store")) for w, s in ((words, any_), (words, store), (any_, store), (any_, any_))))
     wanted = bounded(written(asked.select("words", "store").distinct(), "lists"), 100)
     dealt = first.select("*", F.explode(keys).alias("key")).select("*", "key.*").drop("key").join(wanted, ["words", "store"], "left_semi")
@@ -130,31 +153,31 @@ def bars(counted: DataFrame, k: int) -> DataFrame:
     return each.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("key").agg(F.max("least").alias("bar"))
 
 
-def search(products: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search(products: DataFrame, queries: DataFrame, k: int, made: Shelf | None = None) -> DataFrame:
     """query_id, id, score, rank. products: id, ord, match_text, store_text, price; queries: query_id, text.
 
+    made: the shelf of the products to k, if there is one from an earlier search.
+
     A query without material, colour and budget has no rows. Ties go by ord. A budget of 0 against a priced product
     has no answer: such a query has no rows either.
     """
     c = F.col
     asked = queries.select("query_id", constraints(c("text")).alias("c")).where(has_any(c("c"))).select("query_id", "c.*")
-    stores = products.select("store_text").distinct().where("store_text <> ''")
-    named = names_in(asked, stores).groupBy("query_id").agg(F.array_sort(F.collect_set("store_text")).alias("stores"))
+    made = made if made is not None and made.k == k else shelf(products, k)
+    named = names_in(asked, made.stores).groupBy("query_id").agg(F.array_sort(F.collect_set("store_text")).alias("stores"))
     keyed = asked.drop("low").join(named, "query_id", "left").withColumn("stores", F.coalesce("stores", F.array().cast("array<string>")))
-    priced = F.lit(products.where("price > 0").limit(1).count() > 0)
+    priced = F.lit(made.priced)
     keyed = keyed.where(~(F.coalesce(c("budget") == 0, F.lit(False)) & priced)).withColumn("key", F.sha2(F.to_json(F.struct("materials", "colors", "budget", "stores")), 256))
     keyed = written(keyed, "constraints")
     sets = keyed.select("key", F.concat("materials", "colors").alias("asked_words"), "budget", "stores").distinct()
-    rows = written(marked(products), "marked")
-    wordings = rows.select("marks").distinct().select(F.concat(F.lit("="), F.array_join("marks", "|")).alias("words"), F.explode("marks").alias("word"))
-    by_words = sets.select("key", F.explode("asked_words").alias("word")).join(wordings, "word").groupBy("key", "words").agg(F.count("*").cast("double").alias("c"))
+    by_words = sets.select("key", F.explode("asked_words").alias("word")).join(made.words, "word").groupBy("key", "words").agg(F.count("*").cast("double").alias("c"))
     every = by_words.unionByName(sets.select("key", F.lit("*").alias("words"), F.lit(0.0).alias("c")))
     told = every.join(sets.select("key", "budget", "stores"), "key")
     any_store = F.array(F.struct(F.lit("*").alias("store"), c("c").alias("c")))
     each = told.select("key", "words", "budget", F.explode(F.concat(any_store, F.transform("stores", lambda s: F.struct(F.concat(F.lit("="), s).alias("store"), (c("c") + 1).alias("c"))))).alias("l"))
     ranges = each.select("key", "words", "l.store", F.explode(segments(c("budget"), c("l.c"))).alias("s")).select("key", "words", "store", "s.*").where("most > 0")
     parts = written(nodes_in(ranges), "segments")
-    listed = lists(rows, written(parts.select(*LIST).distinct(), "nodes"), k)
+    listed = lists(made.rows, written(parts.select(*LIST).distinct(), "nodes"), k)
     counts = listed.groupBy(*LIST).agg(F.count("*").alias("n"))
     met = parts.join(counts, LIST)
     bar = bars(met.where("words <> '*' and least > 0"), k)

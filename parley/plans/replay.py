@@ -27,7 +27,7 @@ class Stepper(Protocol):
 def replay(stepper: Stepper, catalog: DataFrame, samples: DataFrame, top_k: int = V.TOP_K) -> tuple[DataFrame, DataFrame]:
     """(session results, transcript) of all samples, up to ten turns each; hits count within the first ten places."""
     c = F.col
-    hidden = simulator.hidden_fields(samples, catalog)
+    hidden = written(simulator.hidden_fields(samples, catalog), "hidden")
     opened = hidden.withColumn("o", simulator.initial_message(c("scenario_type"), c("category"), c("card"), c("override.old_value")))
     state = stepper.start(opened.withColumnRenamed("sample_id", "session_id").select("session_id", "scenario_type", "target", "tags", "profile", "card", "override", c("o.message").alias("message"), c("o.disclosed").alias("disclosed"), F.lit(False).alias("boundary_used"), (c("scenario_type") != "intent_override").alias("applied")))
     keep, transcript = state.columns, None

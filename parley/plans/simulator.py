@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..sources.staging import spread, written
 
 
 def intent_card(title: Column, features: Column, details: Column, description: Column, categories: Column, store: Column, price_text: Column) -> Column:
@@ -46,9 +47,14 @@ def override_of(card: Column, turn: Column) -> Column:
 
 
 def hidden_fields(samples: DataFrame, catalog: DataFrame) -> DataFrame:
-    """samples with card, override (null but for intent_override) and category. A sample's own card and behavior win."""
+    """samples with card, override (null but for intent_override) and category. A sample's own card and behavior win.
+
+    Cards are made of targets alone, not of the whole catalog.
+    """
     c = F.col
-    cards = catalog.select(c("parent_asin").alias("target"), intent_card(*(c(x) for x in ("title", "features", "details", "description", "categories", "store", "price_text"))).alias("derived"), X.coarse_category(F.coalesce("categories", F.array().cast("array<string>"))).alias("category"))
+    targets = samples.select(c("ground_truth.parent_asin").alias("parent_asin")).distinct()
+    wanted = spread(written(catalog.join(targets, "parent_asin", "left_semi"), "targets"))
+    cards = wanted.select(c("parent_asin").alias("target"), intent_card(*(c(x) for x in ("title", "features", "details", "description", "categories", "store", "price_text"))).alias("derived"), X.coarse_category(F.coalesce("categories", F.array().cast("array<string>"))).alias("category"))
     joined = samples.withColumn("target", c("ground_truth.parent_asin")).join(cards, "target")
     given = c("intent_card").isNotNull() & c("behavior").isNotNull()
     card = F.when(given, c("intent_card")).otherwise(c("derived"))

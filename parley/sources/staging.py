@@ -51,6 +51,23 @@ def scratch() -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def lasting() -> Iterator[None]:
+    """What is written inside outlives the scratch() around it."""
+    held = _open[:]
+    _open.clear()
+    try:
+        yield
+    finally:
+        _open[:] = held
+
+
 def bounded(staged: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
     """Hint a broadcast only if the written table's counted rows fit limit_bytes; otherwise leave a shuffle join."""
     return F.broadcast(staged) if staged.count() * row_bytes <= limit_bytes else staged
+
+
+def spread(df: DataFrame, rows: int = 20_000, *keys: str) -> DataFrame:
+    """df dealt out (by keys) to all cores, and to as many tasks as hold `rows` rows each: for rows that are more work than bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)

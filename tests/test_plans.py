@@ -81,6 +81,39 @@ def test_loop_hits_and_transcripts(spark, catalog, tmp_path):
     assert report.failures(results, transcript, catalog).count() == sum(not r.hit for r in rows.values())
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_equal_queries_are_searched_once(spark, catalog, tmp_path, own):
+    asked = []
+
+    class Counted(Engine):
+        def routes(self, queries, depth):
+            asked.append(queries.count())
+            return super().routes(queries, depth)
+
+    engine = Counted(catalog, Config({"lexical": 1.0, "structured": 0.5}, 100, posterior_downweight=own, portfolio_ranking=True, question_policy="eig"))
+    results, transcript = engine.run(samples(spark, tmp_path, [("buying", "A")] * 5 + [("buying", "B")]))
+    assert asked[0] == 2 and max(asked) <= 2
+    rows = {r.sample_id: (r.hit, r.first_hit_turn, r.best_rank) for r in results.collect()}
+    assert len(rows) == 6 and len({rows[f"s{i}"] for i in range(5)}) == 1 and rows["s0"][0]
+    assert engine.products.count() == catalog.count()
+
+
+def test_cards_are_made_of_targets(spark, catalog, tmp_path):
+    said = samples(spark, tmp_path, [("buying", "A"), ("browsing", "A"), ("intent_override", "B")])
+    seen, own = {}, simulator.written
+
+    def kept(df, name, **more):
+        seen[name] = own(df, name, **more)
+        return seen[name]
+
+    simulator.written = kept
+    try:
+        rows = simulator.hidden_fields(said, catalog).collect()
+    finally:
+        simulator.written = own
+    assert len(rows) == 3 and sorted(r.parent_asin for r in seen["targets"].collect()) == ["A", "B"]
+
+
 def test_exclusion_and_fixed_questions(spark, catalog, tmp_path):
     engine = Engine(catalog, Config({"lexical": 1.0}, 100, proven_negative_filter=True, posterior_downweight=True, portfolio_ranking=True, question_policy="fixed"))
     results, transcript = engine.run(samples(spark, tmp_path, [("browsing", "P10")]))
