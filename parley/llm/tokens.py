@@ -19,6 +19,16 @@ OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 ASCII_SPACES = [c for c in OTHER_SPACES if c.isascii()]
 
 
+class Memo(dict):
+    """Ids of chunks. A chunk that is not held is None, and is noted in missed."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.missed.append(chunk)
+
+
 class ChunkEncoder:
     """encode(texts): for each text, its ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -29,7 +39,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = [""] if any(c.isspace() for x in added for c in x) else added  # one across chunks: no text is cut
-        self.memo_entries, self.memo = memo_entries, {}
+        self.memo_entries, self.memo = memo_entries, Memo()
         pieces = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(pieces.values()) + 1, np.int64)
         for piece, i in pieces.items():
@@ -61,20 +71,23 @@ class ChunkEncoder:
         memo = self.memo
         if len(memo) > self.memo_entries:
             memo.clear()
-        get, bodies, new = memo.__getitem__, [], set()
+        get, bodies, waiting, new = memo.__getitem__, [], [], set()
         for parts in cut:
-            body = b""
-            if parts:
-                del parts[0]
-                try:
-                    body = b"".join(map(get, parts))
-                except KeyError:
-                    body = None
-                    new |= set(parts).difference(memo)
-            bodies.append(body)
+            memo.missed = []
+            pieces = list(map(get, parts[1:])) if parts else []
+            if memo.missed:
+                waiting.append((len(bodies), pieces, memo.missed))
+                new.update(memo.missed)
+            bodies.append(b"" if memo.missed else b"".join(pieces))
         if new:
             self._learn(list(new))
-        return [array("I", x.ids).tobytes() + (b"".join(map(get, parts)) if body is None else body) for x, body, parts in zip(begun, bodies, cut, strict=True)]
+        for k, pieces, missed in waiting:
+            at = -1
+            for chunk in missed:
+                at = pieces.index(None, at + 1)
+                pieces[at] = memo[chunk]
+            bodies[k] = b"".join(pieces)
+        return [array("I", x.ids).tobytes() + body for x, body in zip(begun, bodies, strict=True)]
 
 
 @lru_cache(maxsize=2)

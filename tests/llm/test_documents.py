@@ -294,6 +294,25 @@ def test_signatures_do_not_depend_on_neighbours():
     assert (signed(some) == np.concatenate([signed([x]) for x in some])).all()
 
 
+def test_known_chunks_are_looked_up_once_beside_new_ones():
+    class Counted(tokens.Memo):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            self.asked += 1
+            return super().__getitem__(chunk)
+
+    encoder = tokens.ChunkEncoder(BPE)
+    encoder.memo = Counted()
+    known = "a " + " ".join(f"known{i}" for i in range(200))
+    encoder.encode([known])
+    encoder.memo.asked = 0
+    texts = [f"{known} first new\nsecond new", f"a new\nsecond {known} third"]
+    found = encoder.encode(texts)
+    assert found == [array("I", encoder.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert encoder.memo.asked < 2 * 200 + 30
+
+
 def test_chunks_give_the_ids_of_the_whole_text():
     encoder = tokens.ChunkEncoder(BPE, memo_entries=50)
     texts = ["", " ", "  a", "a  b", "a \n b", "a\n b", "\n\n x", "x \n", "tab\t x", "x's don't  \n\n y", "<|endoftext|> a <|endoftext|>", "a 　b", "\x1c a", "a \x1cb \x85 c", "日本 語  x\n日本\nb's 12 c", "a\n\nb", "a\n", "\na"]
