@@ -82,11 +82,18 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.by_word = all(MARK not in x.lstrip(MARK) for x in self.ids)
         self.good = {x: i for x, i in self.ids.items() if not self.is_bpe or len(x) == 1 or self.merged(list(x)) == [x]}
-        #: Every suffix of a piece; with its id if it is a piece itself. A search backwards ends where there is none.
-        self.suffixes: dict[str, int | None] = {x[k:]: None for x in self.good for k in range(len(x))} | self.good
+        #: The good pieces as a tree, read from their ends: (children by character, [piece] or none, what compatible told).
+        self.tree: tuple[dict, list[str], dict[str, bool]] = ({}, [], {})
+        for x in self.good:
+            node = self.tree
+            for c in reversed(x):
+                node = node[0].setdefault(c, ({}, [], {}))
+            node[1].append(x)
         self.worst = min(self.scores, default=0.0) - 10
+        #: What each id adds to a text's bytes.
+        self.raw = [bytes([int(x[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else x.encode() for x, k in zip(self.texts, self.kinds, strict=True)]
         self.memo = Memo(self._segment, memo_entries)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._told: list[dict[str, bool]] = []
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the neighbours whose joined piece scores best are joined, leftmost first, while there are any."""
@@ -100,35 +107,35 @@ class PieceModel:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether BPE gives just these two pieces for the two together."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(list(left + right)) == [left, right]
-        return known
+    def compatible(self, left: str, right: str, told: dict[str, bool]) -> bool:
+        """Whether BPE gives just these two pieces for the two together; told, of the node of right, then has it too."""
+        if len(self._told) > 1_000_000:
+            for known in self._told:
+                known.clear()
+            self._told.clear()
+        self._told.append(told)
+        found = told[left] = not left or self.merged(list(left + right)) == [left, right]
+        return found
 
     def step(self, recent: str, at: int, window) -> tuple[int, str, float]:
         """The entry of boundary at, after the characters recent: (backpointer, last piece, score).
 
         Of the pieces that end here BPE has just one that is compatible with the path before it; Unigram takes the best.
         """
-        suffixes, pairs, best = self.suffixes, self._pairs, None
+        node, best = self.tree, None
         for size in range(1, len(recent) + 1):
-            piece = recent[-size:]
-            i = suffixes.get(piece, -1)
-            if i is None:
-                continue
-            if i < 0:
+            node = node[0].get(recent[-size])
+            if node is None:
                 break
-            before = window[at - size]
+            if not node[1]:
+                continue
+            piece, before = node[1][0], window[at - size]
             if self.is_bpe:
-                known = pairs.get((before[1], piece)) if before[1] else True
-                if known or known is None and self.compatible(before[1], piece):
+                known = node[2].get(before[1])
+                if known or known is None and self.compatible(before[1], piece, node[2]):
                     return at - size, piece, 0.0
-            elif best is None or before[2] + self.scores[i] > best[2]:
-                best = (at - size, piece, before[2] + self.scores[i])
+            elif best is None or before[2] + self.scores[self.ids[piece]] > best[2]:
+                best = (at - size, piece, before[2] + self.scores[self.ids[piece]])
         if best is None or recent[-1] not in self.ids and window[at - 1][2] + self.worst > best[2]:
             best = (at - 1, recent[-1], window[at - 1][2] + self.worst)
         return best
@@ -200,7 +207,31 @@ class PieceModel:
         return out
 
     def _segment(self, word: str) -> bytes:
-        return self._ids(self.stream(MARK + word)).tobytes()
+        text = MARK + word
+        return self._ids(self._held(text) if self.is_bpe and len(text) <= 4 * self.longest else self.stream(text)).tobytes()
+
+    def _held(self, text: str) -> list[tuple[str, int | None]]:
+        """What stream gives for a BPE text no longer than its window, by the same search: nothing is committed before its end."""
+        last, n = [""], 0
+        for c in text:
+            node, start = self.tree[0].get(c), n
+            while node is not None:
+                if node[1]:
+                    known = node[2].get(last[start])
+                    if known or known is None and self.compatible(last[start], node[1][0], node[2]):
+                        c = node[1][0]
+                        break
+                if not start:
+                    break
+                start -= 1
+                node = node[0].get(text[start])
+            last.append(c)
+            n += 1
+        out = []
+        while n:
+            out.append((last[n], self.ids.get(last[n])))
+            n -= len(last[n])
+        return out[::-1]
 
     def encode(self, text: str | None) -> array:
         """The ids of a text, committed segment by segment where the model allows it."""
@@ -214,15 +245,7 @@ class PieceModel:
         return first
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                raw.append(int(self.texts[i][1:-1], 16))
-            elif kind == UNKNOWN:
-                raw += " ⁇ ".encode()
-            elif kind != CONTROL:
-                raw += self.texts[i].encode()
+        raw = b"".join(map(self.raw.__getitem__, ids))
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 

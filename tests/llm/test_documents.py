@@ -440,6 +440,19 @@ def test_pieces_are_those_of_the_library(bpe_model):
         assert list(bpe_model._ids(bpe_model.stream(marked))) == ids or not text
 
 
+def test_short_segments_are_held_whole(bpe_model, monkeypatch):
+    """Words within the window take the search without commits, and give what the stream gives; ids decode by one table."""
+    rng = random.Random(13)
+    words = ["", "a", "é漢🎉", "\n", "<0x0A>", "x" * (4 * bpe_model.longest - 1), "the.\nAnd"]
+    words += ["".join(rng.choice("abdehinorstuéß.\n#漢") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    want = [list(bpe_model.stream(pieces.MARK + x)) for x in words]
+    assert [bpe_model._held(pieces.MARK + x) for x in words] == want
+    with monkeypatch.context() as m:
+        m.setattr(bpe_model, "stream", lambda text: pytest.fail("a short segment took the stream"))
+        assert [bpe_model._segment(x) for x in words] == [bpe_model._ids(x).tobytes() for x in want]
+    assert b"".join(bpe_model.raw[i] for i in bpe_model._ids(want[2])) == (pieces.MARK + words[2]).encode()
+
+
 def test_one_stream_commits_in_a_bounded_window(spark, bpe_model):
     """On whole texts, long and short: ids as of the library, commits on the way, and a window that never grows."""
     import sentencepiece
