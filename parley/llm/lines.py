@@ -63,6 +63,15 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     return h, starts, np.where(short, starts + 1, ends - shingle + 1)
 
 
+def filled(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The hashes with each line's first one where none of its shingles begins."""
+    h, ends = h.copy(), np.append(starts[1:], len(h))
+    for k in range(int((ends - stops).max())):
+        rest = stops + k < ends
+        h[stops[rest] + k] = h[starts[rest]]
+    return h
+
+
 #: Bits of a shingle's hash that tell it from others of its line; the rest of 64 number the lines that go together.
 OWN = 54
 
@@ -81,6 +90,14 @@ def sizes_of(keys: np.ndarray, lines: int) -> np.ndarray:
     return np.bincount((keys >> np.uint64(OWN)).astype(np.int64), minlength=lines)
 
 
+def counted_shingles(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each of at most 512 lines has: sizes_of distinct_shingles by one sort in place."""
+    keys = (filled(h, starts, stops) & np.uint64((1 << OWN) - 1)).view(np.int64)
+    keys |= np.repeat(np.arange(len(starts)) << OWN, np.diff(starts, append=len(h)))
+    keys.sort()
+    return np.add.reduceat(np.append(True, keys[1:] != keys[:-1]), starts, dtype=np.int64)
+
+
 def heads_of(keys: np.ndarray, lines: int) -> list[bytes]:
     """For Line: size, slots and parity (as setbits.parity gives it) of each line's distinct_shingles, counted for all lines at once."""
     size = sizes_of(keys, lines)
@@ -94,16 +111,11 @@ def heads_of(keys: np.ndarray, lines: int) -> list[bytes]:
 
 def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """The MinHash signature of each line, from its shingles' hashes: len(starts) by rows * bands least hashes."""
-    h32, total = (h >> np.uint64(32)).astype(np.uint32), len(h)
-    cuts = np.stack([starts, np.minimum(stops, total - 1)], 1).ravel()
-    last = stops[-1] == total
-    least = np.empty((rows * bands, len(starts)), np.uint32)
-    rng, hashed = np.random.default_rng(20250101), np.empty_like(h32)
-    for k, (mul, add) in enumerate(rng.integers(0, 1 << 32, (rows * bands, 2), np.uint64)):
-        np.add(np.multiply(h32, np.uint32(mul | np.uint64(1)), out=hashed), np.uint32(add), out=hashed)
-        least[k] = np.minimum.reduceat(hashed, cuts)[::2]
-        if last:
-            least[k, -1] = hashed[starts[-1] :].min()
+    h32 = (filled(h, starts, stops) >> np.uint64(32)).astype(np.uint32)
+    least, hashed = np.empty((rows * bands, len(starts)), np.uint32), np.empty_like(h32)
+    for k, mul in enumerate(np.random.default_rng(20250101).integers(0, 1 << 32, rows * bands, np.uint64)):
+        np.multiply(h32, np.uint32(mul | np.uint64(1)), out=hashed)  # the hashes are mixed, so no summand is needed
+        np.minimum.reduceat(hashed, starts, out=least[k])
     return np.ascontiguousarray(least.T)
 
 
@@ -168,31 +180,10 @@ def comparable(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, head binary, data binary")
 
 
-def signed_lines(numbered: DataFrame) -> DataFrame:
-    """__row, __id, line (its number), node, size (of its shingle set, 65535 at most), bands of each line with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                at, number, lines = [], [], []
-                for k, text in enumerate(part.column(2).to_pylist()):
-                    for n, line in enumerate((text or "").split("\n")):
-                        if line.strip(SPACE):
-                            at.append(k)
-                            number.append(n)
-                            lines.append(line)
-                if not lines:
-                    continue
-                nodes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
-                hashed = [shingle_hashes(lines[k : k + 500], SHINGLE) for k in range(0, len(lines), 500)]
-                keys = band_keys(np.concatenate([signatures(*x) for x in hashed]))
-                sizes = np.minimum(np.concatenate([sizes_of(distinct_shingles(*x), len(x[1])) for x in hashed]), 65535)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                where = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(number, pa.int32()), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), bands], ["__row", "__id", "line", "node", "size", "bands"])
-
-    return numbered.mapInArrow(run, "__row long, __id long, line int, node long, size int, bands array<long>")
+def worded_lines(numbered: DataFrame) -> DataFrame:
+    """__row, __id, line (its number), node of each line with a word."""
+    each = numbered.select("__row", "__id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return each.where(F.btrim("text", F.lit(SPACE)) != "").select("__row", "__id", "line", F.xxhash64("text").alias("node"))
 
 
 PAIR = np.dtype([("token", "<i8"), ("node", "<i8"), ("size", "<u2")])
@@ -204,48 +195,72 @@ def distinct_pairs(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs["token"][1:] != pairs["token"][:-1]) | (pairs["node"][1:] != pairs["node"][:-1]))] if len(pairs) else pairs
 
 
-def shared_bands(lines: DataFrame, percent: int, held: int = 1 << 20) -> DataFrame:
+def line_pairs(lines: list[str], nodes: list[int]) -> np.ndarray:
+    """PAIR of each line and band."""
+    keys, sizes = [], []
+    for k in range(0, len(lines), 500):
+        hashed = shingle_hashes(lines[k : k + 500], SHINGLE)
+        keys.append(band_keys(signatures(*hashed)))
+        sizes.append(counted_shingles(*hashed))
+    pairs = np.empty(len(lines) * BANDS, PAIR)
+    pairs["token"] = np.concatenate(keys).ravel().view(np.int64)
+    pairs["node"] = np.repeat(np.array(nodes, np.uint64).view(np.int64), BANDS)
+    pairs["size"] = np.repeat(np.minimum(np.concatenate(sizes), 65535), BANDS)
+    return pairs
+
+
+def shared_bands(numbered: DataFrame, lines: int, percent: int, held: int = 1 << 20) -> DataFrame:
     """(token, row): the nodes of each band that have another one there of a size that allows the similarity.
 
-    Nearly all bands are of one node. So the pairs go to their tasks in packed form, 18 bytes each and each once for
-    every `held` pairs of a task, and leave it only if they are shared. A task gets about 2 ** 21 pairs. Of a band's
-    nodes in the order of their sizes, the neighbours tell whether any other fits.
+    Nearly all bands are of one node. So the pairs go from the texts to their tasks at once, in packed form, 18 bytes
+    each and those of a line once for every `held` pairs of a task, and leave it only if they are shared. A task gets
+    about 2 ** 21 pairs of the lines there are. Of a band's nodes in the order of their sizes, the neighbours tell
+    whether any other fits.
     """
-    spark = lines.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() * BANDS // (1 << 21)))
+    spark = numbered.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines * BANDS // (1 << 21)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+        seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            pairs = distinct_pairs(np.concatenate(kept)) if kept else np.empty(0, PAIR)
+            pairs = np.concatenate(kept) if kept else np.empty(0, PAIR)
             kept.clear()
+            seen.clear()
             part = (pairs["token"].astype(np.uint64) >> np.uint64(11)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             names, begins = np.unique(part[order], return_index=True)
             blobs = [x.tobytes() for x in np.split(pairs[order], begins[1:])] if len(pairs) else []
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "pairs"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                piece = batch.slice(i, 4000)
-                pairs = np.empty(piece.num_rows * BANDS, PAIR)
-                pairs["token"] = piece.column(2).flatten().to_numpy()
-                pairs["node"], pairs["size"] = (np.repeat(piece.column(c).to_numpy(), BANDS) for c in (0, 1))
-                kept.append(pairs)
+            for i in range(0, batch.num_rows, 200):
+                new: dict[int, str] = {}
+                for text in batch.column(0).slice(i, 200).to_pylist():
+                    for line in (text or "").split("\n"):
+                        if line.strip(SPACE) and (node := xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)) not in seen:
+                            seen.add(node)
+                            new[node] = line
+                if new:
+                    kept.append(line_pairs(list(new.values()), list(new)))
                 if sum(map(len, kept)) >= held:
                     yield flush()
         yield flush()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = distinct_pairs(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), PAIR))
+        pairs = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), PAIR)
+        order = np.argsort(pairs["token"])
+        token = pairs["token"][order]
+        several = token[1:] == token[:-1]
+        pairs = distinct_pairs(pairs[order[np.append(several, False) | np.append(False, several)]] if len(pairs) else pairs)
         token, size = pairs["token"], pairs["size"].astype(np.int64)
         fits = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
         many = pairs[np.append(fits, False) | np.append(False, fits)] if len(pairs) else pairs
         for i in range(0, len(many), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(many[c][i : i + 100_000])) for c in ("token", "node")], ["token", "row"])
 
-    packed = lines.select("node", "size", "bands").mapInArrow(pack, "part long, pairs binary")
+    packed = numbered.select("text").mapInArrow(pack, "part long, pairs binary")
     return packed.repartition(parts, "part").mapInArrow(unpack, "token long, row long")
 
 
@@ -352,9 +367,9 @@ def link_blocks(members: DataFrame, payloads: DataFrame, percent: int, crossing:
     return out
 
 
-def line_components(numbered: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def line_components(numbered: DataFrame, lines: int, percent: int) -> DataFrame:
     """(node, root) of the nodes that are alike to others."""
-    members = shared.stage(shared_bands(lines, percent), "members")
+    members = shared.stage(shared_bands(numbered, lines, percent), "members")
     wanted = shared.stage(members.select("row").distinct(), "wanted")
     texts = numbered.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("row"), "text")
     texts = texts.join(shared.maybe_broadcast(wanted, 16), "row", "left_semi").dropDuplicates(["row"])
@@ -383,9 +398,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number, drop = shared.free_name(docs, "__row"), shared.free_name(docs, "__gone")
     whole = shared.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     numbered = whole.select(F.col(number).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = shared.stage(signed_lines(numbered), "lines")
-    comps = line_components(numbered, lines, percent)
-    alone = lines.select("__row", "__id", "line", "node").join(shared.maybe_broadcast(comps, 16), "node", "left").select("__row", "line", F.coalesce("root", "node").alias("comp"), F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "line").alias("place"))
+    lines = shared.stage(worded_lines(numbered), "lines")
+    comps = line_components(numbered, lines.count(), percent)
+    alone = lines.join(shared.maybe_broadcast(comps, 16), "node", "left").select("__row", "line", F.coalesce("root", "node").alias("comp"), F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "line").alias("place"))
     first = alone.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first")
     later = alone.join(shared.maybe_broadcast(shared.stage(first, "first"), 48), "comp").where("place <> first")
     gone = shared.stage(later.groupBy(F.col("__row").alias(number)).agg(F.collect_set("line").alias(drop)), "gone")

@@ -389,6 +389,33 @@ def test_sizes_and_parities_of_many_lines_at_once():
         assert size == len(grams) and head == struct.pack("<IH", len(grams), 8 * len(bits)) + bits
 
 
+def test_counts_of_shingles_by_one_sort():
+    rng = random.Random(14)
+    some = ["a", "abcd", "abcde", "ab" * 3, "x" * 5000, "é日" * 700, prose(rng, 3000)] + [prose(rng, rng.randint(1, 60)) for _ in range(490)] + ["zz"]
+    hashed = lines.shingle_hashes(some, 5)
+    assert lines.counted_shingles(*hashed).tolist() == [len(lines.shingle_set(x.encode())) for x in some]
+    assert [lines.counted_shingles(*lines.shingle_hashes([x], 5)).tolist() for x in some[:5]] == [[1], [1], [1], [2], [1]]
+
+
+def test_line_dedup_stages_no_bands(spark, monkeypatch):
+    """Bands go from the texts to their tasks; of lines only places and nodes are written, those of words alone."""
+    rng, staged, stage = random.Random(16), {}, shared.stage
+    same = prose(rng, 30)
+    rows = [(1, f"{same}\n \t\n{prose(rng, 20)}", "en", "a"), (2, f"\n{prose(rng, 20)}\n{same}", "en", "a"), (3, None, "en", "a"), (4, " \v\f\r\t", "en", "a")]
+
+    def told(df, name):
+        staged[name] = (df.columns, stage(df, name))
+        return staged[name][1]
+
+    monkeypatch.setattr(shared, "stage", told)
+    monkeypatch.setattr(shared, "release", lambda *_: None)
+    out = {r.doc_id: (r.text, r.told.lines, r.told.removed) for r in lines.dedup_lines(table(spark, rows), out="told").collect()}
+    assert out[1] == (rows[0][1], 2, 0) and out[2] == (rows[1][1].removesuffix("\n" + same), 2, 1) and out[3] == (None, 0, 0) and out[4] == (rows[3][1], 0, 0)
+    columns, written = staged["lines"]
+    assert columns == ["__row", "__id", "line", "node"]
+    assert sorted((r["__id"], r.line) for r in written.collect()) == [(1, 0), (1, 2), (2, 1), (2, 2)]
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack(odd, BPE, capacity=64).collect()
     by = {}
