@@ -2,11 +2,11 @@
 
 1. Every line with a word gets its hash (its node: equal lines are one node) and the MinHash signature of its
    character shingles, cut into bands. A line shorter than a shingle is its own only shingle.
-2. Bands that lines of two or more nodes share are buckets; buckets of equal lines alone count as none. The members of
-   a bucket meet in blocks, and what is then apart in pairs of blocks. Sizes and parities of the shingle sets say which
-   members have a possible partner there; these come once more with their texts, and similarity is verified on the
-   shingle sets of whole lines. A task gives a link only where it joins two components that are still apart, so a
-   bucket gives no more links than it has members.
+2. Bands that lines of two or more nodes share are buckets; buckets of equal lines alone count as none, and those of
+   equal sets of nodes as one. The members of a bucket meet in blocks, and what is then apart in pairs of blocks. Sizes
+   and parities of the shingle sets say which members have a possible partner there; these come once more with their
+   texts, and similarity is verified on the shingle sets of whole lines. A task gives a link only where it joins two
+   components that are still apart, so a bucket gives no more links than it has members.
 3. Verified links give components by distributed union-find. Of a component's lines the first in order of doc_id,
    row and line number stays. Least positions are aggregated before the shuffle, so a line that makes up a third of
    the corpus is no heavier a task than others.
@@ -90,12 +90,18 @@ def sizes_of(keys: np.ndarray, lines: int) -> np.ndarray:
     return np.bincount((keys >> np.uint64(OWN)).astype(np.int64), minlength=lines)
 
 
-def counted_shingles(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """How many distinct shingles each of at most 512 lines has: sizes_of distinct_shingles by one sort in place."""
-    keys = (filled(h, starts, stops) & np.uint64((1 << OWN) - 1)).view(np.int64)
+def distinct_halves(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 32 bits of the distinct shingles' hashes of each of at most 512 lines, by line, and how many each has, by one sort in place."""
+    keys = (filled(h, starts, stops) >> np.uint64(64 - OWN)).view(np.int64)
     keys |= np.repeat(np.arange(len(starts)) << OWN, np.diff(starts, append=len(h)))
     keys.sort()
-    return np.add.reduceat(np.append(True, keys[1:] != keys[:-1]), starts, dtype=np.int64)
+    fresh = np.append(True, keys[1:] != keys[:-1])
+    return (keys[fresh] >> (OWN - 32)).astype(np.uint32), np.add.reduceat(fresh, starts, dtype=np.int64)
+
+
+def counted_shingles(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each of at most 512 lines has."""
+    return distinct_halves(h, starts, stops)[1]
 
 
 def heads_of(keys: np.ndarray, lines: int) -> list[bytes]:
@@ -109,16 +115,21 @@ def heads_of(keys: np.ndarray, lines: int) -> list[bytes]:
     return [struct.pack("<IH", n, k) + bits[b // 8 : (b + k) // 8].tobytes() for n, k, b in zip(size.tolist(), slots.tolist(), begin.tolist(), strict=True)]
 
 
-def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """The MinHash signature of each line, from its shingles' hashes: len(starts) by rows * bands least hashes."""
-    h32 = (filled(h, starts, stops) >> np.uint64(32)).astype(np.uint32)
-    least, hashed = np.empty((rows * bands, len(starts)), np.uint32), np.empty_like(h32)
+def least_hashes(halves: np.ndarray, sizes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """The MinHash signature of each line, from distinct_halves: len(sizes) by rows * bands least hashes."""
+    starts = np.cumsum(sizes) - sizes
+    least, hashed = np.empty((rows * bands, len(sizes)), np.uint32), np.empty_like(halves)
     for k, mul in enumerate(np.random.default_rng(20250101).integers(0, 1 << 32, rows * bands, np.uint64)):
-        np.multiply(h32, np.uint32(mul | np.uint64(1)), out=hashed)  # the hashes are mixed, so no summand is needed
+        np.multiply(halves, np.uint32(mul | np.uint64(1)), out=hashed)  # the hashes are mixed, so no summand is needed
         np.minimum.reduceat(hashed, starts, out=least[k])
     return np.ascontiguousarray(least.T)
 
 
+def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The MinHash signature of each of at most 512 lines, from its shingles' hashes."""
+    return least_hashes(*distinct_halves(h, starts, stops))
+
+
 def band_keys(least: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """Band keys of signatures: len(least) by bands."""
     keys = np.empty((len(least), bands), np.uint64)
@@ -136,19 +147,43 @@ def shingle_set(data: bytes, shingle: int = SHINGLE) -> set[str]:
     return {line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1))}
 
 
+#: Bits that hold a character and one more, for the places after a line shorter than a shingle; SHINGLE of these fit a number.
+CHAR = 12
+
+
+def shingle_numbers(data: bytes) -> np.ndarray | None:
+    """shingle_set as numbers in ascending order, which are equal just where the shingles are; None if a character is too large."""
+    text = np.frombuffer(data, np.uint8) if data.isascii() else np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    if text.max(initial=0) >= (1 << CHAR) - 1:
+        return None
+    chars = np.zeros(max(len(text), SHINGLE), np.int64)
+    chars[: len(text)] = text
+    chars[: len(text)] += 1
+    n = len(chars) - SHINGLE + 1
+    numbers = chars[:n].copy()
+    for i in range(1, SHINGLE):
+        numbers <<= CHAR
+        numbers |= chars[i : n + i]
+    numbers.sort()
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])]
+
+
+def enough(both: int, x: int, y: int, percent: int) -> bool:
+    return 100 * both >= percent * (x + y - both)
+
+
 def alike(x: set[str], y: set[str], percent: int) -> bool:
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    return enough(len(x & y), len(x), len(y), percent)
 
 
 class Line:
-    """A line as it is compared: the number of its shingles, their parity (see setbits) and, once wanted, their set."""
+    """A line as it is compared: the number of its shingles, their parity (see setbits) and, once wanted, their set and numbers."""
 
-    __slots__ = ("size", "bits", "text", "_set")
+    __slots__ = ("size", "bits", "text", "_set", "_numbers")
 
     def __init__(self, head: bytes, text: bytes | None = None):
         self.size, slots = struct.unpack_from("<IH", head)
-        self.bits, self.text, self._set = (slots, int.from_bytes(head[6:], "little")), text, None
+        self.bits, self.text, self._set, self._numbers = (slots, int.from_bytes(head[6:], "little")), text, None, False
 
     @property
     def shingles(self) -> set[str]:
@@ -156,13 +191,26 @@ class Line:
             self._set = shingle_set(self.text)
         return self._set
 
+    @property
+    def numbers(self) -> np.ndarray | None:
+        if self._numbers is False:
+            self._numbers = shingle_numbers(self.text)
+        return self._numbers
+
     def possible(self, other: Line, percent: int) -> bool:
         """False only where sizes or parities rule the similarity out."""
         x, y = self.size, other.size
         return 100 * min(x, y) >= percent * max(x, y) and differ(self.bits, other.bits) <= allowed(x, y, percent)
 
     def alike(self, other: Line, percent: int) -> bool:
-        return self.possible(other, percent) and alike(self.shingles, other.shingles, percent)
+        if not self.possible(other, percent):
+            return False
+        x, y = self.numbers, other.numbers
+        if x is None or y is None:
+            return alike(self.shingles, other.shingles, percent)
+        merged = np.concatenate((x, y))
+        merged.sort()
+        return enough(int(np.count_nonzero(merged[1:] == merged[:-1])), len(x), len(y), percent)
 
 
 def comparable(texts: DataFrame) -> DataFrame:
@@ -183,10 +231,24 @@ def comparable(texts: DataFrame) -> DataFrame:
 def worded_lines(numbered: DataFrame) -> DataFrame:
     """__row, __id, line (its number), node of each line with a word."""
     each = numbered.select("__row", "__id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return each.where(F.btrim("text", F.lit(SPACE)) != "").select("__row", "__id", "line", F.xxhash64("text").alias("node"))
+    return each.where(F.ltrim("text", F.lit(SPACE)) != "").select("__row", "__id", "line", F.xxhash64("text").alias("node"))
 
 
 PAIR = np.dtype([("token", "<i8"), ("node", "<i8"), ("size", "<u2")])
+WHOLE = np.dtype((np.void, PAIR.itemsize))  # as which rows are copied at once and not by field
+
+
+def of_shared_tokens(pairs: np.ndarray) -> np.ndarray:
+    """The rows of PAIR whose token more than one row has. Few are, so only tokens are sorted, and looked up by low bits first."""
+    token = np.ascontiguousarray(pairs["token"])
+    ordered = np.sort(token)
+    several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    low = np.zeros(1 << 20, bool)
+    low[several & (len(low) - 1)] = True
+    rows = np.flatnonzero(low[token & (len(low) - 1)])
+    at = np.searchsorted(several, token[rows])
+    at[at == len(several)] = 0
+    return pairs[rows[several[at] == token[rows]]] if len(rows) else pairs[:0]
 
 
 def distinct_pairs(pairs: np.ndarray) -> np.ndarray:
@@ -195,13 +257,21 @@ def distinct_pairs(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs["token"][1:] != pairs["token"][:-1]) | (pairs["node"][1:] != pairs["node"][:-1]))] if len(pairs) else pairs
 
 
+def set_names(token: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each member (token, node) of buckets, by token, a name of its bucket that tells the set of its nodes: their sum."""
+    if not len(token):
+        return token
+    begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    return np.repeat(np.add.reduceat(node, begins), np.diff(begins, append=len(token)))
+
+
 def line_pairs(lines: list[str], nodes: list[int]) -> np.ndarray:
     """PAIR of each line and band."""
     keys, sizes = [], []
     for k in range(0, len(lines), 500):
-        hashed = shingle_hashes(lines[k : k + 500], SHINGLE)
-        keys.append(band_keys(signatures(*hashed)))
-        sizes.append(counted_shingles(*hashed))
+        halves, counts = distinct_halves(*shingle_hashes(lines[k : k + 500], SHINGLE))
+        keys.append(band_keys(least_hashes(halves, counts)))
+        sizes.append(counts)
     pairs = np.empty(len(lines) * BANDS, PAIR)
     pairs["token"] = np.concatenate(keys).ravel().view(np.int64)
     pairs["node"] = np.repeat(np.array(nodes, np.uint64).view(np.int64), BANDS)
@@ -212,6 +282,9 @@ def line_pairs(lines: list[str], nodes: list[int]) -> np.ndarray:
 def shared_bands(numbered: DataFrame, lines: int, percent: int, held: int = 1 << 20) -> DataFrame:
     """(token, row): the nodes of each band that have another one there of a size that allows the similarity.
 
+    Lines that are alike mostly share several bands, with nobody else: a token names the set of a bucket's nodes, so
+    buckets of equal sets are one. Should two sets have one name, their members meet in one bucket, and none is missed.
+
     Nearly all bands are of one node. So the pairs go from the texts to their tasks at once, in packed form, 18 bytes
     each and those of a line once for every `held` pairs of a task, and leave it only if they are shared. A task gets
     about 2 ** 21 pairs of the lines there are. Of a band's nodes in the order of their sizes, the neighbours tell
@@ -225,13 +298,13 @@ def shared_bands(numbered: DataFrame, lines: int, percent: int, held: int = 1 <<
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            pairs = np.concatenate(kept) if kept else np.empty(0, PAIR)
+            pairs = np.concatenate([x.view(WHOLE) for x in kept]).view(PAIR) if kept else np.empty(0, PAIR)
             kept.clear()
             seen.clear()
             part = (pairs["token"].astype(np.uint64) >> np.uint64(11)) % np.uint64(parts)
             order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             names, begins = np.unique(part[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(pairs[order], begins[1:])] if len(pairs) else []
+            blobs = [x.tobytes() for x in np.split(pairs.view(WHOLE)[order], begins[1:])] if len(pairs) else []
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "pairs"])
 
         for batch in batches:
@@ -250,27 +323,29 @@ def shared_bands(numbered: DataFrame, lines: int, percent: int, held: int = 1 <<
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), PAIR)
-        order = np.argsort(pairs["token"])
-        token = pairs["token"][order]
-        several = token[1:] == token[:-1]
-        pairs = distinct_pairs(pairs[order[np.append(several, False) | np.append(False, several)]] if len(pairs) else pairs)
+        pairs = distinct_pairs(of_shared_tokens(pairs))
         token, size = pairs["token"], pairs["size"].astype(np.int64)
         fits = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
         many = pairs[np.append(fits, False) | np.append(False, fits)] if len(pairs) else pairs
+        token, node = set_names(many["token"], many["node"]), np.ascontiguousarray(many["node"])
         for i in range(0, len(many), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(many[c][i : i + 100_000])) for c in ("token", "node")], ["token", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (token, node)], ["token", "row"])
 
     packed = numbered.select("text").mapInArrow(pack, "part long, pairs binary")
-    return packed.repartition(parts, "part").mapInArrow(unpack, "token long, row long")
+    return packed.repartition(parts, "part").mapInArrow(unpack, "token long, row long").distinct()
 
 
-def in_blocks(members: DataFrame, crossing: bool, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, crossing: bool, block: int) -> DataFrame | None:
     """The members (token, row, comp) of each bucket in tasks: one block, or with crossing a pair (i, j) of them.
 
     Which block of a bucket a row is in differs from bucket to bucket, so rows that share several bands meet in one.
+    None if there is nothing to cross, as no bucket has two blocks.
     """
     large = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    large = shared.maybe_broadcast(shared.stage(large, "large"), 16)
+    large = shared.stage(large, "large")
+    if crossing and large.isEmpty():
+        return None
+    large = shared.maybe_broadcast(large, 16)
     dealt = members.join(large, "token", "inner" if crossing else "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("row", "token"), F.col("blocks")).cast("int"))
     others = F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("k")) if crossing else F.array("k")
@@ -348,13 +423,15 @@ def linked(tasks: DataFrame, percent: int, crossing: bool) -> DataFrame:
     return by_task(tasks, work, ("a", "b"))
 
 
-def link_blocks(members: DataFrame, payloads: DataFrame, percent: int, crossing: bool, one_bucket: bool = False, block: int = 1000) -> DataFrame:
-    """Verified links (a, b) between the members (token, row, comp) of buckets, by one rule in buckets of any size.
+def link_blocks(members: DataFrame, payloads: DataFrame, percent: int, crossing: bool, one_bucket: bool = False, block: int = 1000) -> DataFrame | None:
+    """Verified links (a, b) between the members (token, row, comp) of buckets, by one rule in buckets of any size; None if nothing is to cross.
 
     With one_bucket a member brings its text to one bucket only, of those where it has a possible partner that with
     most such members; that joins most of what is linked, as rows that share one band mostly share others.
     """
     tasks = in_blocks(members, crossing, block)
+    if tasks is None:
+        return None
     on = shared.stage(active(tasks.join(payloads.select("row", "head"), "row"), percent, crossing), "active")
     if one_bucket:
         counted = on.join(on.groupBy("token").agg(F.count("*").alias("c")), "token")
@@ -377,7 +454,11 @@ def line_components(numbered: DataFrame, lines: int, percent: int) -> DataFrame:
     shared.release(wanted)
     links, now, comps = [], members.withColumn("comp", F.col("row")), None
     for crossing, one_bucket in ((False, True), (False, False), (True, False)):
-        links.append(link_blocks(now, payloads, percent, crossing, one_bucket))
+        found = link_blocks(now, payloads, percent, crossing, one_bucket)
+        if found is None:
+            shared.release(now)
+            break
+        links.append(found)
         if comps is not None:
             shared.release(now, comps)
         comps = components(reduce(DataFrame.unionByName, links))
@@ -396,7 +477,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     out = out or shared.free_name(docs, "__lines")
     number, drop = shared.free_name(docs, "__row"), shared.free_name(docs, "__gone")
-    whole = shared.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    whole = shared.stage_texts(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     numbered = whole.select(F.col(number).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lines = shared.stage(worded_lines(numbered), "lines")
     comps = line_components(numbered, lines.count(), percent)

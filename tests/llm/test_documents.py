@@ -416,6 +416,68 @@ def test_line_dedup_stages_no_bands(spark, monkeypatch):
     assert sorted((r["__id"], r.line) for r in written.collect()) == [(1, 0), (1, 2), (2, 1), (2, 2)]
 
 
+def test_buckets_of_equal_lines_are_one(spark):
+    """Alike lines share many bands with nobody else; they meet once, and blocks are crossed only where a bucket has several."""
+    rng = random.Random(18)
+    groups = [[f"{base} {k}" for k in range(3)] for base in (prose(rng, 60) for _ in range(30))]
+    docs = spark.createDataFrame([("\n".join(g),) for g in groups], "text string").repartition(3)
+    met = {}
+    for r in lines.shared_bands(docs, 90, 80).collect():
+        met.setdefault(r.token, []).append(r.row)
+    sets = [frozenset(x) for x in met.values()]
+    assert sum(map(len, sets)) == sum(map(len, met.values())) and len(set(sets)) == len(sets)
+    nodes = [sorted(r.row for r in spark.createDataFrame([(x,) for x in g], "text string").select(F.xxhash64("text").alias("row")).collect()) for g in groups]
+    joined = [functools.reduce(frozenset.union, (x for x in sets if x & set(n)), frozenset()) for n in nodes]
+    assert [sorted(x) for x in joined] == nodes
+
+    members = spark.createDataFrame([(t, row, row) for t, x in met.items() for row in x], "token long, row long, comp long")
+    texts = spark.createDataFrame([(x,) for g in groups for x in g], "text string")
+    payloads = lines.comparable(texts.select(F.xxhash64("text").alias("row"), "text"))
+    assert lines.link_blocks(members, payloads, 80, True) is None
+    assert lines.link_blocks(members, payloads, 80, True, block=1) is not None
+
+
+def test_names_of_sets_of_nodes():
+    token, node = np.array([1, 1, 2, 2, 3, 3, 3], np.int64), np.array([5, 2**62, 2**62, 5, 5, 2**62, 2**62 + 1], np.int64)
+    names = lines.set_names(token, node)
+    assert names[0] == names[1] == names[2] == names[3] != names[4] == names[5] == names[6]
+    assert len(lines.set_names(token[:0], node[:0])) == 0
+
+
+def test_rows_of_shared_tokens():
+    rng = np.random.default_rng(20)
+    pairs = np.zeros(5000, lines.PAIR)
+    pairs["token"], pairs["node"] = rng.integers(-(2**62), 2**62, 5000) << 1, np.arange(5000)
+    pairs["token"][:40] = pairs["token"][100:140]
+    pairs["token"][200:210] = pairs["token"][300:310] + (1 << 20)  # alike in the low bits alone
+    of = {}
+    for t, n in zip(pairs["token"].tolist(), pairs["node"].tolist(), strict=True):
+        of.setdefault(t, []).append(n)
+    want = sorted(n for x in of.values() if len(x) > 1 for n in x)
+    assert sorted(lines.of_shared_tokens(pairs)["node"].tolist()) == want and len(want) == 80
+    assert [len(lines.of_shared_tokens(pairs[:k])) for k in (0, 1, 2)] == [0, 0, 0]
+
+
+def test_numbers_of_shingles_judge_as_their_sets():
+    rng = random.Random(21)
+    letters = {"narrow": "ab c", "accents": "é\x01ßa ", "cyrillic": "\u0430\u0431\u0432 \u0433", "edge": "\u0ffd\u0ffea", "wide": "\u65e5\u672c\u8a9e\u0fff ", "lone": "\ud800ab", "large": "\U0001f389ab"}
+    some = ["a", "b", "abcd", "abcde", "aaaa", "aaaaa", "aaaaaa", "\x00", "\x00\x00", "\x00\x00\x00\x00\x00"]
+    for own in letters.values():
+        for n in (1, 4, 5, 6, 30, 80):
+            base = "".join(rng.choice(own) for _ in range(n))
+            some += [base, base[: n // 2] + "b" + base[n // 2 :], base + "a" * (n // 10), base[::-1]]
+    data = sorted({x.encode("utf-8", "surrogatepass") for x in some})
+    texts = [x.decode("utf-8", "surrogatepass") for x in data]
+    heads = lines.heads_of(lines.distinct_shingles(*lines.shingle_hashes(texts, lines.SHINGLE)), len(texts))
+    each, sets, told = [lines.Line(*x) for x in zip(heads, data, strict=True)], [lines.shingle_set(x) for x in data], set()
+    for i, j in itertools.product(range(len(data)), repeat=2):
+        same = lines.alike(sets[i], sets[j], 80)
+        assert each[i].alike(each[j], 80) == same
+        told.add((each[i].numbers is None, each[j].numbers is None, same, i == j))
+    assert {(a, b, c, False) for a, b, c in [(False, False, True), (False, False, False), (True, True, True), (True, False, False)]} <= told
+    assert all(x.numbers is None or len(x.numbers) == len(s) for x, s in zip(each, sets, strict=True))
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack(odd, BPE, capacity=64).collect()
     by = {}
