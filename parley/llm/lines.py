@@ -54,6 +54,8 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
         if shingle & span:
             h = rolled[:total] if h is None else h[:total] * np.uint64(power) + rolled[done : done + total]
             done += span
+            if done == shingle:
+                break
         rolled = rolled[:-span] * np.uint64(power) + rolled[span:]
         power, span = power * power % (1 << 64), span * 2
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,10 +80,9 @@ OWN = 54
 
 def distinct_shingles(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """The distinct shingles of each of at most 1024 lines, by line: its number above OWN bits of the hash."""
-    n = stops - starts
-    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(n) - n), n)
-    keys = np.sort((line << np.uint64(OWN)) | (h[at] & np.uint64((1 << OWN) - 1)))
+    keys = filled(h, starts, stops) & np.uint64((1 << OWN) - 1)
+    keys |= np.repeat(np.arange(len(starts), dtype=np.uint64) << np.uint64(OWN), np.diff(starts, append=len(h)))
+    keys.sort()
     return keys[np.append(True, keys[1:] != keys[:-1])]
 
 
@@ -122,7 +123,7 @@ def least_hashes(halves: np.ndarray, sizes: np.ndarray, rows: int = ROWS, bands:
     for k, mul in enumerate(np.random.default_rng(20250101).integers(0, 1 << 32, rows * bands, np.uint64)):
         np.multiply(halves, np.uint32(mul | np.uint64(1)), out=hashed)  # the hashes are mixed, so no summand is needed
         np.minimum.reduceat(hashed, starts, out=least[k])
-    return np.ascontiguousarray(least.T)
+    return least.T
 
 
 def signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -369,7 +370,7 @@ def by_task(tasks: DataFrame, work: Callable[[list[list]], list[tuple[int, int]]
                 found.extend(work(held))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy().tolist() for c in batch.columns), strict=True):
                 if row[:3] != at:
                     done()
                     at, held = row[:3], []
