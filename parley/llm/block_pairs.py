@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """The sizes of the intersections of each of xs with each of ys, by products of slices of their 0/1 matrices."""
@@ -64,7 +66,7 @@ def count_links(members: DataFrame, payloads: DataFrame, prepare: Callable[[byte
         at, sides = None, ({}, {})
         for batch in batches:
             found = []
-            for comp, i, j, k, row, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for comp, i, j, k, row, copies, data in shared.rows_of([batch]):
                 if (comp, i, j) != at:
                     if at:
                         found += counts(at, sides)

@@ -50,12 +50,14 @@ LOW, SHIFT = np.uint64((1 << 56) - 1), np.uint64(64 - SLOT_BITS)
 
 
 class WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of words, remembered up to a bound of bytes: a few thousand words make most of a text, long ones recur little."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -333,10 +335,9 @@ def active(members: DataFrame, keys: DataFrame, percent: int, block: int = 1000)
 
         def rows() -> Iterator[tuple]:
             nonlocal token
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    token = row[0]
-                    yield row
+            for row in shared.rows_of(batches):
+                token = row[0]
+                yield row
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["token", "row"])
@@ -377,7 +378,7 @@ def tree_links(members: DataFrame, keys: DataFrame, sets: DataFrame, percent: in
             found.clear()
             return out
 
-        for pair in met((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), percent):
+        for pair in met(shared.rows_of(batches), percent):
             if pair is None:
                 root.clear()
                 if len(found) > 10_000:

@@ -40,7 +40,7 @@ def verify(pairs: DataFrame, payloads: DataFrame, prepare: Callable[[bytes], obj
         at, pivot = None, None
         for batch in batches:
             found = []
-            for b, _, a, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, _, a, data in shared.rows_of([batch]):
                 if a is None:
                     at, pivot = b, prepare(data)
                 elif b == at and linked(prepare(data), pivot):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,13 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
+    """The rows of the batches as tuples, of which so many at most are Python objects at a time, whatever a batch holds."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, size).columns), strict=True)
+
+
 def map_rows(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow for a run that takes columns by position, whatever their names (a dot in one is no path)."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)

@@ -4,12 +4,16 @@ import functools
 import itertools
 import random
 import struct
+import sys
+import tracemalloc
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parley.llm import block_pairs, components, lines, ngram_join, packing, pieces, quality, setbits, shared, token_store, tokens
@@ -123,6 +127,25 @@ def gram_set(text, n):
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def test_words_are_remembered_within_a_bound_of_bytes():
+    """Vocabularies grow with the corpus and words may be of any length; what a worker remembers does not."""
+    known = ngram_join.WordHashes()
+    words = [b"%d" % i for i in range(150_000)] + [b"%d-" % i * 500 for i in range(2000)]
+    assert [known[w] for w in words] == [xxhash.xxh3_64_intdigest(w) for w in words]
+    assert [known[w] for w in words[-2100:]] == [xxhash.xxh3_64_intdigest(w) for w in words[-2100:]]
+    assert len(known) and sys.getsizeof(known) + sum(sys.getsizeof(w) + sys.getsizeof(h) for w, h in known.items()) < 12 << 20
+
+
+def test_rows_of_large_batches_are_made_in_slices():
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(10_000), pa.int64()), "data": pa.array([b"%d" % (i % 10) * 2000 for i in range(10_000)], pa.binary())})
+    tracemalloc.start()
+    try:
+        assert [row for row, data in shared.rows_of([batch, batch.slice(0, 0), batch.slice(9990)]) if data == b"%d" % (row % 10) * 2000] == [*range(10_000), *range(9990, 10_000)]
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_classes_against_all_pairs(spark, odd, none, n, percent):
     rng, rows = random.Random(6), []
